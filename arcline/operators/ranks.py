@@ -16,26 +16,24 @@ from pyspark.sql import functions as F
 
 from arcline.session import slice_rows
 
-from .skew import LOWEST, MAX_SLICES, bucket_by, order_position
+from .skew import MAX_SLICES, bucket_by, cut_points, even_shares, order_position
 
 RANGE = "_range"
 
 
 def value_ranges(df: DataFrame, value: str, rows_per_range: int | None = None) -> tuple[int, list[float]]:
-    """(non-null rows, cut points): one aggregation; at most MAX_SLICES numbers return."""
+    """(non-null rows, cut points); at most MAX_SLICES numbers reach the driver.
+
+    A count decides whether cutting is needed at all; only then a sketch of the values is
+    taken for the cut points.
+    """
     limit = rows_per_range or slice_rows(df.sparkSession)
-    shares = [i / MAX_SLICES for i in range(1, MAX_SLICES)]
-    known = df.where(F.col(value).isNotNull())
-    found = known.select(order_position(df, value).alias("_position")).agg(
-        F.count(F.lit(1)).alias("n"),
-        F.percentile_approx("_position", shares, 10 * MAX_SLICES).alias("cuts"),
-    ).first()
-    ranges = min(MAX_SLICES, max(1, math.ceil(found["n"] / limit)))
-    if ranges == 1 or not found["cuts"]:
-        return found["n"], []
-    step = MAX_SLICES / ranges
-    picked = {found["cuts"][min(len(shares) - 1, round(i * step) - 1)] for i in range(1, ranges)}
-    return found["n"], sorted(picked - {LOWEST})
+    total = df.agg(F.count(value).alias("n")).first()["n"]
+    ranges = min(MAX_SLICES, math.ceil(total / limit))
+    if ranges <= 1:
+        return total, []
+    known = df.where(F.col(value).isNotNull()).select(order_position(df, value).alias("_position"))
+    return total, cut_points(known, "_position", ranges)
 
 
 def prefix_counts(
@@ -149,12 +147,13 @@ def auc_by_feature(
         raise ValueError(f"at most {MAX_FEATURES} features, got {features}")
     known = long.where(F.col(value).isNotNull() & F.col(label).isNotNull())
     limit = slice_rows(long.sparkSession)
-    shares = [i / (CUTS_PER_FEATURE + 1) for i in range(1, CUTS_PER_FEATURE + 1)]
-    sizes = known.groupBy(feature).agg(
-        F.count(F.lit(1)).alias("n"),
-        F.percentile_approx(value, shares, 10 * (CUTS_PER_FEATURE + 1)).alias("cuts"),
-    )
-    cuts = {row[feature]: sorted(set(row["cuts"])) for row in sizes.collect() if row["n"] > limit}
+    sizes = known.groupBy(feature).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > limit)
+    large = [row[feature] for row in sizes.collect()]
+    cuts = {}
+    if large:
+        sketch = F.percentile_approx(value, even_shares(CUTS_PER_FEATURE + 1), 10 * CUTS_PER_FEATURE)
+        found = known.where(F.col(feature).isin(large)).groupBy(feature).agg(sketch.alias("cuts"))
+        cuts = {row[feature]: sorted(set(row["cuts"])) for row in found.collect()}
     counts = known.groupBy(feature, value).agg(
         *[c.alias(n) for n, c in auc_expressions(label).items()]
     )

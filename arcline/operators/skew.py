@@ -47,6 +47,19 @@ def order_position(df: DataFrame, column: str) -> Column:
     return F.coalesce(number.cast("double"), F.lit(LOWEST))
 
 
+def even_shares(parts: int) -> Column:
+    """The array 1/parts, 2/parts, … below 1, as one parsed literal."""
+    return F.expr("array(" + ", ".join(f"{i / parts!r}D" for i in range(1, parts)) + ")")
+
+
+def cut_points(df: DataFrame, position: str, parts: int) -> list[float]:
+    """Values cutting the column into ``parts`` ranges of similar size, from one sketch pass."""
+    if parts <= 1:
+        return []
+    sketch = F.percentile_approx(position, even_shares(parts), max(10_000, 10 * parts))
+    return sorted(set(df.agg(sketch.alias("cuts")).first()["cuts"] or []) - {LOWEST})
+
+
 def bucket_by(df: DataFrame, position: str, bounds: list[float], output: str) -> DataFrame:
     """Number of ``bounds`` at or below ``position``: binary search inside the JVM."""
     cuts = sorted(set(bounds))
@@ -193,13 +206,9 @@ def plan_slices(
     key_schema = T.StructType([df.schema[k] for k in keys])
     hot = spark.createDataFrame([tuple(row[k] for k in keys) for row in counts], key_schema)
     cuts = min(MAX_SLICES, -(-sum(row["_rows"] for row in counts) // limit))
-    shares = [i / cuts for i in range(1, cuts)]
-    bounds: list[float] = []
-    if shares:
-        bounds = (
-            df.join(F.broadcast(hot), keys, "left_semi")
-            .select(order_position(df, order[0]).alias("_position"))
-            .agg(F.percentile_approx("_position", shares, 10 * MAX_SLICES).alias("cuts"))
-            .first()["cuts"]
-        )
-    return Slices(tuple(keys), tuple(order), hot, tuple(sorted(set(bounds))))
+    positions = df.join(F.broadcast(hot), keys, "left_semi").select(
+        order_position(df, order[0]).alias("_position")
+    )
+    return Slices(
+        tuple(keys), tuple(order), hot, tuple(cut_points(positions, "_position", cuts))
+    )

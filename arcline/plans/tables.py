@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from arcline.operators import clean as C
 from arcline.operators import quality as Q
@@ -46,7 +47,9 @@ def build_tables(
 
 def with_shot_ids(shots: DataFrame) -> DataFrame:
     """Surrogate shot_id: position in (game, event, player) order, stable across reruns."""
-    numeric = shots.withColumn("_game", shots["game_id"].try_cast("bigint"))
+    digits = F.col("game_id").try_cast("bigint")
+    message = F.concat(F.lit("game id is not a number: "), "game_id")
+    numeric = shots.withColumn("_game", F.coalesce(digits, F.raise_error(message)))
     order = ["game_event_id", "player_id"]
     return number_rows(numeric, "_game", order, "shot_id").drop("_game")
 
