@@ -11,14 +11,14 @@ from pyspark.ml.classification import (
     LogisticRegression,
     MultilayerPerceptronClassifier,
 )
-from pyspark.ml.feature import SQLTransformer, StandardScaler, VectorAssembler
+from pyspark.ml.feature import SQLTransformer, StandardScaler, VectorAssembler, VectorSizeHint
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from arcline import schemas as S
-from arcline.functions.spatial import spatial_encodings
+from arcline.functions.spatial import SPATIAL_COLUMNS, spatial_encodings
 from arcline.functions.value import value_columns
 from arcline.session import checkpoint_dir
 
@@ -29,7 +29,7 @@ from .sequences import EVENT_FIELDS, PRESSURE_COLUMNS, SEQUENCE_LENGTH, flat_seq
 from .split import time_split
 
 PROBABILITY = "predicted_make_probability"
-SPATIAL_FEATURES = tuple(spatial_encodings())
+SPATIAL_FEATURES = SPATIAL_COLUMNS
 
 # The boosted-tree defaults and the hand-picked search grid.
 TREE_DEFAULTS = {
@@ -275,10 +275,10 @@ def search_trees(
     Returns the refitted model, the leaderboard and the run record. The loop is over
     configurations; each fit runs on the cluster over inner rows cached once.
     """
-    labelled = time_split(train, inner_fraction).persist()
+    labelled = time_split(train, inner_fraction, name="_side").persist()
     try:
-        inner = labelled.where(F.col("split") == "train")
-        validation = labelled.where(F.col("split") == "test")
+        inner = labelled.where(F.col("_side") == "train").drop("_side")
+        validation = labelled.where(F.col("_side") == "test").drop("_side")
         trials = []
         for index, config in enumerate(configs or grid_configs()):
             model = fit_trees(inner, features, label, **config)
@@ -381,14 +381,15 @@ def fit_challenger(
     features = features or feature_columns("pressure")
     prepared = Pipeline(stages=preprocessor(train, features, scale=True)).fit(train)
     statistics = sequence_statistics(train)
-    joined = VectorAssembler(
-        inputCols=["_features", "_sequence"], outputCol="_joined", handleInvalid="keep"
+    sized = VectorSizeHint(
+        inputCol="_sequence", size=SEQUENCE_LENGTH * len(EVENT_FIELDS), handleInvalid="error"
     )
+    joined = VectorAssembler(inputCols=["_features", "_sequence"], outputCol="_joined")
 
     def assemble(df: DataFrame) -> DataFrame:
         filled = F.transform(standardised_sequence(statistics), lambda v: F.coalesce(v, F.lit(0.0)))
         ready = prepared.transform(df).withColumn("_sequence", array_to_vector(filled))
-        return joined.transform(ready)
+        return joined.transform(sized.transform(ready))
 
     width = len(features) + SEQUENCE_LENGTH * len(EVENT_FIELDS)
     network = MultilayerPerceptronClassifier(
