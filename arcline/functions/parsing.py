@@ -15,20 +15,26 @@ def as_column(value: Column | str) -> Column:
 
 def number(value: Column | str) -> Column:
     """Lenient double: bad text and NaN are NULL."""
-    parsed = as_column(value).try_cast("double")
-    return F.when(~F.isnan(parsed), parsed)
+    return F.nanvl(as_column(value).try_cast("double"), F.lit(None).cast("double"))
 
 
 def integer(value: Column | str) -> Column:
-    """Lenient bigint: accepts ``'1'`` and ``'1.0'``; fractions are NULL, never truncated."""
-    parsed = number(value)
-    return F.when(parsed == F.floor(parsed), parsed.try_cast("bigint"))
+    """Lenient bigint: accepts ``'1'`` and ``'1.0'``; fractions are NULL, never truncated.
+
+    Values are read as doubles, which is exact below 2^53; larger ones are read again as
+    integers. (A failed text-to-bigint cast is slow, so it is not tried first.)
+    """
+    text = as_column(value).cast("string")
+    real = text.try_cast("double")
+    return F.when(
+        F.abs(real) < float(1 << 53), F.when(real == F.floor(real), real.try_cast("bigint"))
+    ).when(real.isNotNull(), text.try_cast("bigint"))
 
 
 def flag(value: Column | str) -> Column:
     """0/1 flag to nullable boolean; real booleans and 'true'/'false' pass through."""
-    column = as_column(value)
-    return F.coalesce(number(column.cast("string")) != 0, column.cast("string").try_cast("boolean"))
+    text = as_column(value).cast("string")
+    return F.coalesce(text.try_cast("boolean"), number(text) != 0)
 
 
 def padded_game_id(value: Column | str, width: int = 10) -> Column:
@@ -53,10 +59,16 @@ def minutes(value: Column | str, mode: str = "row") -> Column:
 def game_date(value: Column | str, mode: str = "row") -> Column:
     """Date from ``YYYYMMDD`` or ISO text; ``mode`` 'row', 'compact' or 'iso'."""
     text = F.trim(as_column(value).cast("string"))
-    compact = F.when(text.rlike(r"^\d{8}$"), F.try_to_date(text, "yyyyMMdd"))
-    iso = F.when(~text.rlike(r"^\d{8}$"), text.try_cast("timestamp").cast("date"))
-    choices = {"row": F.coalesce(compact, iso), "compact": compact, "iso": iso}
-    return choices[mode]
+    is_compact = text.rlike(r"^\d{8}$")
+    dashed = F.concat_ws(
+        "-", F.substring(text, 1, 4), F.substring(text, 5, 2), F.substring(text, 7, 2)
+    )
+    choices = {
+        "row": F.when(is_compact, dashed).otherwise(text),
+        "compact": F.when(is_compact, dashed),
+        "iso": F.when(~is_compact, text),
+    }
+    return choices[mode].try_cast("date")
 
 
 def positive_id(value: Column | str) -> Column:

@@ -27,6 +27,16 @@ def require_positive(df: DataFrame, *columns: str) -> DataFrame:
     return df
 
 
+def evaluate_once(df: DataFrame) -> DataFrame:
+    """Keep later filters from repeating the parsing expressions.
+
+    A filter above a projection is rewritten in terms of the projection's inputs, which
+    doubles every parse and makes one generated method too large to compile. Passing the
+    row through a one-element ``inline`` keeps the filter on the parsed values.
+    """
+    return df.select(F.inline(F.array(F.struct(*df.columns))))
+
+
 def in_schema(df: DataFrame, schema) -> DataFrame:
     """Columns of ``schema`` in order and type; absent ones become NULL."""
     return df.select(
@@ -82,7 +92,7 @@ def clean_shots(raw: DataFrame, *, date_format: str = "row", first_by: list[Colu
         "shot_made_flag",
         "game_date",
     )
-    df = require_positive(require_complete(df, required), "player_id")
+    df = require_positive(require_complete(evaluate_once(df), required), "player_id")
     return keep_first(in_schema(df, S.SHOTS), list(S.NATURAL_KEYS["shots"]), first_by)
 
 
@@ -112,7 +122,7 @@ def clean_game_logs(
     }
     df = df.withColumns({name: value for name, value in changes.items() if name in df.columns})
     required = ("season_year", "game_id", "game_date", "matchup", "win_loss", "team_id")
-    df = require_complete(df, (*required, *S.NATURAL_KEYS[table]))
+    df = require_complete(evaluate_once(df), (*required, *S.NATURAL_KEYS[table]))
     df = df.where(F.col("win_loss").isin("W", "L"))
     df = require_positive(df, "team_id", *(["player_id"] if players else []))
     return keep_first(in_schema(df, schema), list(S.NATURAL_KEYS[table]), first_by)
@@ -137,7 +147,7 @@ def clean_events(raw: DataFrame, *, first_by: list[Column | str] | None = None)
     }
     df = df.withColumns({name: value for name, value in changes.items() if name in df.columns})
     keys = S.NATURAL_KEYS["play_by_play"]
-    df = require_complete(df, (*keys, "period", "game_clock"))
+    df = require_complete(evaluate_once(df), (*keys, "period", "game_clock"))
     return keep_first(in_schema(df, S.PLAY_BY_PLAY), list(keys), first_by)
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from arcline.functions.shots import possessions
 
+from .skew import Slices, plan_slices
 from .windows import keep_first, shift_roll
 
 # Feature suffix -> ratio (numerator, denominator) or mean of one column.
@@ -64,6 +65,7 @@ def recent_form(
     date: str = "game_date",
     window: int = 5,
     unique_key: bool = False,
+    slices: Slices | None = None,
 ) -> DataFrame:
     """One row per (game, entity) with form over the ``window`` games before it.
 
@@ -77,6 +79,7 @@ def recent_form(
     rolled = shift_roll(
         logs.select(game, entity, date, *used), [entity], [date, game], {**sums, **averages},
         window=window,
+        slices=slices,
     )
     ratio_columns = [
         F.when(F.col(f"_sum_{bottom}") > 0, F.col(f"_sum_{top}") / F.col(f"_sum_{bottom}")).alias(name)
@@ -101,6 +104,11 @@ def with_possessions(logs: DataFrame) -> DataFrame:
     )
 
 
+def team_slices(logs: DataFrame) -> Slices:
+    """Slicing plan that team and opponent form share."""
+    return plan_slices(logs, ["team_id"], ["game_date", "game_id"])
+
+
 def team_form(logs: DataFrame, **options) -> DataFrame:
     return recent_form(with_possessions(logs), "team_id", TEAM_RATIOS, TEAM_MEANS, **options)
 
@@ -140,6 +148,8 @@ def opponent_allowed(
 
 def opponent_form(logs: DataFrame, **options) -> DataFrame:
     allowed = with_possessions(opponent_allowed(logs))
+    # One row per log row at most, so the log itself tells which teams are large.
+    options.setdefault("slices", team_slices(logs))
     return recent_form(allowed, "team_id", OPPONENT_RATIOS, OPPONENT_MEANS, **options)
 
 

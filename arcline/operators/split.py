@@ -57,10 +57,11 @@ def find_time_cut(
             same_day.select(F.col(game).cast("bigint").alias("_id"), F.length(game).alias("_w")),
             "_id",
             inside,
+            rows=hit["_games"],
         )
         width = same_day.agg(F.max(F.length(game))).first()[0]
         return TimeCut(hit[date], str(number).zfill(width))
-    return TimeCut(hit[date], nth_smallest(same_day.select(game), game, inside))
+    return TimeCut(hit[date], nth_smallest(same_day.select(game), game, inside, rows=hit["_games"]))
 
 
 def time_split(

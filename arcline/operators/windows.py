@@ -16,15 +16,16 @@ def shift_roll(
     measures: dict[str, tuple[str, str]],
     *,
     window: int = 5,
-    rows_per_slice: int | None = None,
+    slices: Slices | None = None,
 ) -> DataFrame:
     """Aggregate the ``window`` rows before each row, never the row itself.
 
     ``measures`` maps an output name to ('sum' | 'avg', column). A first row of a key gets
     NULL; missing values are skipped. All measures share one shuffle and one sort.
-    ``order`` must be a total order within a key.
+    ``order`` must be a total order within a key. ``slices`` reuses a plan made on a cheaper
+    frame that has at least as many rows per key.
     """
-    slices = plan_slices(df, keys, order, rows_per_slice=rows_per_slice)
+    slices = slices or plan_slices(df, keys, order)
     rows = slices.carry_rows(slices.assign(df), window)
     frame = slices.window().rowsBetween(-window, -1)
     functions = {"sum": F.sum, "avg": F.avg}
@@ -73,23 +74,19 @@ def keep_first(
 ) -> DataFrame:
     """One row per key: the first by ``order``, ties broken by all other columns.
 
-    Written as a minimum over a struct so that copies are dropped before the shuffle: a
-    key with very many copies never gathers in one task.
+    ``row_number() == 1`` lets Spark cut every key to one row per task before the shuffle
+    (WindowGroupLimit), so a key with very many copies never gathers in one task.
     """
-    others = [c for c in df.columns if c not in keys]
-    if not others:
-        return df.distinct()
     ranked = [F.col(c) if isinstance(c, str) else c for c in (order or [])]
-    lead = [column.alias(f"_o{i}") for i, column in enumerate(ranked)]
-    first = F.min(F.struct(*lead, *[F.col(c) for c in others])).alias("_first")
-    kept = df.groupBy(*keys).agg(first)
-    return kept.select(*[F.col(c) if c in keys else F.col(f"_first.{c}").alias(c) for c in df.columns])
+    others = [F.col(c) for c in df.columns if c not in keys]
+    first = F.row_number().over(W.partitionBy(*keys).orderBy(*ranked, *(others or keys)))
+    return df.withColumn("_first", first).where(F.col("_first") == 1).drop("_first")
 
 
 def longest_text(df: DataFrame, key: str, text: str, priority: str) -> DataFrame:
     """Per key the longest text; ties go to the lower ``priority``, then alphabetically."""
-    best = F.min(F.struct((-F.length(text)).alias("_len"), F.col(priority), F.col(text)))
-    return df.groupBy(key).agg(best.alias("_best")).select(key, F.col(f"_best.{text}").alias(text))
+    order = [F.desc(F.length(text)), F.asc(priority), F.asc(text)]
+    return keep_first(df.select(key, text, priority), [key], order).select(key, text)
 
 
 def change_from_previous(

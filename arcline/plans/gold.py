@@ -48,6 +48,7 @@ def gold_features(
     """Base columns, 18 form columns, two margin columns. ``events=None`` leaves margins NULL."""
     options = {"unique_key": unique_logs}
     rows = R.attach_form(base, R.player_form(player_logs, **options), {"game_id": "game_id", "player_id": "player_id"})
+    options["slices"] = R.team_slices(team_logs)
     rows = R.attach_form(rows, R.team_form(team_logs, **options), {"game_id": "game_id", "team_id": "team_id"})
     rows = R.attach_form(
         rows,

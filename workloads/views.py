@@ -9,6 +9,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from arcline.operators.clean import evaluate_once
+
 TABLES = (
     "region",
     "nation",
@@ -235,7 +237,9 @@ class Tables:
     def __getitem__(self, name: str) -> DataFrame:
         if name in VIEWS:
             self._register(name)
-            return self.spark.sql(with_views((name,), f"select * from {name}"))
+            view = self.spark.sql(with_views((name,), f"select * from {name}"))
+            # Raw views stand for files: their texts are made once, not per use.
+            return evaluate_once(view) if name.startswith("v_raw") else view
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
     def _register(self, view: str) -> None:
