@@ -277,8 +277,8 @@ def sequence_quality(sequences: DataFrame) -> DataFrame:
     )
 
 
-def pressure_features(sequences: DataFrame) -> DataFrame:
-    """Shot-level pressure columns from the event arrays, keyed by shot_id."""
+def pressure_columns() -> dict[str, Column]:
+    """Pressure expressions over ``seq`` and the shot's period clock."""
     seq = F.col("seq")
 
     def ages(events: Column) -> Column:
@@ -294,13 +294,17 @@ def pressure_features(sequences: DataFrame) -> DataFrame:
     def total(field: str) -> Column:
         return F.aggregate(seq, F.lit(0.0), lambda acc, e: acc + e[field])
 
-    return sequences.select(
-        "shot_id",
-        "shot_seconds_remaining_period",
-        late.alias("late_clock_proxy"),
-        *[contains(field).alias(name) for name, field in SUMMARY_FLAGS.items()],
-        *[total(field).alias(name) for name, field in SUMMARY_COUNTS.items()],
-    )
+    return {
+        "shot_seconds_remaining_period": F.col("shot_seconds_remaining_period"),
+        "late_clock_proxy": late,
+        **{name: contains(field) for name, field in SUMMARY_FLAGS.items()},
+        **{name: total(field) for name, field in SUMMARY_COUNTS.items()},
+    }
+
+
+def pressure_features(sequences: DataFrame) -> DataFrame:
+    """Shot-level pressure columns from the event arrays, keyed by shot_id."""
+    return sequences.select("shot_id", *[c.alias(n) for n, c in pressure_columns().items()])
 
 
 def sequence_coverage(shots: DataFrame, sequences: DataFrame) -> DataFrame:
@@ -325,5 +329,8 @@ def align_sequences(shots: DataFrame, sequences: DataFrame) -> DataFrame:
     return shots.join(sequences.select("shot_id", "seq", "max_prior_action"), "shot_id")
 
 
-def attach_pressure(features: DataFrame, sequences: DataFrame) -> DataFrame:
-    return features.join(pressure_features(sequences), "shot_id", "left")
+def attach_pressure(features: DataFrame, sequences: DataFrame, *, keep_seq: bool = False) -> DataFrame:
+    """Features with pressure columns (and the arrays themselves), in one join by shot."""
+    kept = [F.col("seq")] if keep_seq else []
+    columns = [c.alias(n) for n, c in pressure_columns().items()]
+    return features.join(sequences.select("shot_id", *kept, *columns), "shot_id", "left")

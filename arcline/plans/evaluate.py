@@ -16,22 +16,25 @@ from arcline.sources.layout import Layout
 from arcline.sources.sinks import write_frame
 
 
-def season_sequences(spark: SparkSession, layout: Layout, season: str) -> DataFrame:
-    """Sequences of every shot of a season."""
-    return Q.build_sequences(
+def build_season_sequences(spark: SparkSession, layout: Layout, season: str) -> DataFrame:
+    """Sequences of every shot of a season, written once; checks and models read the files."""
+    path = f"{layout.table('shot_sequences')}/season={season}"
+    built = Q.build_sequences(
         read.sequence_shots(spark, layout, season), read.sequence_events(spark, layout, season)
     )
+    write_frame(built, path)
+    return read.read_files(spark, path, f"sequences of {season}")
 
 
 def checked_sequences(shots: DataFrame, sequences: DataFrame) -> DataFrame:
-    """Shots with sequences and pressure columns; fails on leakage or missing coverage."""
+    """Shots with ``seq`` and pressure columns; fails on leakage or missing coverage."""
     quality = Q.sequence_quality(sequences).first()
     if not quality["leakage_check_passed"]:
         raise QualityError("a sequence holds an event at or after its shot")
     gaps = {row["check"]: row["count"] for row in Q.sequence_coverage(shots, sequences).collect()}
     if any(gaps.values()):
         raise QualityError(f"sequences do not cover the shots: {gaps}")
-    return Q.attach_pressure(Q.align_sequences(shots, sequences), sequences)
+    return Q.attach_pressure(shots, sequences, keep_seq=True)
 
 
 def predict_split(

@@ -954,9 +954,7 @@ def challenger_scores(t):
     outcome = t["v_events"].select(
         F.col("action_number").alias("shot_id"), (F.col("shot_result") == "Made").alias(S.TARGET)
     )
-    rows = attach_pressure(shots.join(outcome, "shot_id"), sequences).join(
-        sequences.select("shot_id", "seq"), "shot_id"
-    )
+    rows = attach_pressure(shots.join(outcome, "shot_id"), sequences, keep_seq=True)
     features = ["period", "late_clock_proxy", "prior_5_turnover_count", "prior_5_foul_count"]
     ready = M.model_frame(rows.select("shot_id", "seq", *features, S.TARGET), features)
     predict = M.fit_challenger(ready, features=features, hidden=(8,), max_iter=5)
