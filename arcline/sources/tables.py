@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from arcline import schemas as S
 from arcline.operators.quality import require_columns
@@ -167,7 +168,7 @@ def read_run_summaries(spark: SparkSession, path: str) -> tuple[DataFrame, DataF
     Two layouts exist: 'default' holds its metrics nested, 'search' holds test and
     validation scores at the top level.
     """
-    schema = S.RUN_SUMMARY.add("_corrupt_record", "string")
+    schema = T.StructType([*S.RUN_SUMMARY.fields, T.StructField("_corrupt_record", T.StringType())])
     runs = (
         spark.read.schema(schema)
         .option("multiLine", True)
