@@ -47,6 +47,11 @@ def order_position(df: DataFrame, column: str) -> Column:
     return F.coalesce(number.cast("double"), F.lit(LOWEST))
 
 
+def full_position(df: DataFrame, column: str, tie_break: TieBreak | None) -> Column:
+    lead = order_position(df, column)
+    return lead if tie_break is None else lead + tie_break.fraction()
+
+
 def even_shares(parts: int) -> Column:
     """The array 1/parts, 2/parts, … below 1, as one parsed literal."""
     return F.expr("array(" + ", ".join(f"{i / parts!r}D" for i in range(1, parts)) + ")")
@@ -74,6 +79,47 @@ def bucket_by(df: DataFrame, position: str, bounds: list[float], output: str) ->
     return bucketizer.transform(df).withColumn(output, F.col(output).cast("int"))
 
 
+@dataclass(frozen=True)
+class TieBreak:
+    """Second order column scaled into [0, 1), so that rows tied on the first can be cut.
+
+    Adding it to the leading position keeps the order: a rounded sum can only make
+    neighbours equal, and equal positions share a slice.
+    """
+
+    column: str
+    low: float
+    high: float
+
+    def fraction(self) -> Column:
+        value = F.col(self.column).cast("double")
+        scaled = (value - self.low) / (self.high - self.low + 1.0)
+        return F.coalesce(F.least(F.greatest(scaled, F.lit(0.0)), F.lit(1.0 - 2**-30)), F.lit(0.0))
+
+
+def find_tie_break(df: DataFrame, column: str) -> TieBreak | None:
+    """Range of a number column, or of ids that are digits of one length; else None."""
+    kind = df.schema[column].dataType
+    if isinstance(kind, T.StringType):
+        found = df.agg(
+            F.bool_and(F.col(column).rlike(r"^\d+$")).alias("digits"),
+            F.min(F.length(column)).alias("short"),
+            F.max(F.length(column)).alias("long"),
+            F.min(F.col(column).try_cast("double")).alias("low"),
+            F.max(F.col(column).try_cast("double")).alias("high"),
+        ).first()
+        if not found["digits"] or found["short"] != found["long"]:
+            return None
+    elif isinstance(kind, T.NumericType):
+        found = df.agg(
+            F.min(F.col(column).cast("double")).alias("low"),
+            F.max(F.col(column).cast("double")).alias("high"),
+        ).first()
+    else:
+        return None
+    return None if found["low"] is None else TieBreak(column, found["low"], found["high"])
+
+
 @dataclass(frozen=True)
 class Slices:
     """How one key/order pair is cut; ``hot`` is None when no key needs cutting."""
@@ -82,6 +128,7 @@ class Slices:
     order: tuple[str, ...]
     hot: DataFrame | None
     bounds: tuple[float, ...]
+    tie_break: TieBreak | None = None
 
     @property
     def partition(self) -> list[str]:
@@ -94,8 +141,9 @@ class Slices:
         """Add the slice number and an unset carry mark (nothing on the plain path)."""
         if self.hot is None:
             return df
-        placed = df.withColumn("_position", order_position(df, self.order[0]))
-        placed = bucket_by(placed, "_position", list(self.bounds), SLICE).drop("_position")
+        position = full_position(df, self.order[0], self.tie_break)
+        placed = bucket_by(df.withColumn("_position", position), "_position", list(self.bounds), SLICE)
+        placed = placed.drop("_position")
         # At most MAX_HOT_KEYS rows, so broadcasting this side is safe.
         hot = F.broadcast(self.hot.withColumn("_hot", F.lit(True)))
         return (
@@ -188,7 +236,8 @@ def plan_slices(
     One column-pruned count per key, pre-aggregated before its shuffle. At most
     ``MAX_HOT_KEYS`` keys reach the driver; a key beyond them holds less than
     1/MAX_HOT_KEYS of all rows. Cut points are quantiles of the order column over the rows
-    of those keys, so a slice of a key holds at most about ``rows_per_slice`` rows plus ties.
+    of those keys (refined by the second order column), so a slice of a key holds at most
+    about ``rows_per_slice`` rows plus exact ties.
     """
     spark = df.sparkSession
     limit = rows_per_slice or slice_rows(spark)
@@ -206,9 +255,8 @@ def plan_slices(
     key_schema = T.StructType([df.schema[k] for k in keys])
     hot = spark.createDataFrame([tuple(row[k] for k in keys) for row in counts], key_schema)
     cuts = min(MAX_SLICES, -(-sum(row["_rows"] for row in counts) // limit))
-    positions = df.join(F.broadcast(hot), keys, "left_semi").select(
-        order_position(df, order[0]).alias("_position")
-    )
-    return Slices(
-        tuple(keys), tuple(order), hot, tuple(cut_points(positions, "_position", cuts))
-    )
+    rows = df.join(F.broadcast(hot), keys, "left_semi")
+    tie_break = find_tie_break(rows, order[1]) if len(order) > 1 else None
+    positions = rows.select(full_position(rows, order[0], tie_break).alias("_position"))
+    bounds = cut_points(positions, "_position", cuts)
+    return Slices(tuple(keys), tuple(order), hot, tuple(bounds), tie_break)

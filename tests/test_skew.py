@@ -123,7 +123,20 @@ def test_hot_keys_are_cut_into_bounded_slices(log, slices):
     plan = plan_slices(log, ["k"], ["t", "id"])
     sizes = plan.assign(log).groupBy("k", "_slice").count()
     assert plan.hot.count() >= 1
-    assert sizes.agg(F.max("count")).first()[0] <= 60  # about 20 rows plus ties of one position
+    assert sizes.agg(F.max("count")).first()[0] <= 45  # about 20 rows per slice
+
+
+@pytest.mark.parametrize("text_ids", [False, True])
+def test_one_key_on_one_day_is_cut_too(spark, slices, text_ids):
+    ids = F.lpad(F.col("id").cast("string"), 10, "0") if text_ids else F.col("id")
+    day = F.lit("2024-01-01").cast("date")
+    log = spark.range(1000).select(F.lit(1).alias("k"), day.alias("d"), ids.alias("g"), F.col("id").alias("v"))
+    slices(50)
+    plan = plan_slices(log, ["k"], ["d", "g"])
+    assert plan.assign(log).groupBy("_slice").count().agg(F.max("count")).first()[0] <= 100
+    got = windows.shift_roll(log, ["k"], ["d", "g"], {"s": ("sum", "v")})
+    found = {r["v"]: r["s"] for r in got.collect()}
+    assert found[0] is None and all(found[i] == sum(range(max(0, i - 5), i)) for i in range(1, 1000))
 
 
 def test_cold_keys_take_the_plain_plan(log):
