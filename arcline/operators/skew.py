@@ -39,7 +39,9 @@ def order_position(df: DataFrame, column: str) -> Column:
     elif isinstance(kind, T.TimestampType):
         number = F.unix_micros(value)
     elif isinstance(kind, T.TimestampNTZType):
-        number = F.unix_micros(value.cast("timestamp"))
+        # Built from its parts: a cast to timestamp would depend on the session time zone.
+        seconds = F.hour(value) * 3600 + F.minute(value) * 60 + F.date_part(F.lit("SECOND"), value)
+        number = F.unix_date(value.cast("date")).cast("double") * 86_400 + seconds.cast("double")
     elif isinstance(kind, (T.NumericType, T.BooleanType)):
         number = value
     else:

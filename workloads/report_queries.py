@@ -412,11 +412,11 @@ def sample_rows(t):
 @query(
     "requested_rows_absent",
     ("v_scored",),
-    "select event_id as shot_id from events where event_id not in (select shot_id from v_scored)",
+    "select event_id as game_id from events where event_id not in (select game_id from v_scored)",
 )
 def requested_rows_absent(t):
-    wanted = t["events"].select(F.col("event_id").alias("shot_id"))
-    return G.requested_rows(t["v_scored"], wanted, "shot_id")[1]
+    wanted = t["events"].select(F.col("event_id").alias("game_id"))
+    return G.requested_rows(t["v_scored"], wanted, "game_id")[1]
 
 
 @query(
@@ -495,8 +495,8 @@ def keep_first_rows(t):
     rows = t["lineitem"].select(
         "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_shipdate"
     )
-    newest_first = [-F.unix_micros(F.col("l_shipdate").cast("timestamp"))]
-    return keep_first(rows, ["l_orderkey", "l_linenumber"], newest_first).drop("l_shipdate")
+    kept = keep_first(rows, ["l_orderkey", "l_linenumber"], [F.desc("l_shipdate")])
+    return kept.drop("l_shipdate")
 
 
 _COVERAGE = f"{day('min(game_date)')} as min_date, {day('max(game_date)')} as max_date, count(distinct game_id) as games, count(*) as row_count"

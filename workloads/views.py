@@ -47,7 +47,8 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
     ),
     "v_shots": (
         ("v_games",),
-        """select ((l_orderkey * 10 + l_linenumber) * 100000 + l_partkey) * 100000 + l_suppkey as shot_id,
+        """select concat_ws('-', cast(l_orderkey as string), cast(l_linenumber as string),
+                            cast(l_partkey as string), cast(l_suppkey as string)) as shot_id,
                   l_orderkey as game_id, l_linenumber as game_event_id, o_custkey as player_id,
                   l_suppkey as team_id, g.home_team_id as home_team_id, g.away_team_id as away_team_id,
                   g.season as season, g.game_date as game_date,
