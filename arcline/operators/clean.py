@@ -322,3 +322,13 @@ def game_dimension(
 def distinct_game_ids(raw: DataFrame, column: str = "GAME_ID") -> DataFrame:
     ids = raw.select(P.padded_game_id(column).alias("game_id")).na.drop()
     return ids.distinct().orderBy("game_id")
+
+
+def union_extracts(
+    parts: list[DataFrame], keys: list[str], first_by: list[Column | str] | None = None
+) -> DataFrame:
+    """Several extracts as one: columns matched by name, one row per natural key."""
+    whole = parts[0]
+    for part in parts[1:]:
+        whole = whole.unionByName(part, allowMissingColumns=True)
+    return keep_first(whole, keys, first_by)

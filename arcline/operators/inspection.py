@@ -172,3 +172,21 @@ def inspect_gold(gold: DataFrame, shots: DataFrame, games: DataFrame) -> DataFra
     ).withColumn(
         "passed", clean & (F.col("gold_row_count") > 0) & (F.col("row_count_delta") == 0)
     )
+
+
+def home_flag_check(gold: DataFrame, games: DataFrame, by: list[str]) -> DataFrame:
+    """Rows whose home flag disagrees with the game, in both directions, per group."""
+    sides = games.select(
+        "game_id", F.col("home_team_id").alias("_home"), F.col("away_team_id").alias("_away")
+    )
+    home = F.col("is_home")
+    return (
+        gold.select(*by, "game_id", "team_id", "is_home")
+        .join(sides, "game_id")
+        .groupBy(*by)
+        .agg(
+            F.count_if(home & (F.col("team_id") != F.col("_home"))).alias("is_home_true_but_away"),
+            F.count_if(~home & (F.col("team_id") != F.col("_away"))).alias("is_home_false_but_home"),
+            F.count(F.lit(1)).alias("total_rows"),
+        )
+    )

@@ -771,3 +771,21 @@ def display_labels(t):
         L.shot_result("outcome").alias("result"),
         L.named_id("c_name", "player_id", "Player").alias("player"),
     )
+
+
+@query(
+    "union_extracts",
+    (),
+    f"""with both_parts as (
+      select c_custkey as id, c_name as name, c_nationkey as nation, null as part from customer
+      union all select s_suppkey, s_name, s_nationkey, 'supplier' from supplier
+      union all select s_suppkey, s_name, s_nationkey, 'supplier' from supplier)
+    select id, name, {n('nation')} as nation, part from (
+      select *, row_number() over (partition by id order by name desc, nation, part) as pick from both_parts) where pick = 1""",
+)
+def union_extracts(t):
+    customers = t["customer"].selectExpr("c_custkey as id", "c_name as name", "c_nationkey as nation")
+    suppliers = t["supplier"].selectExpr(
+        "s_suppkey as id", "s_name as name", "s_nationkey as nation", "'supplier' as part"
+    )
+    return C.union_extracts([customers, suppliers, suppliers], ["id"], [F.desc("name")])

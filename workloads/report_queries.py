@@ -959,3 +959,14 @@ def challenger_scores(t):
     ready = M.model_frame(rows.select("shot_id", "seq", *features, S.TARGET), features)
     predict = M.fit_challenger(ready, features=features, hidden=(8,), max_iter=5)
     return predict(ready).select("shot_id", M.PROBABILITY)
+
+
+@query(
+    "home_flag_check",
+    ("v_shots",),
+    f"""select season, {n('sum(case when team_id = home_team_id and team_id <> home_team_id then 1 else 0 end)')} as is_home_true_but_away,
+        {n('sum(case when team_id <> home_team_id and team_id <> away_team_id then 1 else 0 end)')} as is_home_false_but_home,
+        count(*) as total_rows from v_shots group by season""",
+)
+def home_flag_check(t):
+    return I.home_flag_check(base_rows(t), t["v_games"], ["season"])
