@@ -200,7 +200,7 @@ def parse_matchups(
     """
     # Two narrow columns of a team dimension; Spark broadcasts them when its size check allows.
     codes = teams.select(F.upper("abbreviation").alias("_code"), F.col("team_id").alias("_id"))
-    parsed = logs.withColumn("_m", P.matchup(text))
+    parsed = evaluate_once(logs.withColumn("_m", P.matchup(text)))
     parsed = parsed.join(
         codes.withColumnsRenamed({"_code": "_own", "_id": "row_team_id"}),
         F.col("_m.team") == F.col("_own"),
