@@ -15,6 +15,11 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 BROADCAST_BYTES = 16 << 20
 
 
+def let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once per row, however often the body uses it."""
+    return F.transform(F.array(value), lambda bound: body(bound))[0]
+
+
 def word_count(text: Column) -> Column:
     """Number of words of a text; 0 for null."""
     return F.when(text.isNull(), F.lit(0)).otherwise(F.regexp_count(text, F.lit(WORD))).cast("long")

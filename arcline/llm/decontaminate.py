@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .columns import ascii_lower, saved, small
+from .columns import ascii_lower, let, saved, small
 
 # Separators of contract words: ASCII other than letters and digits.
 BREAKS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -28,7 +28,7 @@ def _grams(words: Column, n: int, of) -> Column:
 def winnow(words: Column, gram: int, window: int) -> Column:
     """Distinct smallest gram hash of every run of ``window`` words (window >= gram)."""
     hashes = _grams(words, gram, lambda part: F.xxhash64(part, F.lit(gram)))
-    return F.array_distinct(_grams(hashes, window - gram + 1, F.array_min))
+    return let(hashes, lambda h: F.array_distinct(_grams(h, window - gram + 1, F.array_min)))
 
 
 def decontaminate(
@@ -66,8 +66,10 @@ def decontaminate(
     gives a row without hits. Empty tables give empty results, or no hits. Other columns are ignored.
     """
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    items = benchmark.select(F.col(item_id).alias("item_id"), benchmark_words(F.col(item_text)).alias("words")).where(
-        F.size("words") > 0
+    items = saved(
+        benchmark.select(F.col(item_id).alias("item_id"), benchmark_words(F.col(item_text)).alias("words")).where(
+            F.size("words") > 0
+        )
     )
     short = F.size("words") < window
     lengths = sorted(r[0] for r in items.where(short).select(F.size("words")).distinct().collect())
@@ -90,20 +92,21 @@ def decontaminate(
     )
     n_windows = windows.count()
 
-    words = rows.withColumn("words", benchmark_words(F.col("text")))
-    prints = [winnow(F.col("words"), gram, window)]
-    prints += [_grams(F.col("words"), n, lambda part, n=n: F.xxhash64(part, F.lit(n))) for n in lengths]
-    found = words.select("doc_id", F.explode(F.concat(*prints)).alias("print")).join(
+    def prints(words: Column) -> Column:
+        whole = [_grams(words, n, lambda part, n=n: F.xxhash64(part, F.lit(n))) for n in lengths]
+        return F.concat(winnow(words, gram, window), *whole)
+
+    words = benchmark_words(F.col("text"))
+    found = rows.select("doc_id", F.explode(let(words, prints)).alias("print")).join(
         small(item_prints, n_windows, 16), "print", "left_semi"
     )
     candidates = saved(found.where(F.col("doc_id").isNotNull()).select("doc_id").distinct())
 
     chosen = rows.join(small(candidates, candidates.count(), 16), "doc_id", "left_semi")
-    chosen = chosen.withColumn("words", benchmark_words(F.col("text")))
     spans = [
         chosen.select(
             "doc_id",
-            F.posexplode(_grams(F.col("words"), n, lambda part: F.array_join(part, " "))).alias("at", "window"),
+            F.posexplode(let(words, lambda w, n=n: _grams(w, n, lambda part: F.array_join(part, " ")))).alias("at", "window"),
             F.lit(n).alias("span"),
         )
         for n in [*lengths, window]
