@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, mixing, urls
+from . import decontaminate, html_text, language, mixing, quality, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -55,3 +55,22 @@ def op9_benchmark_decontamination(spark: SparkSession, folder: str) -> DataFrame
     return decontaminate.decontaminate(table(spark, folder, "documents"), table(spark, folder, "benchmark")).drop(
         "item_ids"
     )
+
+
+@query
+def op3_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    rated = table(spark, folder, "labels").select(
+        "doc_id", quality.label_grade(F.col("quality"), F.col("toxic")).alias("grade")
+    )
+    return quality.grade_documents(docs, quality.fit_quality(rated, docs)).drop("text")
+
+
+@query
+def op4_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    return language.identify_languages(table(spark, folder, "documents")).drop("symbols")
+
+
+@query
+def op5_html_extraction(spark: SparkSession, folder: str) -> DataFrame:
+    return html_text.extract_main_text(table(spark, folder, "pages")).drop("container")
