@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, html_text, language, mixing, quality, urls
+from . import decontaminate, fingerprints, html_text, language, mixing, quality, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -74,3 +74,8 @@ def op4_language_id(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op5_html_extraction(spark: SparkSession, folder: str) -> DataFrame:
     return html_text.extract_main_text(table(spark, folder, "pages")).drop("container")
+
+
+@query
+def op10_document_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
+    return fingerprints.fingerprint_documents(table(spark, folder, "documents"))
