@@ -14,9 +14,9 @@ from pyspark.sql import functions as F
 from .buffers import mixed
 from .columns import saved
 
-# Pieces: cut where a hash of four characters ends in seven zero bits, and after LONGEST characters.
-CUT_MASK, LONGEST = np.uint32(127), 1024
-BANDS, SLOTS = 4, 64
+# Pieces: cut where a hash of four characters has six zero bits, and after LONGEST characters.
+CUT_MASK, LONGEST = np.uint32(63), 512
+BANDS, SLOTS = 2, 64
 # Code points whose arrays a worker holds at once.
 CHUNK_POINTS = 1 << 20
 
@@ -135,8 +135,8 @@ def fingerprint_documents(
 ) -> DataFrame:
     """Per row: doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next.
 
-    A text is cut into pieces by its content (128 characters on average, 1,024 at most); each
-    piece is embedded by the shared random walk, four bands of sampled steps give signatures, and
+    A text is cut into pieces by its content (64 characters on average, 512 at most); each
+    piece is embedded by the shared random walk, two bands of sampled steps give signatures, and
     64 slots keep the smallest hash over all signatures of the whole text. Likeness is the share
     of equal slots.
 
