@@ -89,7 +89,8 @@ def mix_sources(
     counts = placed.groupBy(*cell).agg(F.count(F.lit(1)).alias("_rows"))
     line = Window.partitionBy("mix_key").orderBy("_class", "_salt").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(*cell, F.coalesce(F.sum("_rows").over(line), F.lit(0)).alias("_before"))
-    ranked = placed.withColumn("_in_cell", F.row_number().over(Window.partitionBy(*cell).orderBy("size", "doc_id")))
+    # Dealt by cell: a join by source must not leave a large source in one task.
+    ranked = placed.repartition(*cell).withColumn("_in_cell", F.row_number().over(Window.partitionBy(*cell).orderBy("size", "doc_id")))
     start = F.conv(F.substring(F.md5(F.concat(F.lit(seed), F.col("mix_key"))), 1, 4), 16, 10).cast("double") / 65536.0
     expected = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     rank = F.col("_before") + F.col("_in_cell")
