@@ -85,7 +85,27 @@ judged as (
 """
 OP9 = "with " + HITS.format(docs="documents") + "select * from judged"
 
+# {docs} has doc_id and text.
+KEPT = r"""
+kwords as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w from {docs}),
+kwindows as (
+  select doc_id, i, array_to_string(w[i : i + 12], ' ') as win
+  from (select doc_id, w, unnest(range(1, len(w) - 11)) as i from kwords where len(w) >= 13)),
+kfirst as (select win, min(doc_id) as least from kwindows group by win having min(doc_id) < max(doc_id)),
+kgone as (
+  select distinct doc_id, unnest(range(i, i + 13)) as p
+  from (select doc_id, i from kwindows join kfirst using (win) where doc_id > least)),
+klists as (select doc_id, list(p) as gone from kgone group by doc_id),
+kept as (
+  select doc_id, len(w) as n_words, coalesce(len(gone), 0) as n_removed,
+    case when gone is null then array_to_string(w, ' ')
+      else array_to_string(list_filter(w, lambda x, i: not list_contains(gone, i)), ' ') end as kept_text
+  from kwords left join klists using (doc_id))
+"""
+OP1 = "with " + KEPT.format(docs="documents") + "select doc_id, n_words, n_removed, sha256(kept_text) as kept_sha256 from kept"
+
 CHECKS = {
+    "op1_substring_dedup": OP1,
     "op2_url_filters": OP2,
     "op8_mixing_sources": OP8,
     "op9_benchmark_decontamination": OP9,

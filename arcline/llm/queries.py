@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, fingerprints, html_text, language, mixing, quality, urls
+from . import decontaminate, fingerprints, html_text, language, mixing, quality, substrings, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -79,3 +79,10 @@ def op5_html_extraction(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op10_document_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
     return fingerprints.fingerprint_documents(table(spark, folder, "documents"))
+
+
+@query
+def op1_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return substrings.remove_repeated_words(table(spark, folder, "documents")).select(
+        "doc_id", "n_words", "n_removed", "kept_sha256"
+    )
