@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, fingerprints, html_text, language, mixing, quality, substrings, urls
+from . import decontaminate, fingerprints, html_text, language, mixing, quality, substrings, suffixes, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -86,3 +86,10 @@ def op1_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return substrings.remove_repeated_words(table(spark, folder, "documents")).select(
         "doc_id", "n_words", "n_removed", "kept_sha256"
     )
+
+
+@query
+def op7_suffix_array_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return suffixes.remove_repeated_bytes(table(spark, folder, "documents")).select(
+        "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"
+    )
