@@ -104,7 +104,30 @@ kept as (
 """
 OP1 = "with " + KEPT.format(docs="documents") + "select doc_id, n_words, n_removed, sha256(kept_text) as kept_sha256 from kept"
 
+# {docs} has doc_id and text.
+SIMILAR = r"""
+swords as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w
+  from {docs}),
+shingles as (
+  select distinct doc_id, array_to_string(w[i : i + 4], ' ') as s
+  from (select doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) as i from swords where len(w) > 0)),
+ssizes as (select doc_id, count(*) as n from shingles group by doc_id),
+slinks as (
+  select a.doc_id as a, b.doc_id as b
+  from shingles a join shingles b on a.s = b.s and a.doc_id <> b.doc_id
+  join ssizes x on x.doc_id = a.doc_id join ssizes y on y.doc_id = b.doc_id
+  group by a.doc_id, b.doc_id, x.n, y.n having 7 * count(*) >= 3 * (x.n + y.n)),
+reached(doc_id, other) as (
+  select doc_id, doc_id from swords union select r.doc_id, l.b from reached r join slinks l on l.a = r.other),
+joined as (
+  select s.doc_id, coalesce(z.n, 0) as n_shingles, min(r.other) as component_id
+  from swords s join reached r using (doc_id) left join ssizes z using (doc_id) group by s.doc_id, z.n)
+"""
+OP6 = "with recursive " + SIMILAR.format(docs="documents") + "select * from joined"
+
 CHECKS = {
+    "op6_ngram_jaccard_join": OP6,
     "op1_substring_dedup": OP1,
     "op2_url_filters": OP2,
     "op8_mixing_sources": OP8,
