@@ -128,13 +128,14 @@ class Sizes:
         return 1 << self.bits
 
 
-def prepared(docs: DataFrame, doc_id: str, text: str) -> tuple[DataFrame, Sizes]:
-    """Rows (doc_id, id, version, part, text) and the numbers of buckets and parts.
+def prepared(docs: DataFrame, doc_id: str, text: str, carry: tuple[str, ...] = ()) -> tuple[DataFrame, Sizes]:
+    """Rows (doc_id, id, version, text, and a struct ``carried``) and the numbers of buckets and parts.
 
     A null id counts after every other. The version tells apart rows of one id with different
     texts; it is 0 everywhere if there are none.
     """
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    carried = [F.struct(*carry).alias("carried")] if carry else []
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), *carried)
     hashed = rows.groupBy("doc_id").agg(
         F.min(F.xxhash64("text")).alias("low"), F.max(F.xxhash64("text")).alias("high"), F.sum(F.octet_length("text")).alias("size")
     )
@@ -147,6 +148,7 @@ def prepared(docs: DataFrame, doc_id: str, text: str) -> tuple[DataFrame, Sizes]
         F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID)).alias("id"),
         version.cast("int").alias("version"),
         "text",
+        *(["carried"] if carry else []),
     )
     return rows, sizes
 

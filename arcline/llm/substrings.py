@@ -43,7 +43,7 @@ def kept_bytes(chunk: Chunk, words: Words, removed: np.ndarray) -> tuple[np.ndar
     starts, ends, row = words.starts[~removed], words.ends[~removed], words.rows[~removed]
     change = np.zeros(len(chunk.data) + 1, np.int8)
     change[starts] += 1
-    np.subtract.at(change, ends, 1)
+    change[ends] -= 1
     keep = np.cumsum(change[:-1], dtype=np.int8) > 0
     last = np.ones(len(row), bool)
     last[:-1] = row[1:] != row[:-1]
@@ -56,9 +56,10 @@ def kept_bytes(chunk: Chunk, words: Words, removed: np.ndarray) -> tuple[np.ndar
 
 
 def remove_repeated_words(
-    docs: DataFrame, *, window: int = WINDOW, gram: int = GRAM, doc_id: str = "doc_id", text: str = "text"
+    docs: DataFrame, *, window: int = WINDOW, gram: int = GRAM, doc_id: str = "doc_id", text: str = "text", carry: tuple[str, ...] = ()
 ) -> DataFrame:
-    """Per row: doc_id, n_words, n_removed, n_spans, spans, kept_text, kept_sha256.
+    """Per row: doc_id, n_words, n_removed, n_spans, spans, kept_text, kept_sha256, and a struct
+    ``carried`` of the columns named by ``carry``, if any.
 
     Every window of ``window`` words is an edge of a De Bruijn graph over the documents. A word is
     removed when it lies in an edge that also starts in a document with a smaller id; spans are
@@ -73,9 +74,9 @@ def remove_repeated_words(
     Contents are compared by hashes of over 70 bits (edges at branches: 64). Null text has no
     words. A null doc_id counts as larger than every id. Rows that repeat an id do not remove each
     other; rows of an id with different texts are settled separately. Texts with fewer words than a
-    window keep all. Empty tables give empty results; other columns are ignored.
+    window keep all. Empty tables give empty results; other columns are ignored unless carried.
     """
-    rows, sizes = prepared(docs, doc_id, text)
+    rows, sizes = prepared(docs, doc_id, text, carry)
     notes = piece_notes(rows, sizes, word_symbols, window, gram)
     placed = by_part(rows, sizes)
     bits, parts = sizes.bits, sizes.parts
@@ -143,15 +144,19 @@ def remove_repeated_words(
         columns = list(zip(*results, strict=True)) if results else [[]] * 6
         kinds = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.struct([("first", pa.int32()), ("words", pa.int32())])), pa.string(), pa.string()]
         names = ["doc_id", "n_words", "n_removed", "n_spans", "spans", "kept_text", "kept_sha256"]
-        return pa.Table.from_arrays([texts["doc_id"], *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], names)
+        arrays = [texts["doc_id"], *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))]
+        if carry:
+            arrays.append(texts["carried"])
+        return pa.Table.from_arrays(arrays, names + ["carried"] * bool(carry))
 
     whole = placed.groupBy("part")
     asked = notes.where(F.col("kind") == ASKED).groupBy("part")
     branches = whole.cogroup(asked).applyInArrow(edges, f"bucket int, {PACKED}").groupBy("bucket").applyInArrow(settle, NOTES_DDL)
     covered = notes.where(F.col("kind") == COVERED).unionByName(branches).groupBy("part")
-    kind = dict(rows.dtypes)["doc_id"]
+    kinds = dict(rows.dtypes)
     return whole.cogroup(covered).applyInArrow(
         compact,
-        f"doc_id {kind}, n_words long, n_removed long, n_spans long, spans array<struct<first: int, words: int>>,"
-        " kept_text string, kept_sha256 string",
+        f"doc_id {kinds['doc_id']}, n_words long, n_removed long, n_spans long,"
+        " spans array<struct<first: int, words: int>>, kept_text string, kept_sha256 string"
+        + (f", carried {kinds['carried']}" if carry else ""),
     )
