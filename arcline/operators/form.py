@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from arcline.functions.shots import possessions
 
-from .skew import Slices, plan_slices
+from .skew import Slices, join_keys, plan_slices
 from .windows import keep_first, shift_roll
 
 # Feature suffix -> ratio (numerator, denominator) or mean of one column.
@@ -123,27 +123,29 @@ def opponent_allowed(
 ) -> DataFrame:
     """Per (game, team): what the other side of the game produced.
 
-    Game totals minus the team's own row. With two teams per game this is the opponent's
-    row; it needs no self-join, so a game with many rows cannot multiply. Teams alone in a
-    game have no opponent and drop out, as in an inner join.
+    Game totals minus all rows of the team in that game. With two teams per game this is the
+    opponent's row; it needs no self-join, so a game with many rows cannot multiply. A team
+    that a game lists twice gives two result rows, neither counting the other. Teams alone in
+    a game have no opponent and drop out, as in an inner join.
     """
-    totals = logs.groupBy(game).agg(
+    own = logs.groupBy(game, team).agg(
+        *[F.sum(c).alias(f"_own_{c}") for c in measures],
+        *[F.count(c).alias(f"_mine_{c}") for c in measures],
+    )
+    totals = own.groupBy(game).agg(
         F.count(F.lit(1)).alias("_teams"),
-        *[F.sum(c).alias(f"_sum_{c}") for c in measures],
-        *[F.count(c).alias(f"_known_{c}") for c in measures],
+        *[F.sum(f"_own_{c}").alias(f"_sum_{c}") for c in measures],
+        *[F.sum(f"_mine_{c}").alias(f"_known_{c}") for c in measures],
     )
     others = [
         F.when(
-            F.col(f"_known_{c}") > F.col(c).isNotNull().cast("int"),
-            F.col(f"_sum_{c}") - F.coalesce(F.col(c), F.lit(0)),
+            F.col(f"_known_{c}") > F.col(f"_mine_{c}"),
+            F.col(f"_sum_{c}") - F.coalesce(F.col(f"_own_{c}"), F.lit(0)),
         ).alias(c)
         for c in measures
     ]
-    return (
-        logs.select(game, team, date, *measures)
-        .join(totals.where(F.col("_teams") > 1), game)
-        .select(game, team, date, *others)
-    )
+    allowed = own.join(totals.where(F.col("_teams") > 1), game).select(game, team, *others)
+    return join_keys(logs.select(game, team, date), allowed, [game, team], "inner")
 
 
 def opponent_form(logs: DataFrame, **options) -> DataFrame:

@@ -24,7 +24,7 @@ from arcline.session import checkpoint_dir
 
 from .metrics import SUSPICIOUS_AUC, classification_metrics
 from .quality import require_columns
-from .ranks import exact_quantiles
+from .ranks import exact_medians
 from .sequences import EVENT_FIELDS, PRESSURE_COLUMNS, SEQUENCE_LENGTH, flat_sequence
 from .split import time_split
 
@@ -91,14 +91,14 @@ def model_frame(df: DataFrame, features: list[str], label: str = S.TARGET) -> Da
     )
 
 
-def column_medians(df: DataFrame, columns: list[str], *, exact: bool = False) -> dict[str, float]:
+def column_medians(df: DataFrame, columns: list[str], *, exact: bool = True) -> dict[str, float]:
     """Median per column; a column without values gets 0.
 
-    The default is one mergeable-sketch pass over all columns. ``exact`` interpolates like a
-    textbook median, one counting job per column.
+    The default interpolates like a textbook median, in one counting pass over all columns;
+    ``exact=False`` takes a mergeable sketch instead.
     """
     if exact:
-        return {c: (exact_quantiles(df, c, [0.5]) or [0.0])[0] for c in columns}
+        return {c: 0.0 for c in columns} | exact_medians(df, columns)
     row = df.agg(*[F.percentile_approx(c, 0.5, 100_000).alias(c) for c in columns]).first()
     return {c: float(row[c]) if row[c] is not None else 0.0 for c in columns}
 
@@ -113,7 +113,7 @@ def _fill_stage(medians: dict[str, float], flags: bool) -> tuple[SQLTransformer,
 
 
 def preprocessor(
-    train: DataFrame, features: list[str], *, scale: bool, flags: bool = False, exact: bool = False
+    train: DataFrame, features: list[str], *, scale: bool, flags: bool = False, exact: bool = True
 ) -> list:
     """Fill, assemble and optionally standardise; statistics come from ``train`` only."""
     fill, names = _fill_stage(column_medians(train, features, exact=exact), flags)
@@ -131,7 +131,7 @@ def fit_logistic(
     label: str = S.TARGET,
     *,
     max_iter: int = 1000,
-    exact: bool = False,
+    exact: bool = True,
 ) -> PipelineModel:
     """Median fill, standardise, L2 logistic regression (unit penalty over all rows)."""
     classifier = LogisticRegression(

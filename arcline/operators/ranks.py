@@ -16,20 +16,20 @@ from pyspark.sql import functions as F
 
 from arcline.session import slice_rows
 
-from .skew import MAX_SLICES, bucket_by, cut_points, even_shares, order_position
+from .skew import bucket_by, cut_points, even_shares, order_position
 
 RANGE = "_range"
 
 
 def value_ranges(df: DataFrame, value: str, rows_per_range: int | None = None) -> tuple[int, list[float]]:
-    """(non-null rows, cut points); at most MAX_SLICES numbers reach the driver.
+    """(non-null rows, cut points); one cut point per ``rows_per_range`` rows reaches the driver.
 
     A count decides whether cutting is needed at all; only then a sketch of the values is
     taken for the cut points.
     """
     limit = rows_per_range or slice_rows(df.sparkSession)
     total = df.agg(F.count(value).alias("n")).first()["n"]
-    ranges = min(MAX_SLICES, math.ceil(total / limit))
+    ranges = math.ceil(total / limit)
     if ranges <= 1:
         return total, []
     known = df.where(F.col(value).isNotNull()).select(order_position(df, value).alias("_position"))
@@ -63,8 +63,8 @@ def prefix_counts(
         return placed.select(
             value, *names, *[running[n].cast("bigint").alias(f"{n}_before") for n in names]
         )
-    # One row per range, at most MAX_SLICES of them: ordering them in one task and
-    # broadcasting the offsets are both bounded.
+    # One row per range, and a range for every ``arcline.slice.rows`` rows: few enough to be
+    # ordered in one task.
     across = W.orderBy(RANGE).rowsBetween(W.unboundedPreceding, -1)
     offsets = (
         placed.groupBy(RANGE)
@@ -72,7 +72,7 @@ def prefix_counts(
         .select(RANGE, *[F.coalesce(F.sum(n).over(across), F.lit(0)).alias(f"_{n}") for n in names])
     )
     return placed.select(value, RANGE, *names, *[running[n].alias(f"{n}_in") for n in names]).join(
-        F.broadcast(offsets), RANGE
+        offsets, RANGE
     ).select(
         value,
         *names,
@@ -135,49 +135,60 @@ def rank_auc(df: DataFrame, score: str, label: str) -> DataFrame:
     return auc_from_counts(prefix_counts(df, score, auc_expressions(label)))
 
 
-MAX_FEATURES = 1000
-CUTS_PER_FEATURE = 255
-
-
-def auc_by_feature(
-    long: DataFrame, feature: str, value: str, label: str, features: int
+def prefix_by_feature(
+    known: DataFrame, feature: str, value: str, counts: dict[str, Column], running: str
 ) -> DataFrame:
-    """Rank AUC per feature of a long frame, all features in the same few stages.
+    """One row per feature and distinct value with ``counts``, and ``running`` summed over the
+    feature's smaller values as ``_before``.
 
-    ``features`` is the number of distinct feature names and must stay below MAX_FEATURES:
-    it bounds the cut points and the per-range offsets that are broadcast.
+    A feature is cut in one range per ``arcline.slice.rows`` of its rows; all cut points come
+    from one sketch pass.
     """
-    if features > MAX_FEATURES:
-        raise ValueError(f"at most {MAX_FEATURES} features, got {features}")
-    known = long.where(F.col(value).isNotNull() & F.col(label).isNotNull())
-    limit = slice_rows(long.sparkSession)
-    sizes = known.groupBy(feature).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > limit)
-    large = [row[feature] for row in sizes.collect()]
+    limit = slice_rows(known.sparkSession)
+    sizes = known.groupBy(feature).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > limit).collect()
     cuts = {}
-    if large:
-        sketch = F.percentile_approx(value, even_shares(CUTS_PER_FEATURE + 1), 10 * CUTS_PER_FEATURE)
-        found = known.where(F.col(feature).isin(large)).groupBy(feature).agg(sketch.alias("cuts"))
-        cuts = {row[feature]: sorted(set(row["cuts"])) for row in found.collect()}
-    counts = known.groupBy(feature, value).agg(
-        *[c.alias(n) for n, c in auc_expressions(label).items()]
-    )
+    if sizes:
+        sketches = []
+        for i, row in enumerate(sizes):
+            parts = math.ceil(row["n"] / limit)
+            own = F.when(F.col(feature) == row[feature], F.col(value))
+            sketches.append(F.percentile_approx(own, even_shares(parts), max(10_000, 10 * parts)).alias(f"c{i}"))
+        found = known.agg(*sketches).first()
+        cuts = {row[feature]: sorted(set(found[f"c{i}"] or [])) for i, row in enumerate(sizes)}
+    table = known.groupBy(feature, value).agg(*[c.cast("bigint").alias(n) for n, c in counts.items()])
     position = F.lit(0)
     for name, edges in cuts.items():
         here = F.size(F.filter(F.lit(edges), lambda cut: cut <= F.col(value)))
         position = F.when(F.col(feature) == name, here).otherwise(position)
-    placed = counts.withColumn(RANGE, position)
+    placed = table.withColumn(RANGE, position)
     inside = W.partitionBy(feature, RANGE).orderBy(value).rowsBetween(W.unboundedPreceding, -1)
-    placed = placed.withColumn("_in", F.coalesce(F.sum("neg").over(inside), F.lit(0)))
+    placed = placed.withColumn("_before", F.coalesce(F.sum(running).over(inside), F.lit(0)))
     if cuts:
         across = W.partitionBy(feature).orderBy(RANGE).rowsBetween(W.unboundedPreceding, -1)
-        offsets = placed.groupBy(feature, RANGE).agg(F.sum("neg").alias("_neg"))
-        offsets = offsets.select(
-            feature, RANGE, F.coalesce(F.sum("_neg").over(across), F.lit(0)).alias("_start")
-        )
-        placed = placed.join(F.broadcast(offsets), [feature, RANGE])
-        placed = placed.withColumn("_in", F.col("_in") + F.col("_start"))
+        offsets = placed.groupBy(feature, RANGE).agg(F.sum(running).alias("_sum"))
+        offsets = offsets.select(feature, RANGE, F.coalesce(F.sum("_sum").over(across), F.lit(0)).alias("_start"))
+        placed = placed.join(offsets, [feature, RANGE])
+        placed = placed.withColumn("_before", F.col("_before") + F.col("_start")).drop("_start")
+    return placed.drop(RANGE)
+
+
+def auc_by_feature(long: DataFrame, feature: str, value: str, label: str) -> DataFrame:
+    """Rank AUC per feature of a long frame, all features in the same few stages."""
+    known = long.where(F.col(value).isNotNull() & F.col(label).isNotNull())
+    table = prefix_by_feature(known, feature, value, auc_expressions(label), "neg")
     pos, neg = F.col("pos").cast("double"), F.col("neg").cast("double")
-    pairs = pos * (F.col("_in").cast("double") + neg / 2)
-    return placed.groupBy(feature).agg(
-        F.try_divide(F.sum(pairs), F.sum(pos) * F.sum(neg)).alias("auc")
-    )
+    pairs = pos * (F.col("_before").cast("double") + neg / 2)
+    return table.groupBy(feature).agg(F.try_divide(F.sum(pairs), F.sum(pos) * F.sum(neg)).alias("auc"))
+
+
+def exact_medians(df: DataFrame, columns: list[str]) -> dict[str, float]:
+    """Median of every column that has values, all columns in one unpivoted pass."""
+    long = df.select(F.inline(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("value")) for c in columns])))
+    known = long.where(F.col("value").isNotNull())
+    table = prefix_by_feature(known, "feature", "value", {"n": F.count(F.lit(1))}, "n")
+    totals = known.groupBy("feature").agg(F.count(F.lit(1)).alias("_total"))
+    first, last, total = F.col("_before"), F.col("_before") + F.col("n"), F.col("_total")
+    low, high = F.floor((total - 1) / 2), F.floor(total / 2)
+    picks = [F.max(F.when((first <= at) & (last > at), F.col("value"))).alias(name) for at, name in ((low, "low"), (high, "high"))]
+    rows = table.join(totals, "feature").groupBy("feature").agg(*picks).collect()
+    return {r["feature"]: r["low"] + (r["high"] - r["low"]) / 2 for r in rows}

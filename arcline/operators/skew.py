@@ -25,13 +25,38 @@ from arcline.session import slice_rows
 
 SLICE = "_slice"
 CARRY = "_carry"
-MAX_HOT_KEYS = 1000
-MAX_SLICES = 4096
 LOWEST = -1.7e308
 
 
-def order_position(df: DataFrame, column: str) -> Column:
-    """The order column as a double that sorts the same way; NULLs first like ``orderBy``."""
+CODE_BYTES = 6
+
+
+def text_code(column: str, skip: int) -> Column:
+    """Six bytes of a text from byte ``skip`` on as a number; never falls as the text rises."""
+    part = F.hex(F.substring(F.encode(column, "UTF-8"), skip + 1, CODE_BYTES))
+    return F.conv(F.rpad(part, 2 * CODE_BYTES, "0"), 16, 10).cast("double")
+
+
+def common_bytes(df: DataFrame, column: str) -> int:
+    """Leading bytes that all texts of a column share."""
+    low, high = df.agg(F.min(column), F.max(column)).first()
+    pairs = zip((low or "").encode(), (high or "").encode())
+    return next((i for i, (a, b) in enumerate(pairs) if a != b), len((low or "").encode()))
+
+
+def join_keys(left: DataFrame, right: DataFrame, keys: list[str], how: str) -> DataFrame:
+    """Join on keys of which any may be NULL; NULL meets NULL."""
+    renamed = right.withColumnsRenamed({k: f"_key_{k}" for k in keys})
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_key_{k}")) for k in keys])
+    joined = left.join(renamed, same, how)
+    return joined if how in ("left_semi", "left_anti") else joined.drop(*[f"_key_{k}" for k in keys])
+
+
+def order_position(df: DataFrame, column: str, skip: int = 0) -> Column:
+    """The order column as a double that never falls as it rises; NULLs first like ``orderBy``.
+
+    Texts are placed by their bytes after the first ``skip``; texts that agree there tie.
+    """
     kind = df.schema[column].dataType
     value = F.col(column)
     if isinstance(kind, T.DateType):
@@ -44,13 +69,15 @@ def order_position(df: DataFrame, column: str) -> Column:
         number = F.unix_date(value.cast("date")).cast("double") * 86_400 + seconds.cast("double")
     elif isinstance(kind, (T.NumericType, T.BooleanType)):
         number = value
+    elif isinstance(kind, T.StringType):
+        number = text_code(column, skip)
     else:
         raise TypeError(f"cannot slice on {column}: {kind.simpleString()} has no numeric position")
     return F.coalesce(number.cast("double"), F.lit(LOWEST))
 
 
-def full_position(df: DataFrame, column: str, tie_break: TieBreak | None) -> Column:
-    lead = order_position(df, column)
+def full_position(df: DataFrame, column: str, tie_break: TieBreak | None, skip: int = 0) -> Column:
+    lead = order_position(df, column, skip)
     return lead if tie_break is None else lead + tie_break.fraction()
 
 
@@ -92,15 +119,16 @@ class TieBreak:
     column: str
     low: float
     high: float
+    skip: int | None = None
 
     def fraction(self) -> Column:
-        value = F.col(self.column).cast("double")
+        value = F.col(self.column).cast("double") if self.skip is None else text_code(self.column, self.skip)
         scaled = (value - self.low) / (self.high - self.low + 1.0)
         return F.coalesce(F.least(F.greatest(scaled, F.lit(0.0)), F.lit(1.0 - 2**-30)), F.lit(0.0))
 
 
 def find_tie_break(df: DataFrame, column: str) -> TieBreak | None:
-    """Range of a number column, or of ids that are digits of one length; else None."""
+    """Range of a number column, of ids that are digits of one length, or of other texts' bytes."""
     kind = df.schema[column].dataType
     if isinstance(kind, T.StringType):
         found = df.agg(
@@ -111,7 +139,7 @@ def find_tie_break(df: DataFrame, column: str) -> TieBreak | None:
             F.max(F.col(column).try_cast("double")).alias("high"),
         ).first()
         if not found["digits"] or found["short"] != found["long"]:
-            return None
+            return TieBreak(column, 0.0, 256.0**CODE_BYTES, common_bytes(df, column))
     elif isinstance(kind, T.NumericType):
         found = df.agg(
             F.min(F.col(column).cast("double")).alias("low"),
@@ -131,6 +159,7 @@ class Slices:
     hot: DataFrame | None
     bounds: tuple[float, ...]
     tie_break: TieBreak | None = None
+    skip: int = 0
 
     @property
     def partition(self) -> list[str]:
@@ -143,20 +172,19 @@ class Slices:
         """Add the slice number and an unset carry mark (nothing on the plain path)."""
         if self.hot is None:
             return df
-        position = full_position(df, self.order[0], self.tie_break)
+        position = full_position(df, self.order[0], self.tie_break, self.skip)
         placed = bucket_by(df.withColumn("_position", position), "_position", list(self.bounds), SLICE)
         placed = placed.drop("_position")
-        # At most MAX_HOT_KEYS rows, so broadcasting this side is safe.
-        hot = F.broadcast(self.hot.withColumn("_hot", F.lit(True)))
+        hot = self.hot.withColumn("_hot", F.lit(True))
         return (
-            placed.join(hot, list(self.keys), "left")
+            join_keys(placed, hot, list(self.keys), "left")
             .withColumn(SLICE, F.when(F.col("_hot"), F.col(SLICE)).otherwise(F.lit(0)))
             .withColumn(CARRY, F.lit(False))
             .select(*df.columns, SLICE, CARRY)
         )
 
     def _hot_rows(self, sliced: DataFrame) -> DataFrame:
-        return sliced.join(F.broadcast(self.hot), list(self.keys), "left_semi")
+        return join_keys(sliced, self.hot, list(self.keys), "left_semi")
 
     def carry_rows(self, sliced: DataFrame, n: int, where: Column | None = None) -> DataFrame:
         """Add to each slice the last ``n`` rows (meeting ``where``) of the slices before it."""
@@ -186,7 +214,7 @@ class Slices:
         nearest = W.partitionBy(*self.keys).orderBy("_seen").rangeBetween(-n, -1)
         before = F.flatten(F.collect_list("tail").over(nearest))
         carried = (
-            present.join(tails, self.partition, "left")
+            join_keys(present, tails, self.partition, "left")
             .withColumn("_seen", seen)
             .withColumn("_before", before)
             .where(F.size("_before") > 0)
@@ -235,11 +263,12 @@ def plan_slices(
 ) -> Slices:
     """Find the keys that need cutting and where to cut.
 
-    One column-pruned count per key, pre-aggregated before its shuffle. At most
-    ``MAX_HOT_KEYS`` keys reach the driver; a key beyond them holds less than
-    1/MAX_HOT_KEYS of all rows. Cut points are quantiles of the order column over the rows
-    of those keys (refined by the second order column), so a slice of a key holds at most
-    about ``rows_per_slice`` rows plus exact ties.
+    One column-pruned count per key, pre-aggregated before its shuffle. Every key above
+    ``rows_per_slice`` is cut, a missing key included; there are fewer of them than all rows
+    over that limit, so the list that reaches the driver stays small (some 250,000 keys for
+    10^12 rows) and is joined without a hint. Cut points are quantiles of the order column
+    over the rows of those keys (refined by the second order column), as many as those rows
+    fill slices, so a slice holds at most about ``rows_per_slice`` rows plus exact ties.
     """
     spark = df.sparkSession
     limit = rows_per_slice or slice_rows(spark)
@@ -247,18 +276,16 @@ def plan_slices(
         df.groupBy(*keys)
         .agg(F.count(F.lit(1)).alias("_rows"))
         .where(F.col("_rows") > limit)
-        .where(reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys]))
-        .orderBy(F.desc("_rows"))
-        .limit(MAX_HOT_KEYS)
         .collect()
     )
     if not counts:
         return Slices(tuple(keys), tuple(order), None, ())
-    key_schema = T.StructType([df.schema[k] for k in keys])
+    key_schema = T.StructType([T.StructField(k, df.schema[k].dataType) for k in keys])
     hot = spark.createDataFrame([tuple(row[k] for k in keys) for row in counts], key_schema)
-    cuts = min(MAX_SLICES, -(-sum(row["_rows"] for row in counts) // limit))
-    rows = df.join(F.broadcast(hot), keys, "left_semi")
+    cuts = -(-sum(row["_rows"] for row in counts) // limit)
+    rows = join_keys(df, hot, keys, "left_semi")
     tie_break = find_tie_break(rows, order[1]) if len(order) > 1 else None
-    positions = rows.select(full_position(rows, order[0], tie_break).alias("_position"))
+    skip = common_bytes(rows, order[0]) if isinstance(df.schema[order[0]].dataType, T.StringType) else 0
+    positions = rows.select(full_position(rows, order[0], tie_break, skip).alias("_position"))
     bounds = cut_points(positions, "_position", cuts)
-    return Slices(tuple(keys), tuple(order), hot, tuple(bounds), tie_break)
+    return Slices(tuple(keys), tuple(order), hot, tuple(bounds), tie_break, skip)

@@ -8,7 +8,6 @@ from datetime import date as Date
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from .ranks import nth_smallest
 
@@ -21,10 +20,11 @@ class TimeCut:
     game: object | None
 
     def label(self, date: str, game: str) -> Column:
+        known = F.col(date).isNotNull()
         before = (F.col(date) < F.lit(self.date)) | (
             (F.col(date) == F.lit(self.date)) & (F.col(game) <= F.lit(self.game))
         )
-        return F.when(before, F.lit("train")).otherwise(F.lit("test"))
+        return F.when(before, F.lit("train")).when(known, F.lit("test"))
 
 
 def find_time_cut(
@@ -32,13 +32,14 @@ def find_time_cut(
 ) -> TimeCut:
     """Cut after max(1, min(n-1, floor(n*fraction))) games.
 
-    Games are counted per day, so only the one day holding the cut is looked at by id. The
-    driver sees one row. Days are few whatever the data size; the id within the day is
+    Games are counted per day, so only the one day holding the cut is looked at by id; ids
+    count in the order of their type (texts as texts). Games without a date are not counted.
+    The driver sees one row. Days are few whatever the data size; the id within the day is
     found by counting, without gathering that day's games.
     """
     if not 0.0 < fraction < 1.0:
         raise ValueError(f"fraction must be between 0 and 1, got {fraction}")
-    days = games.groupBy(date).agg(F.count(F.lit(1)).alias("_games"))
+    days = games.where(F.col(date).isNotNull()).groupBy(date).agg(F.count(F.lit(1)).alias("_games"))
     upto = W.orderBy(date).rowsBetween(W.unboundedPreceding, W.currentRow)
     total = F.sum("_games").over(W.partitionBy())
     wanted = F.greatest(F.lit(1), F.least(total - 1, F.floor(total * F.lit(fraction))))
@@ -51,16 +52,6 @@ def find_time_cut(
         return TimeCut(None, None)
     inside = hit["_cut"] - (hit["_end"] - hit["_games"])
     same_day = games.where(F.col(date) == F.lit(hit[date]))
-    if isinstance(games.schema[game].dataType, T.StringType):
-        # Ids are zero-padded digits, so number order is text order.
-        number = nth_smallest(
-            same_day.select(F.col(game).cast("bigint").alias("_id"), F.length(game).alias("_w")),
-            "_id",
-            inside,
-            rows=hit["_games"],
-        )
-        width = same_day.agg(F.max(F.length(game))).first()[0]
-        return TimeCut(hit[date], str(number).zfill(width))
     return TimeCut(hit[date], nth_smallest(same_day.select(game), game, inside, rows=hit["_games"]))
 
 
@@ -73,7 +64,7 @@ def time_split(
     one_date_per_game: bool = False,
     name: str = "split",
 ) -> DataFrame:
-    """Label every row 'train' or 'test' by the first date of its game.
+    """Label every row 'train' or 'test' by the first date of its game; no date gives no label.
 
     With ``one_date_per_game`` (true for features joined to a game dimension) the label is a
     plain expression on the row and the features are not shuffled at all.

@@ -14,11 +14,17 @@ from arcline.sources.tables import read_raw
 
 
 def build_tables(
-    raw: dict[str, DataFrame], teams_raw: DataFrame, *, season_type: str = "Regular Season"
+    raw: dict[str, DataFrame],
+    teams_raw: DataFrame,
+    *,
+    season_type: str = "Regular Season",
+    column_formats: bool = False,
 ) -> tuple[dict[str, DataFrame], DataFrame]:
     """(seven cleaned tables, games whose sides could not be resolved).
 
-    Date and minute formats are decided once per raw dataset, in one narrow pass each.
+    Every date and minute value is read in its own format. ``column_formats`` decides the
+    format once per column instead, in one narrow pass each; values in the other format are
+    then missing, and rows that need them are dropped.
     """
     shots, players, teams_log, events = (
         raw[n] for n in ("shot_chart", "player_game_logs", "team_game_logs", "play_by_play")
@@ -26,13 +32,16 @@ def build_tables(
     teams = C.team_dimension(teams_raw)
     games, unresolved = C.game_dimension(teams_log, teams, shots=shots, season_type=season_type)
 
+    def formats(df: DataFrame, **columns: str) -> dict[str, str]:
+        return C.column_formats(df, **columns) if column_formats else dict.fromkeys(columns, "row")
+
     def logs(df: DataFrame, is_players: bool) -> DataFrame:
-        found = C.column_formats(df, minutes="MIN", date="GAME_DATE")
+        found = formats(df, minutes="MIN", date="GAME_DATE")
         return C.clean_game_logs(
             df, players=is_players, minutes_format=found["minutes"], date_format=found["date"]
         )
 
-    shot_dates = C.column_formats(shots, date="GAME_DATE")["date"]
+    shot_dates = formats(shots, date="GAME_DATE")["date"]
     tables = {
         "teams": teams,
         "players": C.player_dimension(shots, players),

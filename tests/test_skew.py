@@ -107,7 +107,7 @@ def test_auc_by_brute_force(log, slices, limit):
     expected = sum((h > m) + 0.5 * (h == m) for h in hits for m in misses) / (len(hits) * len(misses))
     assert ranks.rank_auc(rows, "t", "y").first()["auc"] == pytest.approx(expected)
     long = rows.select("y", F.lit("a").alias("f"), F.col("t").cast("double").alias("x"))
-    assert ranks.auc_by_feature(long, "f", "x", "y", 1).first()["auc"] == pytest.approx(expected)
+    assert ranks.auc_by_feature(long, "f", "x", "y").first()["auc"] == pytest.approx(expected)
 
 
 def test_split_day_with_many_games(spark, slices):
