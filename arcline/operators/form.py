@@ -156,11 +156,11 @@ def opponent_form(logs: DataFrame, **options) -> DataFrame:
 
 
 def attach_form(
-    shots: DataFrame, form: DataFrame, on: dict[str, str], *, check_unique: bool = False
+    shots: DataFrame, form: DataFrame, on: dict[str, str], *, check_unique: bool = True
 ) -> DataFrame:
     """Left join ``form`` on {shot column: form column}; right keys must be unique.
 
-    ``check_unique`` makes a repeated right key fail the query instead of multiplying rows.
+    With ``check_unique`` a repeated right key fails the query instead of multiplying rows.
     """
     right_keys = list(on.values())
     if check_unique:

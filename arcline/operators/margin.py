@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from arcline.functions.events import shooter_margin
 
+from .form import attach_form
 from .windows import fill_then_lag
 
 
@@ -32,9 +33,11 @@ def attach_margin(shots: DataFrame, events: DataFrame) -> DataFrame:
     """Margin from the shooter's side at the event numbered like the shot.
 
     The match is an equality: a shot without its own event keeps NULL and the missing flag.
+    A repeated event number fails the query instead of multiplying shots.
     """
-    priors = prior_scores(events).withColumnRenamed("action_number", "game_event_id")
-    joined = shots.join(priors, ["game_id", "game_event_id"], "left")
+    joined = attach_form(
+        shots, prior_scores(events), {"game_id": "game_id", "game_event_id": "action_number"}
+    )
     margin = F.when(
         F.col("prior_score_home").isNotNull() & F.col("prior_score_away").isNotNull(),
         shooter_margin(F.col("prior_score_home"), F.col("prior_score_away"), F.col("is_home")),

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from arcline.functions.events import (
     FLAG_NAMES,
@@ -108,9 +109,10 @@ def last_events_before(
 ) -> DataFrame:
     """As-of join: each left row gets the last ``n`` right rows strictly before its position.
 
-    Both sides are unioned and shuffled once by key. Counting right rows in position order
-    numbers them; the rows numbered within ``n`` of a left row's count are its array. The
-    array is built after the shuffle and only left rows leave the operator. ``fill`` runs
+    Both sides are unioned and shuffled once by key. Right rows collect their last ``n`` among
+    themselves, a frame of ``n`` rows; left rows take the latest such array, a running value.
+    So any number of left rows between two right rows needs no more memory. The array is
+    built after the shuffle and only left rows leave the operator. ``fill`` runs
     :func:`fill_then_lag` over the right columns inside the same partitions.
     """
     marked_right = right.select(
@@ -135,10 +137,12 @@ def last_events_before(
         key, *keep, F.when(F.col("_right") == 1, F.struct(*record)).alias("_record")
     )
     rows = slices.carry_rows(rows, n, F.col("_right") == 1)
-    seen = F.sum("_right").over(slices.window().rowsBetween(W.unboundedPreceding, W.currentRow))
-    nearest = W.partitionBy(*slices.partition).orderBy("_seen").rangeBetween(-(n - 1), 0)
-    rows = rows.withColumn("_seen", seen).withColumn(
-        name, F.collect_list("_record").over(nearest)
+    own = W.partitionBy(*slices.partition, "_right").orderBy("_at").rowsBetween(-(n - 1), 0)
+    latest = F.when(F.col("_right") == 1, F.collect_list("_record").over(own))
+    upto = slices.window().rowsBetween(W.unboundedPreceding, W.currentRow)
+    none = F.array().cast(T.ArrayType(rows.schema["_record"].dataType))
+    rows = rows.withColumn("_latest", latest).withColumn(
+        name, F.coalesce(F.last("_latest", ignorenulls=True).over(upto), none)
     )
     found = slices.finish(rows).where(F.col("_right") == 0)
     return found.select(key, "_left.*", name)

@@ -88,7 +88,7 @@ def build_gold(
     include_margin: bool = True,
     replace: bool = True,
 ) -> DataFrame:
-    """Build, write, check and inspect one (season, version) slice; returns the inspection.
+    """Build, stage, check, inspect and load one (season, version) slice; returns the inspection.
 
     The season filter applies to shots only: form looks back across seasons.
     """
@@ -97,8 +97,10 @@ def build_gold(
     features = gold_features(
         base, read.game_logs(spark, layout, "player"), read.game_logs(spark, layout, "team"), events
     )
-    write_gold(versioned(features, version), layout, replace=replace)
-    gold = spark.read.parquet(layout.gold).where(
+    # Checked where it is staged; a slice that fails leaves the loaded one in place.
+    staging = Layout(f"{layout.root}/staging/gold/{season}/{version}")
+    write_gold(versioned(features, version), staging, replace=True)
+    gold = spark.read.parquet(staging.gold).where(
         (F.col("season") == season) & (F.col("feature_set_version") == version)
     )
     Q.raise_if_critical(Q.check_gold(gold, season=season))
@@ -106,6 +108,7 @@ def build_gold(
     inspection = inspect_gold(gold, read.read_table(spark, layout, "shots", ["game_id"]), games)
     if not inspection.first()["passed"]:
         raise Q.QualityError(f"gold inspection failed: {inspection.first().asDict()}")
+    write_gold(gold, layout, replace=replace)
     return inspection
 
 

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from arcline import schemas as S
 from arcline.operators import clean as C
 from arcline.operators import quality as Q
 from arcline.operators.windows import number_rows
@@ -63,6 +65,21 @@ def with_shot_ids(shots: DataFrame) -> DataFrame:
     return number_rows(numeric, "_game", order, "shot_id").drop("_game")
 
 
+def new_rows(spark: SparkSession, layout: Layout, name: str, staged: DataFrame) -> DataFrame:
+    """Staged rows of a table whose natural key is not loaded yet, shot ids moved behind the loaded."""
+    try:
+        loaded = spark.read.parquet(layout.table(name))
+    except AnalysisException as error:
+        if "PATH_NOT_FOUND" in str(error):
+            return staged
+        raise
+    fresh = staged.join(loaded.select(*S.NATURAL_KEYS[name]), list(S.NATURAL_KEYS[name]), "left_anti")
+    if name != "shots":
+        return fresh
+    last = loaded.agg(F.coalesce(F.max("shot_id"), F.lit(0))).first()[0]
+    return fresh.withColumn("shot_id", F.col("shot_id") + F.lit(last)).select(*staged.columns)
+
+
 def load_season(
     spark: SparkSession,
     layout: Layout,
@@ -74,7 +91,8 @@ def load_season(
     """Read, clean, write, check; fails after listing critical issues.
 
     Tables are written once to a staging root and checked there, so cleaning runs once; the
-    checked files are then loaded parents first.
+    checked files are then loaded parents first. Without ``replace`` rows whose natural key is
+    loaded already stay out, and shot ids go on after the largest loaded one.
     """
     tables, unresolved = build_tables(read_raw(spark, layout, season), teams_raw)
     problems = unresolved.limit(5).collect()
@@ -85,5 +103,5 @@ def load_season(
     load_tables(tables, staging, replace=True)
     staged = {name: spark.read.parquet(staging.table(name)) for name in tables}
     Q.raise_if_critical(Q.check_cleaned(staged, season=season))
-    load_tables(staged, layout, replace=replace)
+    load_tables(staged if replace else {n: new_rows(spark, layout, n, df) for n, df in staged.items()}, layout, replace=replace)
     return {name: spark.read.parquet(layout.table(name)) for name in tables}
