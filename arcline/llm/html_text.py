@@ -85,7 +85,11 @@ def read_page(source: str) -> Page:
         links = 0
 
     def close(at: int) -> None:
-        flush()
+        if any(element.tag in BLOCKS for element in stack[at:]):
+            # Text before a dropped inline element belongs to the block around it.
+            while len(stack) > at and stack[-1].tag not in BLOCKS:
+                stack.pop()
+            flush()
         del stack[at:]
 
     place, end = 0, len(source)
