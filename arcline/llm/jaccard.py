@@ -184,10 +184,11 @@ def verified(pairs: DataFrame, sets: DataFrame, share: tuple[int, int]) -> DataF
 
 
 def short_lists(sets: DataFrame, share: tuple[int, int]) -> DataFrame:
-    """Entries (code, node, n, rest) of every set's short lists.
+    """Entries (code, node, n, rest, loose) of every set's short lists.
 
     Of the lists of a set of n, the T - 1 longest are set aside (T the overlap it needs); a partner
-    must occur in one of the others. ``rest`` counts the set's repeated codes from this one on.
+    must occur in one of the others. ``rest`` counts the set's repeated codes from this one on,
+    ``loose`` is the share of its shingles that no other set has.
     """
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -200,11 +201,11 @@ def short_lists(sets: DataFrame, share: tuple[int, int]) -> DataFrame:
             inside = np.arange(len(which)) - np.repeat(np.cumsum(short) - short, short)
             codes = np.concatenate([x[:k] for x, k in zip(arrays, short, strict=True)] or [np.zeros(0, np.uint64)])
             yield pa.RecordBatch.from_arrays(
-                [pa.array(codes.view(np.int64)), pa.array(nodes[which]), pa.array(sizes[which]), pa.array(held[which] - inside)],
-                ["code", "node", "n", "rest"],
+                [pa.array(codes.view(np.int64)), pa.array(nodes[which]), pa.array(sizes[which]), pa.array(held[which] - inside), pa.array((1 - held / np.maximum(sizes, 1))[which])],
+                ["code", "node", "n", "rest", "loose"],
             )
 
-    return sets.select("node", "n_shingles", "codes").mapInArrow(split, "code long, node long, n long, rest long")
+    return sets.select("node", "n_shingles", "codes").mapInArrow(split, "code long, node long, n long, rest long, loose double")
 
 
 def link_sets(sets: DataFrame, share: tuple[int, int]) -> DataFrame:
@@ -212,9 +213,14 @@ def link_sets(sets: DataFrame, share: tuple[int, int]) -> DataFrame:
     top, bottom = share
     entries = saved(short_lists(sets, share))
 
-    # 1. Every set is held against one other: the head of most of its short lists.
-    heads = entries.groupBy("code").agg(F.min("node").alias("head"))
-    met = entries.join(heads, "code").where("node <> head").groupBy("node", "head").agg(F.count(F.lit(1)).alias("lists"))
+    # 1. Every set is held against one other: the head of most of its short lists. The head of
+    # a list is the set with the least share of shingles of its own: of edited copies, the source.
+    head = F.min(F.struct("loose", "node", "n"))
+    heads = entries.groupBy("code").agg(head.alias("first"), F.count(F.lit(1)).alias("nodes")).where("nodes > 1")
+    heads = heads.select("code", F.col("first.node").alias("head"), F.col("first.n").alias("n_head"))
+    fits = F.least("n", "n_head") * bottom >= F.greatest("n", "n_head") * top
+    met = entries.join(heads, "code").where((F.col("node") != F.col("head")) & fits)
+    met = met.groupBy("node", "head").agg(F.count(F.lit(1)).alias("lists"))
     best = met.groupBy("node").agg(F.max_by("head", F.struct("lists", "head")).alias("b")).withColumnRenamed("node", "a")
     stars = saved(verified(best, sets, share))
     groups = connected(stars)
