@@ -14,7 +14,7 @@ def first_minima(h: np.ndarray, width: int) -> np.ndarray:
     n = len(h) - width + 1
     if n <= 0:
         return np.zeros(0, np.int64)
-    best, reach = np.arange(len(h), dtype=np.int64), 1
+    best, reach = np.arange(len(h), dtype=np.int32 if len(h) < 1 << 31 else np.int64), 1
     while reach < width:
         step = min(reach, width - reach)
         later, now = best[step:], best[: len(best) - step]

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .anchors import anchored_pieces
-from .buffers import Chunk, text_chunks
+from .buffers import CHUNK_BYTES, Chunk, text_chunks
 from .columns import saved
 
 # Bytes of text per bucket of pieces and per part of documents.
@@ -153,7 +153,9 @@ def prepared(docs: DataFrame, doc_id: str, text: str, carry: tuple[str, ...] = (
     return rows, sizes
 
 
-def piece_notes(rows: DataFrame, sizes: Sizes, symbols: Symbols, window: int, gram: int) -> DataFrame:
+def piece_notes(
+    rows: DataFrame, sizes: Sizes, symbols: Symbols, window: int, gram: int, chunk_bytes: int = CHUNK_BYTES
+) -> DataFrame:
     """First exchange: covered and asked runs by part (see NOTES_DDL), written to the shared folder."""
     bits, buckets, parts = sizes.bits, sizes.buckets, sizes.parts
     sent = arrow_schema("bucket")
@@ -161,7 +163,7 @@ def piece_notes(rows: DataFrame, sizes: Sizes, symbols: Symbols, window: int, gr
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, versions = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            for chunk in text_chunks(batch.column(2)):
+            for chunk in text_chunks(batch.column(2), chunk_bytes):
                 values, first = symbols(chunk)
                 pieces = anchored_pieces(values, first, window, gram)
                 if not len(pieces.row):
