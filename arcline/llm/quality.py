@@ -17,6 +17,8 @@ from .columns import small
 TRIGRAMS, WORDS = 1 << 14, 1 << 17
 REPEATED, BIAS = TRIGRAMS + WORDS, TRIGRAMS + WORDS + 1
 FEATURES = TRIGRAMS + WORDS + 2
+# Rows whose gradient is formed at once.
+FIT_ROWS = 500
 # Letters and digits of hashed words: ASCII alphanumerics and all bytes of other characters.
 LETTER = np.zeros(256, bool)
 LETTER[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
@@ -81,36 +83,47 @@ class OrdinalModel:
         cls, row: np.ndarray, feature: np.ndarray, value: np.ndarray, grade: np.ndarray, grades: int,
         *, rounds: int = 120, rate: float = 0.5, penalty: float = 2e-5,
     ) -> OrdinalModel:
-        """Maximum likelihood by full-batch Adam; grades weigh with the square root of their rows."""
+        """Maximum likelihood by full-batch Adam; grades weigh with the square root of their rows.
+
+        Entries (row, feature, value) are ordered by row; the gradient is summed over blocks of rows.
+        """
         n = len(grade)
         counts = np.bincount(grade, minlength=grades)
         weight = 1 / np.sqrt(counts[grade])
         weight /= weight.sum()
-        used, index = np.unique(feature, return_inverse=True)
+        used = np.flatnonzero(np.bincount(feature, minlength=FEATURES))
+        index = np.searchsorted(used, feature).astype(np.int32)
+        edges = np.searchsorted(row, np.arange(0, n + FIT_ROWS, FIT_ROWS))
         params = np.zeros(len(used) + grades - 1)
         gap = slice(len(used), None)
         params[gap] = np.log(2.0)
         params[len(used)] = -1.0
         m, v = np.zeros_like(params), np.zeros_like(params)
-        levels = np.arange(1, grades)
 
         def thresholds(p: np.ndarray) -> np.ndarray:
             return p[0] + np.concatenate(([0.0], np.cumsum(np.exp(p[1:]))))
 
         for t in range(1, rounds + 1):
             w, cuts = params[: len(used)], thresholds(params[gap])
-            score = np.bincount(row, weights=w[index] * value, minlength=n)
-            tail = _logistic(score[:, None] - cuts)
-            bounded = np.concatenate((np.ones((n, 1)), tail, np.zeros((n, 1))), axis=1)
-            p = np.maximum(bounded[np.arange(n), grade] - bounded[np.arange(n), grade + 1], 1e-9)
-            slope = np.concatenate((np.zeros((n, 1)), tail * (1 - tail), np.zeros((n, 1))), axis=1)
-            low, high = slope[np.arange(n), grade], slope[np.arange(n), grade + 1]
-            d_score = -weight * (low - high) / p
+            grad = np.zeros_like(params)
             d_cuts = np.zeros(grades - 1)
-            for k in levels:
-                d_cuts[k - 1] = (weight / p * (np.where(grade == k, low, 0) - np.where(grade + 1 == k, high, 0))).sum()
-            grad = np.empty_like(params)
-            grad[: len(used)] = np.bincount(index, weights=d_score[row] * value, minlength=len(used)) + penalty * w
+            for block, (a, b) in enumerate(zip(edges[:-1], edges[1:], strict=True)):
+                own = slice(block * FIT_ROWS, min((block + 1) * FIT_ROWS, n))
+                size, level, at, x = own.stop - own.start, grade[own], index[a:b], value[a:b]
+                local = row[a:b] - own.start
+                score = np.bincount(local, weights=w[at] * x, minlength=size)
+                tail = _logistic(score[:, None] - cuts)
+                one, zero, every = np.ones((size, 1)), np.zeros((size, 1)), np.arange(size)
+                bounded = np.concatenate((one, tail, zero), axis=1)
+                p = np.maximum(bounded[every, level] - bounded[every, level + 1], 1e-9)
+                slope = np.concatenate((zero, tail * (1 - tail), zero), axis=1)
+                low, high = slope[every, level], slope[every, level + 1]
+                d_score = -weight[own] * (low - high) / p
+                for k in range(1, grades):
+                    part = np.where(level == k, low, 0) - np.where(level + 1 == k, high, 0)
+                    d_cuts[k - 1] += (weight[own] / p * part).sum()
+                grad[: len(used)] += np.bincount(at, weights=d_score[local] * x, minlength=len(used))
+            grad[: len(used)] += penalty * w
             grad[len(used)] = d_cuts.sum()
             for j in range(1, grades - 1):
                 grad[len(used) + j] = d_cuts[j:].sum() * np.exp(params[len(used) + j])
@@ -167,14 +180,12 @@ def fit_quality(
     if not found:
         return OrdinalModel(np.zeros(FEATURES), np.zeros(grades - 1))
     found.sort(key=lambda r: (r[0], bytes(r[1])))
-    sizes = [len(r[1]) // 4 for r in found]
-    return OrdinalModel.fit(
-        np.repeat(np.arange(len(found)), sizes),
-        np.concatenate([np.frombuffer(r[1], np.int32) for r in found]),
-        np.concatenate([np.frombuffer(r[2], np.float32) for r in found]),
-        np.array([r[0] for r in found]),
-        grades,
-    )
+    row = np.repeat(np.arange(len(found), dtype=np.int32), [len(r[1]) // 4 for r in found])
+    grade = np.array([r[0] for r in found])
+    feature = np.frombuffer(b"".join(r[1] for r in found), np.int32)
+    value = np.frombuffer(b"".join(r[2] for r in found), np.float32)
+    del found
+    return OrdinalModel.fit(row, feature, value, grade, grades)
 
 
 def grade_documents(
