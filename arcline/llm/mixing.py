@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .columns import saved, word_count
+from .columns import saved, small, word_count
 
 # Rows of one cell that a single window task numbers.
 CELL_ROWS = 250_000
@@ -64,7 +64,8 @@ def mix_sources(
     size; the prefix sum of expected copies starts at the source's offset (a hash of seed and
     source), and a document is emitted once per integer boundary its interval crosses. The
     prefix sum is counted per cell (size class and salt) first, so a source with most of the
-    rows is numbered by many tasks.
+    rows is numbered by many tasks. The table of sources is broadcast only if its counted rows
+    are proven small.
 
     Null text has size 0, null source is a source of its own (last in order), a null doc_id
     counts as 0 in the layout only. Repeated rows are separate rows of the mix. An empty table
@@ -78,7 +79,8 @@ def mix_sources(
         word_count(F.col(text)).alias("size"),
     )
     rows = saved(rows)
-    targets = source_targets(rows, share, limit, weights)
+    targets = saved(source_targets(rows, share, limit, weights))
+    targets = small(targets, targets.count(), 300)
     salts = F.ceil(F.col("source_rows") / F.lit(float(CELL_ROWS))).cast("long")
     placed = (
         rows.join(targets, "mix_key")
