@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from .columns import ascii_lower, let, saved, small
 
-# Separators of contract words: ASCII other than letters and digits.
+# Separators of contract words once lower-cased: ASCII other than letters and digits; and a word
+# before that.
 BREAKS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 
 def benchmark_words(text: Column) -> Column:
@@ -132,7 +134,8 @@ def decontaminate(
         .groupBy("doc_id")
         .agg(F.sort_array(F.collect_list("item")).alias("item_ids"))
     )
-    counted = rows.select("doc_id", F.size(benchmark_words(F.col("text"))).cast("long").alias("n_words"))
+    n_words = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
+    counted = rows.select("doc_id", n_words.alias("n_words"))
     none = F.array().cast("array<string>")
     return (
         counted.join(covered.join(named, "doc_id", "left"), "doc_id", "left")
