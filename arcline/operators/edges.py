@@ -9,6 +9,7 @@ from arcline import schemas as S
 from arcline.functions import shots as X
 from arcline.functions.value import ALLOWED_VALUES, checked_value, scored_points
 
+# Columns of the edge table, and measures it may be ranked by.
 EDGE_COLUMNS = (
     "row_id",
     "shot_value",
@@ -30,17 +31,6 @@ RANK_MEASURES = (
     "expected_shot_value",
     "predicted_make_probability",
 )
-DISPLAY_COLUMNS = (
-    "row_id",
-    "shot_made_flag",
-    "shot_value",
-    "shot_distance",
-    "period",
-    "score_margin",
-    "loc_x",
-    "loc_y",
-)
-
 
 def _zero(column: Column) -> Column:
     return F.coalesce(column, F.lit(0.0))

@@ -8,17 +8,18 @@ from pyspark.sql import functions as F
 from arcline import schemas as S
 from arcline.functions.labels import named_id, zone_label
 from arcline.functions.shots import month_label
+from arcline.session import checkpoint_dir
 
 from .windows import change_from_previous
 
 # Sample-size thresholds used by the findings.
 MIN_PLAYER_ATTEMPTS = 100
-MIN_PLAYER_ATTEMPTS_STRICT = 200
 MIN_ZONE_ATTEMPTS = 100
 MIN_MONTH_ATTEMPTS = 40
 TOP_N = 5
 ZONE_TOP_N = 3
 
+# Names and order of the summary columns.
 SUMMARY_MEASURES = (
     "attempts",
     "made_shots",
@@ -95,6 +96,13 @@ def summary_from_base(base: DataFrame, keys: tuple[str, ...]) -> DataFrame:
     return _measures(rolled, keys)
 
 
+def all_summaries(predictions: DataFrame) -> dict[str, DataFrame]:
+    """The four summaries from one scan: their additive parts are checkpointed and shared."""
+    checkpoint_dir(predictions.sparkSession)
+    base = summary_base(predictions).checkpoint()
+    return {name: summary_from_base(base, keys) for name, keys in SUMMARY_KEYS.items()}
+
+
 def summarize_players(predictions: DataFrame) -> DataFrame:
     return summarize(predictions, SUMMARY_KEYS["players"])
 

@@ -89,12 +89,13 @@ def load_tables(
 def write_gold(gold: DataFrame, layout: Layout, *, replace: bool = True) -> None:
     """Replace the (season, version) slices present in ``gold``, or append to them.
 
-    Rows are laid out by season and version on disk and sorted by game inside the files, so
-    a game filter skips row groups.
+    Rows are laid out by season and version on disk, and each file holds a range of games in
+    order, so a game filter skips files and row groups.
     """
     keys = ["season", "feature_set_version"]
     (
-        gold.sortWithinPartitions(*keys, "game_id")
+        gold.repartitionByRange(*keys, "game_id", "game_event_id")
+        .sortWithinPartitions(*keys, "game_id")
         .write.mode("overwrite" if replace else "append")
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy(*keys)

@@ -214,15 +214,8 @@ _RATE = "points_above_expected_per_100_shots"
     union all select 'evaluation volume', cast(1 as bigint), 'min players {MIN_PLAYERS}, zones {MIN_ZONES}', {n('sum(attempts)')}, null, null, null from players""",
 )
 def findings(t):
-    rows = predictions(t)
-    summaries = {
-        "players": A.summarize_players(rows),
-        "teams": A.summarize_teams(rows),
-        "zones": A.summarize_zones(rows),
-        "trends": A.summarize_player_months(rows),
-    }
     return A.findings(
-        summaries,
+        A.all_summaries(predictions(t)),
         player_names=t["customer"].select(F.col("c_custkey").alias("player_id"), F.col("c_name").alias("full_name")),
         team_names=t["supplier"].select(F.col("s_suppkey").alias("team_id"), F.col("s_name").alias("abbreviation")),
         min_players=MIN_PLAYERS,
@@ -964,9 +957,13 @@ def challenger_scores(t):
 @query(
     "home_flag_check",
     ("v_shots",),
-    f"""select season, {n('sum(case when team_id = home_team_id and team_id <> home_team_id then 1 else 0 end)')} as is_home_true_but_away,
-        {n('sum(case when team_id <> home_team_id and team_id <> away_team_id then 1 else 0 end)')} as is_home_false_but_home,
-        count(*) as total_rows from v_shots group by season""",
+    f"""with flagged as (select *, case when game_event_id % 5 = 0 then team_id <> home_team_id else team_id = home_team_id end as is_home from v_shots)
+        select season, {n('sum(case when is_home and team_id <> home_team_id then 1 else 0 end)')} as is_home_true_but_away,
+        {n('sum(case when not is_home and team_id <> away_team_id then 1 else 0 end)')} as is_home_false_but_home,
+        count(*) as total_rows from flagged group by season""",
 )
 def home_flag_check(t):
-    return I.home_flag_check(base_rows(t), t["v_games"], ["season"])
+    """Every fifth flag is turned round, so both directions have rows to find."""
+    rows = base_rows(t)
+    turned = F.when(F.col("game_event_id") % 5 == 0, ~F.col("is_home")).otherwise(F.col("is_home"))
+    return I.home_flag_check(rows.withColumn("is_home", turned), t["v_games"], ["season"])
