@@ -6,7 +6,7 @@ from dataclasses import dataclass
 
 import numpy as np
 
-from .buffers import prefix_hashes, range_hashes
+from .buffers import mixed, prefix_hashes, range_hashes
 
 
 def first_minima(h: np.ndarray, width: int) -> np.ndarray:
@@ -23,6 +23,11 @@ def first_minima(h: np.ndarray, width: int) -> np.ndarray:
     return best
 
 
+def spread(minima: np.ndarray) -> np.ndarray:
+    """Anchor hashes dealt evenly: smallest values of a window all begin with zero bits."""
+    return mixed(minima + np.uint64(0x9E3779B97F4A7C15))
+
+
 @dataclass
 class Pieces:
     """Maximal runs of windows of a row with one anchor; positions count within the chunk."""
@@ -52,4 +57,4 @@ def anchored_pieces(values: np.ndarray, first: np.ndarray, window: int, gram: in
     at = np.flatnonzero(new)
     count = np.diff(np.append(at, len(row)))
     begin = start[at]
-    return Pieces(row[at], begin, count, grams[own[at]], range_hashes(prefix, begin, begin + count - 1 + window))
+    return Pieces(row[at], begin, count, spread(grams[own[at]]), range_hashes(prefix, begin, begin + count - 1 + window))
