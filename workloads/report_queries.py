@@ -16,6 +16,7 @@ from arcline.operators.ranks import exact_quantiles
 from arcline.operators.sequences import attach_pressure, build_sequences
 from arcline.operators.split import time_split
 from arcline.operators.windows import keep_first
+from arcline.session import checkpoint_dir
 from arcline.sources.sinks import newest_entries
 
 from .feature_queries import GOLD_VIEWS, _GOLD_SQL, _SLOTS, _SPLIT, gold
@@ -842,18 +843,15 @@ def feature_auc_audit(t):
 
 # --- models (rows-only: fitted by iteration) -----------------------------------------------
 
-_MODEL_FEATURES = ["shot_value", "shot_distance", "loc_x", "loc_y", "abs_loc_x", "shot_angle", "is_home", "period", "seconds_remaining_game", "player_recent_fg_pct_5", "team_recent_fg_pct_5"]
+_MODEL_FEATURES = M.feature_columns("tabular")
 
 
 def _modelling_rows(t):
-    base = base_rows(t)
-    from arcline.operators import form as R
-
-    rows = R.attach_form(base, R.player_form(t["v_player_logs"], unique_key=True), {"game_id": "game_id", "player_id": "player_id"})
-    rows = R.attach_form(rows, R.team_form(t["v_team_logs"], unique_key=True), {"game_id": "game_id", "team_id": "team_id"})
-    labelled = time_split(rows, one_date_per_game=True)
+    """(train, test) of all gold rows with all tabular features, derived once."""
+    labelled = time_split(gold(t), one_date_per_game=True)
     kept = ["shot_id", "game_id", "game_date", "split", *_MODEL_FEATURES, S.TARGET]
-    rows = M.model_frame(labelled.select(*kept), _MODEL_FEATURES)
+    checkpoint_dir(t.spark)
+    rows = M.model_frame(labelled.select(*kept), _MODEL_FEATURES).checkpoint()
     return rows.where(F.col("split") == "train"), rows.where(F.col("split") == "test")
 
 
@@ -867,6 +865,37 @@ def logistic_scores(t):
     return _scores(M.fit_logistic(train, _MODEL_FEATURES), test)
 
 
+@query(
+    "logistic_training_rate",
+    ("v_shots",),
+    f"""with {_SPLIT} select count(*) as train_rows, round(avg(cast(s.shot_made_flag as int)), 3) as rate,
+        round(avg(cast(s.shot_made_flag as int)), 3) as mean_probability, cast(1 as int) as in_range
+        from v_shots s join labels l on l.game_id = s.game_id where l.split = 'train'""",
+)
+def logistic_training_rate(t):
+    """At its optimum a logistic model's mean training probability is the training rate."""
+    train, _ = _modelling_rows(t)
+    scored = M.score(M.fit_logistic(train, _MODEL_FEATURES), train)
+    return scored.agg(
+        F.count(F.lit(1)).alias("train_rows"),
+        F.round(F.avg(S.TARGET), 3).alias("rate"),
+        F.round(F.avg(M.PROBABILITY), 3).alias("mean_probability"),
+        F.bool_and(F.col(M.PROBABILITY).between(0, 1)).alias("in_range"),
+    )
+
+
+@query(
+    "logistic_scored_rows",
+    ("v_shots",),
+    f"""with {_SPLIT} select s.shot_id, cast(1 as int) as in_range from v_shots s join labels l on l.game_id = s.game_id where l.split = 'test'""",
+)
+def logistic_scored_rows(t):
+    """Every test shot gets one probability."""
+    train, test = _modelling_rows(t)
+    scored = _scores(M.fit_logistic(train, _MODEL_FEATURES), test)
+    return scored.select("shot_id", F.col(M.PROBABILITY).between(0, 1).alias("in_range"))
+
+
 @query("tree_scores")
 def tree_scores(t):
     train, test = _modelling_rows(t)
@@ -949,9 +978,12 @@ def challenger_scores(t):
     )
     rows = attach_pressure(shots.join(outcome, "shot_id"), sequences, keep_seq=True)
     features = ["period", "late_clock_proxy", "prior_5_turnover_count", "prior_5_foul_count"]
-    ready = M.model_frame(rows.select("shot_id", "seq", *features, S.TARGET), features)
-    predict = M.fit_challenger(ready, features=features, hidden=(8,), max_iter=5)
-    return predict(ready).select("shot_id", M.PROBABILITY)
+    # Fitted on three quarters of the games and scored on the others.
+    checkpoint_dir(t.spark)
+    ready = M.model_frame(rows.select("shot_id", "game_id", "seq", *features, S.TARGET), features).checkpoint()
+    held_out = F.crc32(F.col("game_id").cast("string")) % 4 == 0
+    predict = M.fit_challenger(ready.where(~held_out), features=features, hidden=(8,), max_iter=5)
+    return predict(ready.where(held_out)).select("shot_id", M.PROBABILITY)
 
 
 @query(
