@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 
 # Bytes of text whose arrays a worker holds at once (a longer text is a chunk of its own).
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 20
 
 # Odd multiplier of the polynomial hash mod 2**64, its inverse, and the random value of each byte.
 BASE = np.uint64(0x9E3779B97F4A7C15)

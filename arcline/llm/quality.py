@@ -17,6 +17,8 @@ from .columns import small
 TRIGRAMS, WORDS = 1 << 14, 1 << 17
 REPEATED, BIAS = TRIGRAMS + WORDS, TRIGRAMS + WORDS + 1
 FEATURES = TRIGRAMS + WORDS + 2
+# Bytes of text turned into features at once.
+CHUNK_BYTES = 1 << 19
 # Rows whose gradient is formed at once.
 FIT_ROWS = 500
 # Letters and digits of hashed words: ASCII alphanumerics and all bytes of other characters.
@@ -160,7 +162,7 @@ def fit_quality(
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for chunk in text_chunks(batch.column(1)):
+            for chunk in text_chunks(batch.column(1), CHUNK_BYTES):
                 row, feature, value = text_features(chunk)
                 order = np.argsort(row, kind="stable")
                 cuts = np.searchsorted(row[order], np.arange(chunk.rows + 1))
@@ -207,7 +209,7 @@ def grade_documents(
     def grade(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         for batch in batches:
-            for chunk in text_chunks(batch.column(place)):
+            for chunk in text_chunks(batch.column(place), CHUNK_BYTES):
                 row, feature, value = text_features(chunk)
                 score = np.bincount(row, weights=model.weights[feature] * value, minlength=chunk.rows)
                 tail = model.tails(score)

@@ -56,10 +56,12 @@ def kept_bytes(chunk: Chunk, words: Words, removed: np.ndarray) -> tuple[np.ndar
 
 
 def remove_repeated_words(
-    docs: DataFrame, *, window: int = WINDOW, gram: int = GRAM, doc_id: str = "doc_id", text: str = "text", carry: tuple[str, ...] = ()
-) -> DataFrame:
+    docs: DataFrame, *, window: int = WINDOW, gram: int = GRAM, doc_id: str = "doc_id", text: str = "text",
+    carry: tuple[str, ...] = (), keep_layout: bool = False,
+) -> DataFrame:
     """Per row: doc_id, n_words, n_removed, n_spans, spans, kept_text, kept_sha256, and a struct
-    ``carried`` of the columns named by ``carry``, if any.
+    ``carried`` of the columns named by ``carry``, if any. kept_text is the kept words joined by
+    one space; with ``keep_layout`` a text that loses nothing stays as it is (null stays null).
 
     Every window of ``window`` words is an edge of a De Bruijn graph over the documents. A word is
     removed when it lies in an edge that also starts in a document with a smaller id; spans are
@@ -118,6 +120,7 @@ def remove_repeated_words(
     def compact(texts: pa.Table, covered: pa.Table) -> pa.Table:
         ids = texts["id"].to_numpy()
         row, runs = runs_by_row(ids, texts["version"].to_numpy(), covered)
+        missing = texts["text"].is_null().to_numpy()
         results = []
         for chunk in text_chunks(texts["text"]):
             words = find_words(chunk)
@@ -134,13 +137,17 @@ def remove_repeated_words(
             end = stops[np.searchsorted(stops, start, "right")] if len(start) else start
             of = np.searchsorted(start, words.first)
             body = data.tobytes()
+            whole_text = chunk.data.tobytes() if keep_layout else b""
             for k in range(chunk.rows):
                 kept = body[cuts[k] : cuts[k + 1]]
                 a, b = of[k], of[k + 1]
                 spans = [{"first": int(s - words.first[k]), "words": int(e - s)} for s, e in zip(start[a:b], end[a:b], strict=True)]
-                results.append(
-                    (int(words.first[k + 1] - words.first[k]), int(sums[k + 1] - sums[k]), b - a, spans, kept.decode("utf-8"), hashlib.sha256(kept).hexdigest())
-                )
+                gone = int(sums[k + 1] - sums[k])
+                shown = kept.decode("utf-8")
+                if keep_layout and not gone:
+                    shown = None if missing[chunk.first + k] else whole_text[chunk.offsets[k] : chunk.offsets[k + 1]].decode("utf-8")
+                count = int(words.first[k + 1] - words.first[k])
+                results.append((count, gone, b - a, spans, shown, hashlib.sha256(kept).hexdigest()))
         columns = list(zip(*results, strict=True)) if results else [[]] * 6
         kinds = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.struct([("first", pa.int32()), ("words", pa.int32())])), pa.string(), pa.string()]
         names = ["doc_id", "n_words", "n_removed", "n_spans", "spans", "kept_text", "kept_sha256"]
