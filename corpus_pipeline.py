@@ -50,14 +50,14 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without the words of spans that a document with a smaller id has too."""
-    cut = remove_repeated_words(docs, carry=("lang", "source", "n_chars", "text"))
-    changed = F.col("n_removed") > 0
+    cut = remove_repeated_words(docs, carry=("lang", "source", "n_chars"), keep_layout=True)
+    chars = F.when(F.col("n_removed") > 0, F.length("kept_text").cast("long")).otherwise(F.col("carried.n_chars"))
     return cut.select(
         "doc_id",
-        F.when(changed, F.col("kept_text")).otherwise(F.col("carried.text")).alias("text"),
+        F.col("kept_text").alias("text"),
         F.col("carried.lang").alias("lang"),
         F.col("carried.source").alias("source"),
-        F.when(changed, F.length("kept_text").cast("long")).otherwise(F.col("carried.n_chars")).alias("n_chars"),
+        chars.alias("n_chars"),
     )
 
 
