@@ -15,15 +15,7 @@ from arcline.sources import tables as read
 from arcline.sources.layout import Layout
 from arcline.sources.sinks import write_frame
 
-
-def build_season_sequences(spark: SparkSession, layout: Layout, season: str) -> DataFrame:
-    """Sequences of every shot of a season, written once; checks and models read the files."""
-    path = f"{layout.table('shot_sequences')}/season={season}"
-    built = Q.build_sequences(
-        read.sequence_shots(spark, layout, season), read.sequence_events(spark, layout, season)
-    )
-    write_frame(built, path)
-    return read.read_files(spark, path, f"sequences of {season}")
+from .features import build_season_sequences, feature_rows
 
 
 def checked_sequences(shots: DataFrame, sequences: DataFrame) -> DataFrame:
@@ -48,8 +40,7 @@ def predict_split(
 ) -> DataFrame:
     """Score a split with a promoted model and write the prediction table."""
     shots = read.read_split(spark, layout, season, split)
-    if feature_set != "tabular":
-        shots = M.add_spatial(shots)
+    shots = feature_rows(spark, layout, season, shots, feature_set)
     fitted = M.load_model(spark, layout.aliases, model)
     scored = M.score(fitted, M.model_frame(shots, M.feature_columns(feature_set)))
     write_frame(M.prediction_table(scored), layout.predictions(season, model))
@@ -80,3 +71,13 @@ def edge_report(predictions: DataFrame) -> tuple[DataFrame, DataFrame]:
         rows = rows.withColumn("period", F.lit(None).cast("bigint"))
     edges = edge_table(rows, made=S.TARGET)
     return edges, edge_backtest(edges)
+
+
+__all__ = [
+    "build_season_sequences",
+    "checked_sequences",
+    "predict_split",
+    "run_summaries",
+    "build_findings",
+    "edge_report",
+]

@@ -11,6 +11,8 @@ from arcline.sources import tables as read
 from arcline.sources.layout import Layout
 from arcline.sources.sinks import write_frame
 
+from .features import feature_rows
+
 KINDS = ("logistic", "trees", "network")
 
 
@@ -21,7 +23,7 @@ def split_frames(
     sides = []
     for name in ("train", "test"):
         rows = read.read_split(spark, layout, season, name)
-        rows = M.add_spatial(rows) if feature_set == "spatial" else rows
+        rows = feature_rows(spark, layout, season, rows, feature_set)
         sides.append(M.model_frame(rows, features))
     return sides[0], sides[1], features
 

@@ -103,6 +103,26 @@ def test_gold_and_split(spark, loaded, scored):
     assert rows.where("player_recent_fg_pct_5 is null").select("game_id").distinct().count() <= 3
 
 
+def test_pressure_model_round_trip(spark, loaded, scored):
+    layout, _ = loaded
+    training.train_model(spark, layout, SEASON, kind="logistic", feature_set="pressure", max_iter=3, version="9", alias="pressed")
+    found = evaluate.predict_split(spark, layout, SEASON, model="pressed", feature_set="pressure")
+    split = read.read_split(spark, layout, SEASON, "test")
+    assert found.count() == split.count() and found.where("predicted_make_probability not between 0 and 1").count() == 0
+
+
+def test_append_keeps_keys_and_ids_unique(spark, loaded, tmp_path):
+    layout, written = loaded
+    copy = Layout(str(tmp_path))
+    staged = {name: df for name, df in written.items()}
+    sinks.load_tables(staged, copy)
+    again = tables.new_rows(spark, copy, "shots", staged["shots"])
+    assert again.count() == 0
+    later = staged["shots"].withColumn("game_id", F.concat(F.lit("1"), F.substring("game_id", 2, 9)))
+    ids = tables.new_rows(spark, copy, "shots", later).agg(F.min("shot_id"), F.countDistinct("shot_id")).first()
+    assert tuple(ids) == (721, 720)
+
+
 def test_gold_slice_is_replaced_not_appended(spark, loaded, scored):
     layout, _ = loaded
     other = spark.read.parquet(layout.gold).limit(5).withColumn("feature_set_version", F.lit("v2"))
