@@ -17,6 +17,7 @@ from pyspark.sql import types as T
 from arcline import schemas as S
 
 CRITICAL, WARNING = "critical", "warning"
+CONTRACT_WORDS = {"isin": "other than", "range": "out of range", "length": "shorter than"}
 REPORT_COLUMNS = ("level", "table", "check", "message", "count")
 
 
@@ -44,14 +45,14 @@ def missing(df: DataFrame, column: str) -> Column:
 
 def required_rules(df: DataFrame, columns) -> list[Rule]:
     return [
-        Rule(CRITICAL, f"missing_{c}", missing(df, c), f"row(s) missing required column {c}")
+        Rule(CRITICAL, f"missing_{c}", missing(df, c), f"without a value in required {c}")
         for c in columns
     ]
 
 
 def optional_rules(df: DataFrame, columns) -> list[Rule]:
     return [
-        Rule(WARNING, f"missing_{c}", missing(df, c), f"row(s) missing optional {c}")
+        Rule(WARNING, f"missing_{c}", missing(df, c), f"without a value in {c}")
         for c in columns
     ]
 
@@ -61,7 +62,7 @@ def allowed_rule(column: str, allowed) -> Rule:
         CRITICAL,
         f"invalid_{column}",
         F.col(column).isNotNull() & ~F.col(column).isin(*allowed),
-        f"row(s) with {column} not in {sorted(allowed)}",
+        f"with {column} other than {sorted(allowed)}",
     )
 
 
@@ -71,13 +72,13 @@ def contract_rules(df: DataFrame, rules) -> list[Rule]:
     for column, kind, argument, nullable in rules:
         if column not in df.columns:
             result.append(
-                Rule(CRITICAL, "contract_column", F.lit(True), f"row(s) without column {column}")
+                Rule(CRITICAL, "contract_column", F.lit(True), f"cannot show absent column {column}")
             )
             continue
         value = F.col(column)
         if not nullable:
             result.append(
-                Rule(CRITICAL, "contract_not_null", value.isNull(), f"row(s) failing not_null on {column}")
+                Rule(CRITICAL, "contract_not_null", value.isNull(), f"NULL in {column}")
             )
         condition = {
             "isin": lambda v, a: ~v.isin(*a),
@@ -90,7 +91,7 @@ def contract_rules(df: DataFrame, rules) -> list[Rule]:
                     CRITICAL,
                     f"contract_{kind}",
                     value.isNotNull() & condition(value, argument),
-                    f"row(s) failing {kind} {argument} on {column}",
+                    f"{CONTRACT_WORDS.get(kind, kind)} {argument} on {column}",
                 )
             )
     return result
@@ -98,7 +99,7 @@ def contract_rules(df: DataFrame, rules) -> list[Rule]:
 
 def season_date_rules(season: str, column: str = "game_date") -> list[Rule]:
     rules = [
-        Rule(CRITICAL, f"missing_{column}", F.col(column).isNull(), f"row(s) with null {column}")
+        Rule(CRITICAL, f"missing_{column}", F.col(column).isNull(), f"lacking {column}")
     ]
     if season in S.SEASON_DATES:
         low, high = (F.lit(day).cast("date") for day in S.SEASON_DATES[season])
@@ -107,7 +108,7 @@ def season_date_rules(season: str, column: str = "game_date") -> list[Rule]:
                 CRITICAL,
                 "date_range",
                 (F.col(column) < low) | (F.col(column) > high),
-                f"row(s) with {column} outside {S.SEASON_DATES[season]} for season {season}",
+                f"with {column} beyond {S.SEASON_DATES[season]}, the days of {season}",
             )
         )
     return rules
@@ -153,7 +154,7 @@ def check_rows(
         kind, number = expected
         bad = rows != number if kind == "exact" else rows < number
         word = "exactly" if kind == "exact" else "at least"
-        text = F.concat(F.lit(f"expected {word} {number} rows, found "), rows.cast("string"))
+        text = F.concat(F.lit(f"wanted {word} {number} rows, got "), rows.cast("string"))
         extra.append(F.when(bad, _issue(CRITICAL, table, f"row_count_{kind}", text, rows)))
     if empty_is_critical:
         empty = _issue(CRITICAL, table, "empty", F.lit("table is empty"), F.lit(0))
@@ -176,7 +177,7 @@ def key_duplicates(df: DataFrame, keys) -> DataFrame:
 def check_keys(df: DataFrame, table: str, keys) -> DataFrame:
     text = F.concat(
         F.col("duplicate_groups").cast("string"),
-        F.lit(f" duplicate key group(s) on {tuple(keys)}"),
+        F.lit(f" keys used more than once: {tuple(keys)}"),
     )
     issue = _issue(CRITICAL, table, "duplicate_natural_key", text, F.col("extra_rows"))
     found = key_duplicates(df, keys).where(F.col("duplicate_groups") > 0)
@@ -199,7 +200,7 @@ def check_reference(
         F.coalesce(F.sum("rows"), F.lit(0)).alias("_n")
     )
     text = F.concat(
-        F.col("_n").cast("string"), F.lit(f" row(s) with {column} not found in {parent_column}")
+        F.col("_n").cast("string"), F.lit(f" with a {column} unknown to {parent_column}")
     )
     issue = _issue(CRITICAL, table, f"orphan_{column}", text, F.col("_n"))
     return total.where(F.col("_n") > 0).select(issue.alias("i")).select("i.*")
@@ -229,7 +230,7 @@ def _table_rules(table: str, df: DataFrame, season: str) -> list[Rule]:
                 CRITICAL,
                 "abbreviation_length",
                 F.length("abbreviation") > 3,
-                "row(s) with abbreviation longer than 3 characters",
+                "with an abbreviation of over 3 characters",
             )
         )
     elif table == "players":
@@ -246,7 +247,7 @@ def _table_rules(table: str, df: DataFrame, season: str) -> list[Rule]:
         )
         nameless = F.col("person_id").isNotNull() & F.col("player_name").isNull()
         rules.append(
-            Rule(WARNING, "missing_player_name", nameless, "row(s) with person_id but no player_name")
+            Rule(WARNING, "missing_player_name", nameless, "with a person_id and no player_name")
         )
     if table in ("games", "shots", "player_game_logs", "team_game_logs"):
         rules += season_date_rules(season)

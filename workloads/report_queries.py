@@ -650,15 +650,15 @@ def _count(source: str, condition: str) -> str:
 
 _SHOT_ISSUES = " union all ".join(
     [
-        _issue("critical", "shots", "contract_range", _count("v_shots", "shot_distance > 40"), "row(s) failing range (0, 40) on shot_distance"),
-        _issue("critical", "shots", "contract_isin", _count("v_shots", "shot_type not in ('2PT Field Goal')"), "row(s) failing isin (''2PT Field Goal'',) on shot_type"),
-        _issue("warning", "shots", "missing_shot_zone_basic", _count("v_shots", "shot_zone_basic is null"), "row(s) missing optional shot_zone_basic"),
-        _issue("warning", "shots", "missing_event_type", "(select count(*) from v_shots)", "row(s) missing optional event_type"),
-        _issue("critical", "shots", "invalid_period", _count("v_shots", "period not in (1, 2, 3, 4)"), "row(s) with period not in [1, 2, 3, 4]"),
-        """select 'critical', 'shots', 'row_count_exact', concat('expected exactly 30 rows, found ', cast(count(*) as string)), count(*) from v_shots""",
-        """select 'critical', 'shots', 'duplicate_natural_key', concat(cast(count(*) as string), ' duplicate key group(s) on (''game_id'', ''game_event_id'', ''player_id'')'),
+        _issue("critical", "shots", "contract_range", _count("v_shots", "shot_distance > 40"), "out of range (0, 40) on shot_distance"),
+        _issue("critical", "shots", "contract_isin", _count("v_shots", "shot_type not in ('2PT Field Goal')"), "other than (''2PT Field Goal'',) on shot_type"),
+        _issue("warning", "shots", "missing_shot_zone_basic", _count("v_shots", "shot_zone_basic is null"), "without a value in shot_zone_basic"),
+        _issue("warning", "shots", "missing_event_type", "(select count(*) from v_shots)", "without a value in event_type"),
+        _issue("critical", "shots", "invalid_period", _count("v_shots", "period not in (1, 2, 3, 4)"), "with period other than [1, 2, 3, 4]"),
+        """select 'critical', 'shots', 'row_count_exact', concat('wanted exactly 30 rows, got ', cast(count(*) as string)), count(*) from v_shots""",
+        """select 'critical', 'shots', 'duplicate_natural_key', concat(cast(count(*) as string), ' keys used more than once: (''game_id'', ''game_event_id'', ''player_id'')'),
              cast(sum(c - 1) as bigint) from (select count(*) as c from v_shots group by game_id, game_event_id, player_id having count(*) > 1)""",
-        """select 'critical', 'shots', 'orphan_player_id', concat(cast(count(*) as string), ' row(s) with player_id not found in c_custkey'), count(*)
+        """select 'critical', 'shots', 'orphan_player_id', concat(cast(count(*) as string), ' with a player_id unknown to c_custkey'), count(*)
              from v_shots where player_id not in (select c_custkey from customer where c_acctbal > 0)""",
     ]
 )
@@ -689,10 +689,10 @@ def rule_report(t):
     "table_report_games",
     ("v_games",),
     f"""select * from (
-      {_issue('critical', 'games', 'contract_column', '(select count(*) from v_games)', 'row(s) without column season_type')}
+      {_issue('critical', 'games', 'contract_column', '(select count(*) from v_games)', 'cannot show absent column season_type')}
       union all {_issue('critical', 'games', 'home_equals_away', _count('v_games', 'home_team_id = away_team_id'), 'game(s) where home equals away')}
-      union all {_issue('critical', 'games', 'date_range', _count('v_games', "game_date < date '2024-10-01' or game_date > date '2025-06-30'"), "row(s) with game_date outside (''2024-10-01'', ''2025-06-30'') for season 2024-25")}
-      union all select 'critical', 'games', 'row_count_exact', concat('expected exactly 1230 rows, found ', cast(count(*) as string)), count(*) from v_games
+      union all {_issue('critical', 'games', 'date_range', _count('v_games', "game_date < date '2024-10-01' or game_date > date '2025-06-30'"), "with game_date beyond (''2024-10-01'', ''2025-06-30''), the days of 2024-25")}
+      union all select 'critical', 'games', 'row_count_exact', concat('wanted exactly 1230 rows, got ', cast(count(*) as string)), count(*) from v_games
       ) where "count" > 0""",
 )
 def table_report_games(t):
