@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .buffers import LOWER, Chunk, Words, find_words, mixed, prefix_hashes, range_hashes, text_chunks, BYTE_VALUES
+from .buffers import LOWER, Chunk, Words, find_words, prefix_hashes, range_hashes, text_chunks, BYTE_VALUES
 from .columns import small
 
 # Buckets of hashed byte trigrams, then of hashed words, then of hashed word pairs' repetition.
