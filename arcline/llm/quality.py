@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -93,8 +94,10 @@ class OrdinalModel:
         counts = np.bincount(grade, minlength=grades)
         weight = 1 / np.sqrt(counts[grade])
         weight /= weight.sum()
-        used = np.flatnonzero(np.bincount(feature, minlength=FEATURES))
-        index = np.searchsorted(used, feature).astype(np.int32)
+        seen = np.zeros(FEATURES, bool)
+        seen[feature] = True
+        used = np.flatnonzero(seen)
+        index = (np.cumsum(seen, dtype=np.int32) - 1)[feature]
         edges = np.searchsorted(row, np.arange(0, n + FIT_ROWS, FIT_ROWS))
         params = np.zeros(len(used) + grades - 1)
         gap = slice(len(used), None)
@@ -181,12 +184,15 @@ def fit_quality(
     found = chosen.mapInArrow(features, "grade int, features binary, values binary").collect()
     if not found:
         return OrdinalModel(np.zeros(FEATURES), np.zeros(grades - 1))
-    found.sort(key=lambda r: (r[0], bytes(r[1])))
-    row = np.repeat(np.arange(len(found), dtype=np.int32), [len(r[1]) // 4 for r in found])
+    # The driver holds every array once: rows are dropped as they are copied.
+    found = sorted(map(tuple, found), key=lambda r: (r[0], zlib.crc32(r[1]), zlib.crc32(r[2])))
     grade = np.array([r[0] for r in found])
-    feature = np.frombuffer(b"".join(r[1] for r in found), np.int32)
-    value = np.frombuffer(b"".join(r[2] for r in found), np.float32)
-    del found
+    sizes = [len(r[1]) // 4 for r in found]
+    row = np.repeat(np.arange(len(found), dtype=np.int32), sizes)
+    feature, value = np.empty(len(row), np.int32), np.empty(len(row), np.float32)
+    for k, (a, b) in enumerate(zip(np.cumsum(sizes) - sizes, np.cumsum(sizes), strict=True)):
+        feature[a:b], value[a:b] = np.frombuffer(found[k][1], np.int32), np.frombuffer(found[k][2], np.float32)
+        found[k] = None
     return OrdinalModel.fit(row, feature, value, grade, grades)
 
 
