@@ -126,7 +126,30 @@ joined as (
 """
 OP6 = "with recursive " + SIMILAR.format(docs="documents") + "select * from joined"
 
+OP7 = """
+with raw as (select doc_id, hex(encode(coalesce(text, ''))) as h from documents),
+windows as (
+  select doc_id, i, substr(h, 2 * i + 1, 100) as s
+  from (select doc_id, h, unnest(range(0, length(h) // 2 - 49)) as i from raw where length(h) >= 100)),
+earliest as (select s, min(doc_id) as least from windows group by s having min(doc_id) < max(doc_id)),
+gone as (
+  select distinct doc_id, unnest(range(i, i + 50)) as p from windows join earliest using (s) where doc_id > least),
+counted as (
+  select doc_id, count(*) as n_removed, count(*) filter (where before is null or before < p - 1) as n_spans
+  from (select doc_id, p, lag(p) over (partition by doc_id order by p) as before from gone) group by doc_id),
+bytes as (
+  select doc_id, p, substr(h, 2 * p + 1, 2) as b
+  from (select doc_id, h, unnest(range(0, length(h) // 2)) as p from raw where doc_id in (select doc_id from counted))),
+rest as (
+  select doc_id, string_agg(b, '' order by p) as h
+  from bytes anti join gone using (doc_id, p) group by doc_id)
+select raw.doc_id, length(raw.h) // 2 as n_bytes, coalesce(n_removed, 0) as n_removed, coalesce(n_spans, 0) as n_spans,
+  sha256(unhex(case when n_removed is null then raw.h else coalesce(rest.h, '') end)) as kept_sha256
+from raw left join counted using (doc_id) left join rest using (doc_id)
+"""
+
 CHECKS = {
+    "op7_suffix_array_dedup": OP7,
     "op6_ngram_jaccard_join": OP6,
     "op1_substring_dedup": OP1,
     "op2_url_filters": OP2,
