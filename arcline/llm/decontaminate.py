@@ -33,6 +33,14 @@ def winnow(words: Column, gram: int, window: int) -> Column:
     return let(hashes, lambda h: F.array_distinct(_grams(h, window - gram + 1, F.array_min)))
 
 
+def row_key(doc_id: Column, text: Column) -> dict[str, Column]:
+    """128 bits that tell rows apart by id and text, null ids included."""
+    return {"row_a": F.xxhash64(doc_id, text), "row_b": F.xxhash64(text, F.lit(1), doc_id)}
+
+
+KEY = ["row_a", "row_b"]
+
+
 def decontaminate(
     docs: DataFrame,
     benchmark: DataFrame,
@@ -44,6 +52,8 @@ def decontaminate(
     text: str = "text",
     item_id: str = "item_id",
     item_text: str = "text",
+    null_ids: bool = False,
+    keyed: bool = False,
 ) -> DataFrame:
     """Per document: doc_id, n_words, n_hit, n_items, item_ids, items_sha256, contaminated.
 
@@ -64,10 +74,11 @@ def decontaminate(
 
     Null or wordless text has no words; null and wordless items have no window. Items with the
     same text count separately, repeated items with one id once. Rows repeating a doc_id give a
-    row each, and share the hits found under that id when their texts differ. A null doc_id
-    gives a row without hits. Empty tables give empty results, or no hits. Other columns are ignored.
+    row each, judged by its own text. A row without doc_id is judged with ``null_ids``, else it has
+    no hits. ``keyed`` adds the columns of row_key. Empty tables give empty results, or no hits. Other columns are ignored.
     """
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    rows = rows.withColumns(row_key(F.col("doc_id"), F.col("text")))
     items = saved(
         benchmark.select(F.col(item_id).alias("item_id"), benchmark_words(F.col(item_text)).alias("words")).where(
             F.size("words") > 0
@@ -99,15 +110,16 @@ def decontaminate(
         return F.concat(winnow(words, gram, window), *whole)
 
     words = benchmark_words(F.col("text"))
-    found = rows.select("doc_id", F.explode(let(words, prints)).alias("print")).join(
+    judged = rows if null_ids else rows.where(F.col("doc_id").isNotNull())
+    found = judged.select(*KEY, F.explode(let(words, prints)).alias("print")).join(
         small(item_prints, n_windows, 16), "print", "left_semi"
     )
-    candidates = saved(found.where(F.col("doc_id").isNotNull()).select("doc_id").distinct())
+    candidates = saved(found.select(*KEY).distinct())
 
-    chosen = rows.join(small(candidates, candidates.count(), 16), "doc_id", "left_semi")
+    chosen = rows.join(small(candidates, candidates.count(), 24), KEY, "left_semi")
     spans = [
         chosen.select(
-            "doc_id",
+            *KEY,
             F.posexplode(let(words, lambda w, n=n: _grams(w, n, lambda part: F.array_join(part, " ")))).alias("at", "window"),
             F.lit(n).alias("span"),
         )
@@ -119,29 +131,30 @@ def decontaminate(
     distinct_windows = small(windows.select("window").distinct(), n_windows, 200)
     hits = saved(every.join(distinct_windows, "window", "left_semi").distinct())
     covered = (
-        hits.select("doc_id", F.explode(F.sequence(F.col("at"), F.col("at") + F.col("span") - 1)).alias("at"))
+        hits.select(*KEY, F.explode(F.sequence(F.col("at"), F.col("at") + F.col("span") - 1)).alias("at"))
         .distinct()
-        .groupBy("doc_id")
+        .groupBy(*KEY)
         .agg(F.count(F.lit(1)).alias("n_hit"))
     )
     named = (
-        hits.select("doc_id", "window")
+        hits.select(*KEY, "window")
         .distinct()
         .join(small(windows, n_windows, 200), "window")
-        .select("doc_id", F.col("item_id").cast("string").alias("item"))
+        .select(*KEY, F.col("item_id").cast("string").alias("item"))
         .where(F.col("item").isNotNull())
         .distinct()
-        .groupBy("doc_id")
+        .groupBy(*KEY)
         .agg(F.sort_array(F.collect_list("item")).alias("item_ids"))
     )
     n_words = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
-    counted = rows.select("doc_id", n_words.alias("n_words"))
+    counted = rows.select("doc_id", *KEY, n_words.alias("n_words"))
     none = F.array().cast("array<string>")
     return (
-        counted.join(covered.join(named, "doc_id", "left"), "doc_id", "left")
+        counted.join(covered.join(named, KEY, "left"), KEY, "left")
         .withColumn("n_hit", F.coalesce("n_hit", F.lit(0)).cast("long"))
         .withColumn("item_ids", F.coalesce("item_ids", none))
         .select(
+            *(KEY if keyed else []),
             "doc_id",
             "n_words",
             "n_hit",

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from .buffers import LOWER, find_words, mixed, prefix_hashes, range_hashes, run_starts, text_chunks, word_hashes
 from .columns import saved
 from .graphs import connected
-from .repeats import LAST_ID, Sizes, as_batch, pack, part_of, prepared, split_rows, unpack
+from .repeats import LAST_ID, Sizes, as_batch, pack, pack_versions, part_of, prepared, split_rows, unpack, unpack_versions
 
 SHINGLE = 5
 # Link when DENOMINATOR * intersection >= NUMERATOR * (size + size): 7 and 3 for a Jaccard of 0.75.
@@ -23,7 +23,7 @@ MOST = np.uint32(0xFFFFFFFF)
 
 SENT = pa.schema([("bucket", pa.int32()), ("kind", pa.int32()), *((n, pa.binary()) for n in ("ids", "versions", "a", "b"))])
 NOTED = pa.schema([("part", pa.int32()), ("kind", pa.int32()), *((n, pa.binary()) for n in ("ids", "versions", "a", "b"))])
-SETS_DDL = "id long, version int, n_shingles long, node long, codes binary"
+SETS_DDL = "id long, version long, n_shingles long, node long, codes binary"
 
 
 def shingle_sets(chunk, shingle: int) -> tuple[np.ndarray, np.ndarray]:
@@ -57,7 +57,7 @@ def shingle_index(rows: DataFrame, sizes: Sizes, shingle: int, share: tuple[int,
     straight to their part; so a bucket gets a bounded number of entries per chunk for any shingle.
     """
     bits, buckets, parts = sizes.bits, sizes.buckets, sizes.parts
-    kinds = [np.int64, np.uint16]
+    kinds = [np.int64, np.int64]
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -70,7 +70,7 @@ def shingle_index(rows: DataFrame, sizes: Sizes, shingle: int, share: tuple[int,
                 node = mixed(sums[ends[1:]] - sums[ends[:-1]] + n.astype(np.uint64))
                 own, ver = ids[chunk.first : chunk.first + chunk.rows], versions[chunk.first : chunk.first + chunk.rows]
                 found = [
-                    (int(node[0] % np.uint64(buckets)), ROW, pack(own.astype(np.int64)), pack(ver.astype(np.uint16)), pack(n.astype(np.uint32)), pack(node))
+                    (int(node[0] % np.uint64(buckets)), ROW, pack(own.astype(np.int64)), pack_versions(ver), pack(n.astype(np.uint32)), pack(node))
                 ]
                 first = np.zeros(chunk.rows, bool)
                 first[np.unique(node, return_index=True)[1]] = True
@@ -96,15 +96,17 @@ def shingle_index(rows: DataFrame, sizes: Sizes, shingle: int, share: tuple[int,
                     if frequent.any():
                         for k in np.array_split(np.flatnonzero(frequent), 4):
                             if len(k):
-                                found.append((int(code[k[0]] % np.uint64(buckets)), DIRECT, pack(own[row[k]].astype(np.int64)), pack(ver[row[k]].astype(np.uint16)), pack(low[k]), pack(high[k])))
+                                found.append((int(code[k[0]] % np.uint64(buckets)), DIRECT, pack(own[row[k]].astype(np.int64)), pack_versions(ver[row[k]]), pack(low[k]), pack(high[k])))
                 yield as_batch(found, SENT)
 
     def read(table: pa.Table, kind: int, a, b) -> list[np.ndarray]:
         chosen = np.flatnonzero(table["kind"].to_numpy() == kind)
         out = []
-        for name, dtype in (("ids", np.int64), ("versions", np.uint16), ("a", a), ("b", b)):
+        ids = table["ids"].take(pa.array(chosen)).to_pylist()
+        for name, dtype in (("ids", np.int64), ("versions", np.int64), ("a", a), ("b", b)):
             column = table[name].take(pa.array(chosen)).to_pylist()
-            out.append(np.concatenate([unpack(x, dtype) for x in column] or [np.zeros(0, dtype)]))
+            found = map(unpack_versions, column, ids) if name == "versions" else (unpack(x, dtype) for x in column)
+            out.append(np.concatenate([*found] or [np.zeros(0, dtype)]))
         return out
 
     def whole(low: np.ndarray, high: np.ndarray) -> np.ndarray:
@@ -114,10 +116,10 @@ def shingle_index(rows: DataFrame, sizes: Sizes, shingle: int, share: tuple[int,
         found = []
         ids, versions, n, node = read(table, ROW, np.uint32, np.uint64)
         if len(ids):
-            found += split_rows(part_of(ids, parts), [ids, versions, n, node], [*kinds, np.uint32, np.uint64], (ROW,))
+            found += split_rows(part_of(ids, versions, parts), [ids, versions, n, node], [*kinds, np.uint32, np.uint64], (ROW,))
         ids, versions, low, high = read(table, DIRECT, np.uint32, np.uint16)
         if len(ids):
-            found += split_rows(part_of(ids, parts), [ids, versions, whole(low, high), np.full(len(ids), MOST)], [*kinds, np.uint64, np.uint32], (ENTRY,))
+            found += split_rows(part_of(ids, versions, parts), [ids, versions, whole(low, high), np.full(len(ids), MOST)], [*kinds, np.uint64, np.uint32], (ENTRY,))
         _, _, low, high = read(table, HOT, np.uint32, np.uint16)
         hot = np.unique(whole(low, high))
         ids, versions, low, high = read(table, ENTRY, np.uint32, np.uint16)
@@ -132,7 +134,7 @@ def shingle_index(rows: DataFrame, sizes: Sizes, shingle: int, share: tuple[int,
             kept = rank > 1
             if kept.any():
                 ids = ids[kept]
-                found += split_rows(part_of(ids, parts), [ids, versions[kept], code[kept], rank[kept]], [*kinds, np.uint64, np.uint32], (ENTRY,))
+                found += split_rows(part_of(ids, versions[kept], parts), [ids, versions[kept], code[kept], rank[kept]], [*kinds, np.uint64, np.uint32], (ENTRY,))
         return pa.Table.from_batches([as_batch(found, NOTED)])
 
     def gather(table: pa.Table) -> pa.Table:
@@ -147,7 +149,7 @@ def shingle_index(rows: DataFrame, sizes: Sizes, shingle: int, share: tuple[int,
         may = (n > 0) & (high - low >= needed(n, share))
         codes = [code[a:b].tobytes() if m else None for a, b, m in zip(low, high, may, strict=True)]
         return pa.Table.from_arrays(
-            [pa.array(ids), pa.array(versions.astype(np.int32)), pa.array(n), pa.array(node.view(np.int64)), pa.array(codes, pa.binary())],
+            [pa.array(ids), pa.array(versions.astype(np.int64)), pa.array(n), pa.array(node.view(np.int64)), pa.array(codes, pa.binary())],
             ["id", "version", "n_shingles", "node", "codes"],
         )
 

@@ -52,9 +52,10 @@ def op8_mixing_sources(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def op9_benchmark_decontamination(spark: SparkSession, folder: str) -> DataFrame:
-    return decontaminate.decontaminate(table(spark, folder, "documents"), table(spark, folder, "benchmark")).drop(
-        "item_ids"
+    judged = decontaminate.decontaminate(
+        table(spark, folder, "documents"), table(spark, folder, "benchmark"), null_ids=True
     )
+    return judged.drop("item_ids")
 
 
 @query

@@ -49,6 +49,20 @@ def unpack(data: bytes, kind) -> np.ndarray:
     return np.ascontiguousarray(planes.T).view(kind).ravel()
 
 
+def pack_versions(versions: np.ndarray) -> bytes:
+    """As pack; nothing where all versions are 0, as they are unless an id has different texts."""
+    return pack(versions.astype(np.int64)) if versions.any() else b""
+
+
+def unpack_versions(data: bytes, ids: bytes) -> np.ndarray:
+    return unpack(data, np.int64) if data else np.zeros(len(ids) // 8, np.uint8)
+
+
+def pack_all(arrays: list[np.ndarray], kinds: list) -> list[bytes]:
+    """Packed arrays of which the second are versions."""
+    return [pack_versions(a) if i == 1 else pack(a.astype(k)) for i, (a, k) in enumerate(zip(arrays, kinds, strict=True))]
+
+
 @dataclass
 class Runs:
     """Runs of windows: document id and version, first window in the row, number of windows."""
@@ -62,41 +76,39 @@ class Runs:
         return Runs(self.ids[chosen], self.versions[chosen], self.starts[chosen], self.counts[chosen])
 
     def packed(self) -> list[bytes]:
-        return [
-            pack(self.ids.astype(np.int64)),
-            pack(self.versions.astype(np.uint16)),
-            pack(self.starts.astype(np.uint32)),
-            pack(self.counts.astype(np.uint16)),
-        ]
+        return pack_all([self.ids, self.versions, self.starts, self.counts], RUN_KINDS)
 
     @classmethod
     def joined(cls, columns: list[list[bytes]]) -> Runs:
-        kinds = (np.int64, np.uint16, np.uint32, np.uint16)
-        return cls(*(np.concatenate([unpack(b, k) for b in c] or [np.zeros(0, k)]) for c, k in zip(columns, kinds, strict=True)))
+        ids, versions, starts, counts = columns
+        found = [[unpack(b, np.int64) for b in ids], [unpack_versions(b, i) for b, i in zip(versions, ids, strict=True)]]
+        found += [[unpack(b, np.uint32) for b in starts], [unpack(b, np.uint16) for b in counts]]
+        return cls(*(np.concatenate(c or [np.zeros(0, k)]) for c, k in zip(found, RUN_KINDS, strict=True)))
 
 
 def split_rows(place: np.ndarray, arrays: list[np.ndarray], kinds: list, extra: tuple = ()) -> list[tuple]:
     """One row (place, *extra, packed arrays) per distinct place, order inside kept."""
     order = np.argsort(place, kind="stable")
     place = place[order]
-    arrays = [a[order].astype(k) for a, k in zip(arrays, kinds, strict=True)]
+    arrays = [a[order] for a in arrays]
     cuts = np.append(np.flatnonzero(np.diff(place, prepend=-1)), len(place))
     return [
-        (int(place[a]), *extra, *(pack(values[a:b]) for values in arrays)) for a, b in zip(cuts[:-1], cuts[1:], strict=True)
+        (int(place[a]), *extra, *pack_all([values[a:b] for values in arrays], kinds)) for a, b in zip(cuts[:-1], cuts[1:], strict=True)
     ]
 
 
-def part_of(ids: np.ndarray, parts: int) -> np.ndarray:
-    """Part of a document id; the same for all its rows."""
-    h = ((ids ^ (ids >> 31)) & 0x7FFFFFFF) * 0x9E3779B1
+def part_of(ids: np.ndarray, versions: np.ndarray, parts: int) -> np.ndarray:
+    """Part of a row, by its id and version."""
+    key = ids ^ versions
+    h = ((key ^ (key >> 31)) & 0x7FFFFFFF) * 0x9E3779B1
     return (h >> 20) % parts
 
 
-RUN_KINDS = [np.int64, np.uint16, np.uint32, np.uint16]
+RUN_KINDS = [np.int64, np.int64, np.uint32, np.uint16]
 
 
 def note_rows(runs: Runs, kind: int, parts: int) -> list[tuple]:
-    return split_rows(part_of(runs.ids, parts), [runs.ids, runs.versions, runs.starts, runs.counts], RUN_KINDS, (kind,))
+    return split_rows(part_of(runs.ids, runs.versions, parts), [runs.ids, runs.versions, runs.starts, runs.counts], RUN_KINDS, (kind,))
 
 
 def as_batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
@@ -131,22 +143,25 @@ class Sizes:
 def prepared(docs: DataFrame, doc_id: str, text: str, carry: tuple[str, ...] = ()) -> tuple[DataFrame, Sizes]:
     """Rows (doc_id, id, version, text, and a struct ``carried``) and the numbers of buckets and parts.
 
-    A null id counts after every other. The version tells apart rows of one id with different
-    texts; it is 0 everywhere if there are none.
+    A null id counts after every other. The version, a 64-bit hash of the text, tells apart rows
+    of one id with different texts; it is 0 for all null ids, or for all others, if none there differ.
     """
     carried = [F.struct(*carry).alias("carried")] if carry else []
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), *carried)
     hashed = rows.groupBy("doc_id").agg(
         F.min(F.xxhash64("text")).alias("low"), F.max(F.xxhash64("text")).alias("high"), F.sum(F.octet_length("text")).alias("size")
     )
-    size, differ = hashed.agg(F.coalesce(F.sum("size"), F.lit(0)), F.count(F.when(F.col("low") != F.col("high"), 1))).first()
+    differ, missing = F.col("low") != F.col("high"), F.col("doc_id").isNull()
+    size, unnamed, named = hashed.agg(
+        F.coalesce(F.sum("size"), F.lit(0)), F.count(F.when(differ & missing, 1)), F.count(F.when(differ & ~missing, 1))
+    ).first()
     wanted = max(8, -(-size // PART_BYTES))
     sizes = Sizes((wanted - 1).bit_length(), wanted)
-    version = F.pmod(F.xxhash64("text"), F.lit(65_536)) if differ else F.lit(0)
+    told_apart = F.when(F.col("doc_id").isNull(), F.lit(unnamed > 0)).otherwise(F.lit(named > 0))
     rows = rows.select(
         "doc_id",
         F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID)).alias("id"),
-        version.cast("int").alias("version"),
+        F.when(told_apart, F.xxhash64("text")).otherwise(F.lit(0).cast("long")).alias("version"),
         "text",
         *(["carried"] if carry else []),
     )
@@ -218,15 +233,21 @@ def piece_notes(
 
 
 def by_part(rows: DataFrame, sizes: Sizes) -> DataFrame:
-    """Rows with the part of their id; the hash is that of part_of."""
-    low = F.col("id").bitwiseXOR(F.shiftright("id", 31)).bitwiseAND(F.lit(0x7FFFFFFF))
+    """Rows with the part of their id and version; the hash is that of part_of."""
+    key = F.col("id").bitwiseXOR(F.col("version"))
+    low = key.bitwiseXOR(F.shiftright(key, 31)).bitwiseAND(F.lit(0x7FFFFFFF))
     h = F.shiftright(low * F.lit(0x9E3779B1), 20)
     return rows.withColumn("part", (h % F.lit(sizes.parts)).cast("int"))
 
 
 def runs_by_row(ids: np.ndarray, versions: np.ndarray, notes: pa.Table) -> tuple[np.ndarray, Runs]:
-    """Row of each run of a part's notes; a run meets every row of its id and version."""
+    """Row of each run of a part's notes; a run meets every row of its id and version once."""
     runs = Runs.joined([notes[n].to_pylist() for n in ("ids", "versions", "starts", "counts")])
+    order = np.lexsort((runs.counts, runs.starts, runs.versions, runs.ids))
+    runs = runs[order]
+    columns = (runs.ids, runs.versions, runs.starts, runs.counts)
+    if len(order):
+        runs = runs[np.concatenate(([True], np.any([c[1:] != c[:-1] for c in columns], axis=0)))]
     order = np.lexsort((versions, ids))
     keys = np.rec.fromarrays([ids[order], versions[order].astype(np.int64)])
     wanted = np.rec.fromarrays([runs.ids, runs.versions.astype(np.int64)])

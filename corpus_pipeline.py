@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from arcline.llm.columns import saved, small
-from arcline.llm.decontaminate import decontaminate
+from arcline.llm.decontaminate import KEY, decontaminate, row_key
 from arcline.llm.jaccard import similar_documents
 from arcline.llm.mixing import mix_sources
 from arcline.llm.quality import fit_quality, grade_documents, label_grade
@@ -63,9 +63,10 @@ def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that do not count as contaminated by the benchmark."""
-    judged = decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    bad = saved(judged.where("contaminated").select("doc_id").distinct())
-    return docs.select(*COLUMNS).join(small(bad, bad.count(), 16), "doc_id", "left_anti").select(*COLUMNS)
+    judged = decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), null_ids=True, keyed=True)
+    bad = saved(judged.where("contaminated").select(*KEY).distinct())
+    rows = docs.select(*COLUMNS).withColumns(row_key(F.col("doc_id"), F.col("text")))
+    return rows.join(small(bad, bad.count(), 24), KEY, "left_anti").select(*COLUMNS)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -30,3 +30,11 @@ def test_nulls_empty_and_clashing(spark):
     assert got == {None: (2, 0), 1: (0, 0)}
     assert decontaminate(docs.limit(0), items).count() == 0
     assert {r["n_hit"] for r in decontaminate(docs, items.limit(0)).collect()} == {0}
+
+
+def test_rows_of_one_id_and_without_id(spark):
+    """Every row is judged by its own text, rows without an id too."""
+    items = [(1, " ".join(f"q{i}" for i in range(20)))]
+    docs = [(None, items[0][1]), (None, "clean"), (5, items[0][1] + " x"), (5, "clean words"), (5, None)]
+    got = decontaminate(spark.createDataFrame(docs, DOCS), spark.createDataFrame(items, ITEMS), null_ids=True).drop("item_ids")
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(brute.hits(docs, items), key=str)

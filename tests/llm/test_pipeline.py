@@ -65,3 +65,12 @@ def test_stages_on_awkward_rows(spark, tmp_path):
         assert sorted(r["doc_id"] or 0 for r in docs.collect()) == ([0, 1, 2] if data else [])
         kept = pipeline.quality_stage(spark, spark.createDataFrame(data, schema), str(tmp_path))
         assert kept.columns == pipeline.COLUMNS and kept.count() == len(data)
+
+
+def test_contaminated_rows_go_one_by_one(spark, tmp_path):
+    item = " ".join(f"q{i}" for i in range(20))
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    rows = [(None, item), (None, "clean text"), (4, item + " end"), (4, "clean too")]
+    docs = spark.createDataFrame([(*r, "en", "a", 1) for r in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = pipeline.decontamination_stage(spark, docs, str(tmp_path)).collect()
+    assert sorted((str(r["doc_id"]), r["text"]) for r in got) == [("4", "clean too"), ("None", "clean text")]

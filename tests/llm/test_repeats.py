@@ -108,3 +108,23 @@ def test_empty_and_clashing_columns(spark, operator):
     extra = ("id", "part", "version", "node", "codes", "kind", "bucket", "n_words", "root")
     docs = spark.createDataFrame([(1, "a b c", *extra)], SCHEMA + "".join(f", {c} string" for c in extra))
     assert operator(docs).count() == 1
+
+
+@pytest.mark.parametrize("doc_id", [None, 7])
+def test_many_texts_under_one_id(spark, doc_id):
+    """Texts that agree in 16 bits of their hash and share an id are cut and linked by themselves."""
+    from pyspark.sql import functions as F
+
+    filler = [" ".join(f"{k}.{i}" for i in range(14)) for k in range(4000)]
+    seen = spark.createDataFrame([(t,) for t in filler], "text string").select("text", F.pmod(F.xxhash64("text"), F.lit(65_536)).alias("h")).collect()
+    groups = {}
+    for r in seen:
+        groups.setdefault(r["h"], []).append(r["text"])
+    alike = [t for g in groups.values() if len(g) > 1 for t in g]
+    assert len(alike) > 20
+    # One of each pair also stands in a document with a smaller id.
+    rows = [(doc_id, t) for t in alike] + [(i, "x y " + g[0]) for i, g in enumerate(x for x in groups.values() if len(x) > 1) if i != 7]
+    docs = spark.createDataFrame(rows, SCHEMA).repartition(5)
+    same(remove_repeated_words(docs).select("doc_id", "n_words", "n_removed", "kept_sha256").collect(), brute.cut_words(rows))
+    same(remove_repeated_bytes(docs).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256").collect(), brute.cut_bytes(rows))
+    same(similar_documents(docs).drop("node").collect(), brute.similar(rows))
