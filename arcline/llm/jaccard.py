@@ -245,6 +245,20 @@ def link_sets(sets: DataFrame, share: tuple[int, int]) -> DataFrame:
     return connected(stars.unionByName(more))
 
 
+def similar_rows(rows: DataFrame, sizes: Sizes, shingle: int = SHINGLE, share: tuple[int, int] = (3, 4)) -> DataFrame:
+    """Per row of ``prepared`` rows: id, version, n_shingles, node, and ``first``, the smallest (id,
+    version) reachable by links, the row's own included; see similar_documents."""
+    index = saved(shingle_index(rows, sizes, shingle, share))
+    sets = index.where("codes is not null").groupBy("node").agg(F.first("n_shingles").alias("n_shingles"), F.first("codes").alias("codes"))
+    roots = link_sets(saved(sets), share)
+    named = index.select("id", "version", "n_shingles", "node").where("n_shingles > 0")
+    named = named.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    least = named.groupBy("root").agg(F.min(F.struct("id", "version")).alias("first"))
+    linked = named.join(least, "root").select("id", "version", "n_shingles", "node", "first")
+    alone = index.where("n_shingles = 0").select("id", "version", "n_shingles", "node", F.struct("id", "version").alias("first"))
+    return linked.unionByName(alone)
+
+
 def similar_documents(
     docs: DataFrame, *, shingle: int = SHINGLE, share: tuple[int, int] = (3, 4), doc_id: str = "doc_id", text: str = "text"
 ) -> DataFrame:
@@ -267,19 +281,12 @@ def similar_documents(
     separate rows. Empty tables give empty results; other columns are ignored.
     """
     rows, sizes = prepared(docs, doc_id, text)
-    index = saved(shingle_index(rows, sizes, shingle, share))
-    sets = index.where("codes is not null").groupBy("node").agg(F.first("n_shingles").alias("n_shingles"), F.first("codes").alias("codes"))
-    roots = link_sets(saved(sets), share)
-    named = index.select("id", "n_shingles", "node").where("n_shingles > 0")
-    named = named.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    least = named.groupBy("root").agg(F.min("id").alias("least"))
-    linked = named.join(least, "root").select("id", "n_shingles", "least", "node")
-    alone = index.where("n_shingles = 0").select("id", "n_shingles", F.col("id").alias("least"), "node")
+    found = similar_rows(rows, sizes, shingle, share)
     kind = dict(rows.dtypes)["doc_id"]
 
     def known(column: str):
         return F.when(F.col(column) != LAST_ID, F.col(column)).cast(kind)
 
-    return linked.unionByName(alone).select(
-        known("id").alias("doc_id"), "n_shingles", known("least").alias("component_id"), "node"
+    return found.select(
+        known("id").alias("doc_id"), "n_shingles", known("first.id").alias("component_id"), "node"
     )

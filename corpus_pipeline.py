@@ -14,9 +14,10 @@ from pyspark.sql import functions as F
 
 from arcline.llm.columns import saved, small
 from arcline.llm.decontaminate import KEY, decontaminate, row_key
-from arcline.llm.jaccard import similar_documents
+from arcline.llm.jaccard import similar_rows
 from arcline.llm.mixing import mix_sources
 from arcline.llm.quality import fit_quality, grade_documents, label_grade
+from arcline.llm.repeats import LAST_ID, prepared
 from arcline.llm.substrings import remove_repeated_words
 from arcline.session import checkpoint_dir
 
@@ -37,15 +38,25 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of every group of similar ones; of repeated rows one.
 
-    Rows without an id stay, unless they are similar to a document with one.
+    Rows are told apart by id and text, so every row of a repeated id and every row without an id
+    is judged by itself. Rows without an id count after all others, those of one id by a hash of
+    their text. Rows without id and words are not known to repeat and all stay.
     """
-    found = similar_documents(docs)
-    kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    kept = saved(kept.groupBy("doc_id").agg(F.count(F.lit(1)).alias("times")))
-    rows, times = kept.agg(F.count(F.lit(1)), F.max(F.when(F.col("doc_id").isNotNull(), F.col("times")))).first()
-    ids = small(kept.select(F.col("doc_id").alias("kept_id")), rows, 16)
-    left = docs.join(ids, docs["doc_id"].eqNullSafe(ids["kept_id"]), "left_semi").select(*COLUMNS)
-    return left.dropDuplicates(["doc_id"]) if (times or 0) > 1 else left
+    rows, sizes = prepared(docs, "doc_id", "text", carry=("lang", "source", "n_chars"))
+    found = similar_rows(rows, sizes).where(F.struct("id", "version") == F.col("first"))
+    kept = found.groupBy("id", "version").agg(
+        F.when((F.col("id") == LAST_ID) & (F.max("n_shingles") == 0), 1).otherwise(F.count(F.lit(1))).alias("times")
+    )
+    kept = saved(kept)
+    n_kept, times = kept.agg(F.count(F.lit(1)), F.max("times")).first()
+    left = rows.join(small(kept, n_kept, 24), ["id", "version"])
+    columns = ["doc_id", "text", "carried.lang", "carried.source", "carried.n_chars"]
+    if (times or 0) <= 1:
+        return left.select(*columns)
+    # Of equal ids and texts the first by the other columns stays; only such rows are grouped.
+    one = F.min(F.struct("doc_id", "text", "carried")).alias("one")
+    again = left.where("times > 1").groupBy("id", "version").agg(one).select("one.*")
+    return left.where("times = 1").select(*columns).unionByName(again.select(*columns))
 
 
 def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

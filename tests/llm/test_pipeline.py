@@ -67,6 +67,19 @@ def test_stages_on_awkward_rows(spark, tmp_path):
         assert kept.columns == pipeline.COLUMNS and kept.count() == len(data)
 
 
+def test_near_duplicates_row_by_row(spark):
+    """Null ids and repeated ids with several texts: each row counts by its own text."""
+    text = {k: " ".join(f"{k}{i}" for i in range(40)) for k in "abcde"}
+    near = text["a"] + " more"
+    rows = [(None, text["b"]), (None, text["c"]), (None, near), (None, text["d"]), (None, text["d"]), (None, ""), (None, ""), (1, text["a"])]
+    rows += [(7, text["e"]), (7, text["a"] + " other"), (7, text["b"] + " too"), (8, "x"), (8, "x"), (8, "y")]
+    docs = spark.createDataFrame([(i, t, "en", f"s{n % 2}", len(t)) for n, (i, t) in enumerate(rows)], "doc_id long, text string, lang string, source string, n_chars long")
+    got = pipeline.near_duplicate_stage(spark, docs.repartition(5), "").collect()
+    want = [(None, text["c"]), (None, text["d"]), (None, ""), (None, ""), (1, text["a"]), (7, text["e"]), (7, text["b"] + " too"), (8, "x"), (8, "y")]
+    assert sorted(((r["doc_id"], r["text"]) for r in got), key=str) == sorted(want, key=str)
+    assert [r["source"] for r in got if r["text"] == "x"] == ["s0"]
+
+
 def test_contaminated_rows_go_one_by_one(spark, tmp_path):
     item = " ".join(f"q{i}" for i in range(20))
     spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
