@@ -41,6 +41,13 @@ def shingle_sets(chunk, shingle: int) -> tuple[np.ndarray, np.ndarray]:
     return (key >> np.uint64(48)).astype(np.int64), key & np.uint64((1 << 48) - 1)
 
 
+def first_of_each(*columns: np.ndarray) -> np.ndarray:
+    """True where sorted rows differ from the row before."""
+    new = np.ones(len(columns[0]), bool)
+    new[1:] = np.any([c[1:] != c[:-1] for c in columns], axis=0)
+    return new
+
+
 def needed(n: np.ndarray, share: tuple[int, int]) -> np.ndarray:
     """Least overlap of a set of n with any set it links to: ceil(n x Jaccard)."""
     top, bottom = share
@@ -125,8 +132,11 @@ def shingle_index(rows: DataFrame, sizes: Sizes, shingle: int, share: tuple[int,
         ids, versions, low, high = read(table, ENTRY, np.uint32, np.uint16)
         if len(ids):
             code = whole(low, high)
-            order = np.argsort(code)
+            order = np.lexsort((versions, ids, code))
             code, ids, versions = code[order], ids[order], versions[order]
+            # A repeated row counts once.
+            new = first_of_each(code, ids, versions)
+            code, ids, versions = code[new], ids[new], versions[new]
             at = np.flatnonzero(np.concatenate(([True], np.diff(code) != 0)))
             times = np.diff(np.append(at, len(code)))
             rank = np.where(np.isin(code[at], hot), MOST, np.minimum(times, MOST - 1).astype(np.uint32))
@@ -142,6 +152,8 @@ def shingle_index(rows: DataFrame, sizes: Sizes, shingle: int, share: tuple[int,
         of, ver, code, rank = read(table, ENTRY, np.uint64, np.uint32)
         order = np.lexsort((code, rank, ver, of))
         of, ver, code = of[order], ver[order].astype(np.int64), code[order]
+        new = first_of_each(of, ver, code)
+        of, ver, code = of[new], ver[new], code[new]
         keys = np.rec.fromarrays([of, ver])
         wanted = np.rec.fromarrays([ids, versions.astype(np.int64)])
         low, high = np.searchsorted(keys, wanted, "left"), np.searchsorted(keys, wanted, "right")
