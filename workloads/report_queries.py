@@ -899,35 +899,34 @@ def logistic_scored_rows(t):
 @query("tree_scores")
 def tree_scores(t):
     train, test = _modelling_rows(t)
-    return _scores(M.fit_trees(train, _MODEL_FEATURES, n_estimators=5, num_leaves=15), test)
+    return _scores(M.fit_trees(train, _MODEL_FEATURES), test)
 
 
 @query("network_scores")
 def network_scores(t):
     train, test = _modelling_rows(t)
-    return _scores(M.fit_network(train, _MODEL_FEATURES, hidden=(16, 8), max_iter=10), test)
+    return _scores(M.fit_network(train, _MODEL_FEATURES), test)
 
 
 @query("model_comparison")
 def model_comparison(t):
     train, test = _modelling_rows(t)
-    linear = M.fit_logistic(train, _MODEL_FEATURES, max_iter=20)
-    trees = M.fit_trees(train, _MODEL_FEATURES, n_estimators=3, num_leaves=15)
+    linear = M.fit_logistic(train, _MODEL_FEATURES)
+    trees = M.fit_trees(train, _MODEL_FEATURES)
     return M.compare_models({"logistic": M.score(linear, test), "trees": M.score(trees, test)})
 
 
 @query("model_search")
 def model_search(t):
     train, test = _modelling_rows(t)
-    configs = [{"num_leaves": 15, "n_estimators": 2}, {"num_leaves": 31, "n_estimators": 2}]
-    _, leaderboard, _ = M.search_trees(train, test, _MODEL_FEATURES, configs=configs)
+    _, leaderboard, _ = M.search_trees(train, test, _MODEL_FEATURES)
     return leaderboard
 
 
 @query("tree_importance")
 def tree_importance(t):
     train, _ = _modelling_rows(t)
-    model = M.fit_trees(train, _MODEL_FEATURES, n_estimators=3, num_leaves=15)
+    model = M.fit_trees(train, _MODEL_FEATURES)
     gain = M.feature_importance(model, _MODEL_FEATURES)
     splits = M.feature_importance(model, _MODEL_FEATURES, "split")
     return gain.join(splits.withColumnRenamed("importance", "splits"), "feature")
@@ -936,8 +935,7 @@ def tree_importance(t):
 @query("single_feature_models")
 def single_feature_models(t):
     train, test = _modelling_rows(t)
-    features = ["shot_distance", "period"]
-    return M.audit_single_features(train, test, features, n_estimators=2, num_leaves=15)
+    return M.audit_single_features(train, test, _MODEL_FEATURES)
 
 
 @query(
@@ -982,7 +980,7 @@ def challenger_scores(t):
     checkpoint_dir(t.spark)
     ready = M.model_frame(rows.select("shot_id", "game_id", "seq", *features, S.TARGET), features).checkpoint()
     held_out = F.crc32(F.col("game_id").cast("string")) % 4 == 0
-    predict = M.fit_challenger(ready.where(~held_out), features=features, hidden=(8,), max_iter=5)
+    predict = M.fit_challenger(ready.where(~held_out), features=features)
     return predict(ready.where(held_out)).select("shot_id", M.PROBABILITY)
 
 
