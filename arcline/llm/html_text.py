@@ -36,6 +36,8 @@ SIDE_WORDS = frozenset(
     " sharing social related newsletter subscribe popup modal widget login pagination pager toolbar contentinfo"
     " complementary search".split()
 )
+# First words of marks that say whether a side part is there, not what the element is.
+ABOUT_WORDS = frozenset("has have with no not without is hide hides hidden show shows".split())
 MAIN_WORDS = frozenset("article content post entry story main body text".split())
 
 
@@ -45,6 +47,7 @@ class Element:
     path: str
     dropped: bool
     container: int  # index of the nearest container, itself if it is one
+    side: int = -1  # nearest element dropped for its side words, itself if it is one; -2 inside other dropped ones
 
 
 @dataclass
@@ -57,17 +60,72 @@ class Page:
     blocks: list[tuple[int, str, int]] = field(default_factory=list)
 
 
-def _marks(attributes: str) -> tuple[str, set[str]]:
-    """Generalised class (first mark, digits as 0) and all words of class, id and role."""
+@dataclass
+class Side:
+    """Element with side words: characters of text and of links in it, and whether it holds an article.
+    Only an element that is not inline may turn out to hold the main text, ``within`` says whether
+    it stands in an article or main itself."""
+
+    parent: int
+    inline: bool
+    within: bool
+    text: int = 0
+    links: int = 0
+    article: bool = False
+
+
+def _marks(attributes: str) -> tuple[str, set[str], set[str]]:
+    """Generalised class (first mark, digits as 0), all words of class, id and role, and those of
+    marks that name the element itself (not has-comments, no-sidebar)."""
     found = [m.strip("\"'").lower() for m in MARKS.findall(attributes)] if "=" in attributes else []
-    words = {w for m in found for w in re.split(r"[\s_-]+", m) if w}
-    return re.sub(r"\d+", "0", found[0].split()[0]) if found and found[0].split() else "", words
+    marks = [[w for w in re.split(r"[_-]+", mark) if w] for m in found for mark in m.split()]
+    words = {w for mark in marks for w in mark}
+    naming = {w for mark in marks if mark and mark[0] not in ABOUT_WORDS for w in mark}
+    return re.sub(r"\d+", "0", found[0].split()[0]) if found and found[0].split() else "", words, naming
+
+
+def misnamed(sides: list[Side], kept: frozenset[int], kept_text: int, article_outside: bool) -> frozenset[int]:
+    """Outermost dropped elements with side words that hold the page's main text.
+
+    That is over three quarters of the text (nine tenths if they are part of an article or main), or
+    the only article or main element, and not mostly links.
+    """
+    for i in range(len(sides) - 1, -1, -1):
+        if sides[i].parent >= 0:
+            outer = sides[sides[i].parent]
+            outer.text, outer.links = outer.text + sides[i].text, outer.links + sides[i].links
+            outer.article |= sides[i].article
+    outermost = [(i, side) for i, side in enumerate(sides) if side.parent == -1 and i not in kept]
+    total = kept_text + sum(side.text for _, side in outermost)
+    return frozenset(
+        i
+        for i, side in outermost
+        if side.text > (0.9 if side.within else 0.75) * total or side.article and not article_outside
+        if not side.inline and side.text and 2 * side.links < side.text
+    )
 
 
 def read_page(source: str) -> Page:
-    """Blocks of a page outside boilerplate elements, with the container each stands in."""
+    """Blocks of a page outside boilerplate elements, with the container each stands in.
+
+    Elements with side words are dropped, unless they turn out to hold the main text (misnamed);
+    then the page is read again with those kept, and the side elements in them are judged.
+    """
+    kept: frozenset[int] = frozenset()
+    while True:
+        page, sides, article = _read(source, kept)
+        more = misnamed(sides, kept, sum(len(text) for _, text, _ in page.blocks), article)
+        if not more:
+            return page
+        kept |= more
+
+
+def _read(source: str, kept: frozenset[int]) -> tuple[Page, list[Side], bool]:
+    """Page, its elements with side words in order, and whether an article or main is outside them."""
     page, stack, pieces = Page(), [], []
     links, in_link = 0, False
+    sides: list[Side] = []
+    article = False
 
     def top() -> Element:
         return stack[-1] if stack else Element("", "", False, -1)
@@ -100,6 +158,10 @@ def read_page(source: str) -> Page:
             text = entities.unescape(raw)
             pieces.append(text)
             links += len(text) if in_link else 0
+        elif raw and top().side >= 0:
+            size = len(" ".join(raw.split()))
+            sides[top().side].text += size
+            sides[top().side].links += size if in_link else 0
         if not found:
             break
         place = found.end()
@@ -124,8 +186,19 @@ def read_page(source: str) -> Page:
             if tag not in INLINE_DROPPED:
                 flush()
             continue
-        name, words = _marks(attributes)
-        dropped = tag in DROPPED or bool(words & SIDE_WORDS) and tag not in ("html", "body", "main", "article")
+        name, words, naming = _marks(attributes)
+        side, dropped = top().side, tag in DROPPED
+        if tag in ("main", "article"):
+            article |= side == -1
+            if side >= 0:
+                sides[side].article = True
+        if dropped:
+            side = -2
+        elif side != -2 and naming & SIDE_WORDS and tag not in ("html", "body", "main", "article", *VOID):
+            within = any(element.tag in ("article", "main") for element in stack)
+            sides.append(Side(side, tag not in BLOCKS and "-" not in tag, within))
+            dropped = len(sides) - 1 not in kept
+            side = len(sides) - 1 if dropped else side
         if tag not in BLOCKS and not dropped or tag in VOID:
             if tag == "hr":
                 flush()
@@ -147,9 +220,9 @@ def read_page(source: str) -> Page:
             page.paths.append(path)
             page.parents.append(parent.container)
             page.bonus.append(0.3 if tag == "article" else 0.2 if tag == "main" else 0.15 if words & MAIN_WORDS else 0.0)
-        stack.append(Element(tag, path, parent.dropped or dropped, container))
+        stack.append(Element(tag, path, parent.dropped or dropped, container, side))
     flush()
-    return page
+    return page, sides, article
 
 
 def container_scores(page: Page) -> dict[str, float]:
@@ -218,7 +291,8 @@ def extract_main_text(pages: DataFrame, *, page_id: str = "page_id", url: str =
     3. Every page is read again with its host's path; a page without that path uses its own best.
 
     Blocks are joined by two line feeds, white space in a block is one space, character
-    references are decoded. Null html gives '' and 0; null urls and urls without host share the
+    references are decoded. Elements whose class, id or role names a side part are dropped unless they hold
+    three quarters of the page's text, or its only article, and are not mostly links. Null html gives '' and 0; null urls and urls without host share the
     host ''. Unclosed and cut-off markup ends with the page. Repeated rows stay repeated, an
     empty table stays empty, other columns are ignored. The winners are broadcast only if their
     counted rows are proven small; otherwise the join shuffles.

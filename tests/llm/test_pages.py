@@ -35,3 +35,27 @@ def test_host_consensus(spark):
     assert got[60]["text"] == "" == got[61]["text"] and got[62]["text"] == "plain"
     assert got[63]["n_chars"] == len(got[63]["text"]) == 50_000 * 6 - 2
     assert extract_main_text(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+STORY = "".join(f"<p>Paragraph {i} of the story is long enough.</p>" for i in range(6))
+
+
+@pytest.mark.parametrize(
+    "wrapper",
+    ["layout with-sidebar", "content no-sidebar", "post has-comments", "search-page", "widget", "search page widget"],
+)
+@pytest.mark.parametrize("inner", ["article", "div"])
+def test_side_words_round_the_whole_article(wrapper, inner):
+    side = "<div class='comments'><p>first!</p></div><div class='related'><a href='x'>more</a></div>"
+    page = f"<body><div class='{wrapper}'><div class='share box'><{inner}>{STORY}</{inner}></div>{side}</div><div class='ad'>buy</div></body>"
+    text = main_text(read_page(page), None)
+    assert text.startswith("Paragraph 0") and text.count("Paragraph") == 6
+    assert not any(word in text for word in ("first!", "more", "buy"))
+
+
+def test_side_parts_beside_the_article_go():
+    cards = "<div class='related'>" + "<article><a href='x'>teaser of another story</a></article>" * 9 + "</div>"
+    comments = "<div id='comments'><p>a long remark of someone</p><p>yes</p></div>"
+    for page in (f"<main>{STORY}{comments}</main>{cards}", f"<div class='story'>{STORY}{comments}</div>{cards}"):
+        text = main_text(read_page(page), None)
+        assert text.count("Paragraph") == 6 and "teaser" not in text and "remark" not in text
