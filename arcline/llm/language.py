@@ -14,9 +14,10 @@ from .buffers import text_chunks
 from .columns import small
 
 UNKNOWN = "und"
-# Symbols: 0 ends a training text, 1 is any run of non-letters, 2 a letter outside the alphabet.
-SPACE, OTHER, LETTERS = 1, 2, 45
-SYMBOLS = LETTERS + 3
+# Symbols: 0 ends a training text, 1 is any run of non-letters, 2 a letter of no training text.
+SPACE, OTHER = 1, 2
+# Symbols below this, of the most frequent letters, have a full transition table; the others a sorted list.
+DENSE = 48
 # Texts are parsed in blocks of so many symbols, side by side; a phrase ends with its block.
 BLOCK = 256
 
@@ -40,7 +41,7 @@ class Alphabet:
     def table(self) -> np.ndarray:
         if self._table is None:
             known = {c: i + 3 for i, c in enumerate(self.letters)}
-            table = np.full(0x110000, SPACE, np.uint8)
+            table = np.full(0x110000, SPACE, np.int32)
             for point in range(0x110000):
                 c = chr(point)
                 if c.isalpha():
@@ -95,10 +96,11 @@ class LanguageModel:
     def __init__(self, texts: dict[str, list[str]]):
         self.languages = sorted(texts)
         counts = Counter(c for parts in texts.values() for text in parts for c in text.lower() if c.isalpha())
-        ranked = sorted(counts, key=lambda c: (-counts[c], c))[:LETTERS]
-        self.alphabet = Alphabet("".join(sorted(ranked)))
+        self.alphabet = Alphabet("".join(sorted(counts, key=lambda c: (-counts[c], c))))
+        self.symbols = len(counts) + 3
         known = {c: i + 3 for i, c in enumerate(self.alphabet.letters)}
-        tables, self.roots, size = [np.zeros((1, SYMBOLS), np.int32)], [], 1
+        tables, self.roots, size = [np.zeros((1, DENSE), np.int32)], [], 1
+        rare: list[tuple[int, int]] = []
         for language in self.languages:
             symbols: list[int] = []
             for text in texts[language]:
@@ -110,14 +112,31 @@ class LanguageModel:
                     before = s
                 symbols.append(0)
             moves = suffix_automaton(symbols)
-            table = np.zeros((len(moves), SYMBOLS), np.int32)
+            table = np.zeros((len(moves), DENSE), np.int32)
             for state, out in enumerate(moves):
                 for s, to in out.items():
-                    table[state, s] = to + size
+                    if s < DENSE:
+                        table[state, s] = to + size
+                    else:
+                        rare.append(((state + size) * self.symbols + s, to + size))
             tables.append(table)
             self.roots.append(size)
             size += len(moves)
         self.table = np.concatenate(tables).ravel()
+        rare.sort()
+        # Ends with a key above all others, so that every search finds a place.
+        self.rare_keys = np.array([key for key, _ in rare] + [size * self.symbols], np.int64)
+        self.rare_states = np.array([to for _, to in rare] + [0], np.int32)
+
+    def move(self, state: np.ndarray, c: np.ndarray) -> np.ndarray:
+        """Next states of (languages x rows) states on symbol c of each row; 0 where there is none."""
+        to = self.table[state * np.int32(DENSE) + np.minimum(c, DENSE - 1)]
+        at = np.flatnonzero(c >= DENSE)
+        if len(at):
+            keys = state[:, at].astype(np.int64) * self.symbols + c[at]
+            place = np.searchsorted(self.rare_keys, keys)
+            to[:, at] = np.where(self.rare_keys[place] == keys, self.rare_states[place], 0)
+        return to
 
     def phrases(self, symbols: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """Phrases (languages x rows) of a greedy longest-match parse, block by block."""
@@ -130,7 +149,7 @@ class LanguageModel:
         order = np.argsort(-lengths, kind="stable")
         starts, lengths, row = starts[order], lengths[order], row[order]
         roots = np.asarray(self.roots, np.int32)[:, None]
-        first = self.table.reshape(-1, SYMBOLS)[self.roots]
+        first = self.move(np.repeat(roots, self.symbols, axis=1), np.arange(self.symbols))
         first = np.where(first == 0, roots, first)
         state = np.repeat(roots, len(row), axis=1)
         count = np.ones((len(self.roots), len(row)), np.int32)
@@ -140,7 +159,7 @@ class LanguageModel:
             if not n:
                 break
             c = symbols[starts[:n] + step]
-            to = self.table[state[:, :n] * np.int32(SYMBOLS) + c]
+            to = self.move(state[:, :n], c)
             miss = to == 0
             count[:, :n] += miss
             state[:, :n] = np.where(miss, first[:, c], to)
@@ -192,7 +211,8 @@ def identify_languages(
     parsed greedily into the longest phrases each automaton knows, in blocks of 256 symbols; the
     language needing fewest phrases per symbol wins, the smaller code on ties. The score is
     1 - fewest / second fewest phrases (1 with a single language). Letters are lower-cased, runs
-    of other characters count as one space. Only the text enters a prediction.
+    of other characters count as one space; every letter of the sample is a symbol of its own, all
+    others are one. Only the text enters a prediction.
 
     Null text, empty text and text without a letter give 'und' with score 0, as do all rows when
     nothing is labelled. A null doc_id is not held out and not learned from. Repeated rows give

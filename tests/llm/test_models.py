@@ -86,3 +86,24 @@ def test_grades(spark):
     unrated = fit_quality(graded.limit(0), docs)
     assert {r["expected_grade"] for r in grade_documents(docs, unrated).collect()} == {1.0}
     assert quality.FEATURES > quality.BIAS
+
+
+def test_languages_of_several_scripts(spark):
+    """Letters beyond the most frequent ones tell languages apart too."""
+    rnd = random.Random(4)
+    syllables = {
+        "la": ["tha", "ing", "er", "on", "bcdf", "jklm", "pqsu", "vwxyz", "äöü", "ßéèê", "çñáíóú"],
+        "ru": ["при", "вет", "ко", "ше", "мы"],
+        "uk": ["їжа", "єв", "ґан", "ліс", "що"],
+        "ko": ["한국", "어", "나라", "말"],
+        "zh": ["中文", "語言", "學習", "天"],
+        "ja": ["ひら", "がな", "カタ", "日本"],
+    }
+    share = [lang for lang in syllables for _ in range(6 if lang == "la" else 1)]
+    rows = [(i, invent(rnd, syllables[lang], 30), lang) for i in range(500) for lang in [rnd.choice(share)]]
+    got = identify_languages(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()
+    by_id = {r["doc_id"]: r for r in got}
+    right = [by_id[i]["lang_pred"] == lang for i, _, lang in rows if by_id[i]["held_out"] and lang != "la"]
+    assert len(right) > 20 and np.mean(right) > 0.97
+    model = language.LanguageModel({lang: [text for _, text, own in rows if own == lang][:40] for lang in syllables})
+    assert len(model.alphabet.letters) == len({c for _, text, _ in rows for c in text if c.isalpha()})
