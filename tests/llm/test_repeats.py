@@ -133,8 +133,8 @@ def test_many_texts_under_one_id(spark, doc_id):
 def test_repeated_rows_in_several_chunks(spark):
     """Rows that occur twice across partitions have their true overlap, not twice as much."""
     own = lambda k: [f"{k}w{i}" for i in range(43)]
-    rows = [(10 * g + k, " ".join([f"{g}s{i}" for i in range(61)] + own(f"{g}{k}"))) for g in range(4) for k in range(3)] * 2
-    docs = spark.createDataFrame(rows[:12], SCHEMA).coalesce(1).unionByName(spark.createDataFrame(rows[12:], SCHEMA).coalesce(1))
+    rows = [(10 * g + k, " ".join([f"{g}s{i}" for i in range(61)] + own(f"{g}{k}"))) for g in range(4) for k in range(3)] * 6
+    docs = spark.createDataFrame(rows, SCHEMA).repartition(7)
     got = similar_documents(docs).drop("node").collect()
     same(got, brute.similar(rows))
     assert all(r["component_id"] == r["doc_id"] for r in got)
