@@ -2,15 +2,10 @@
 
 from __future__ import annotations
 
-import re
 import time
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import (
-    GBTClassifier,
-    LogisticRegression,
-    MultilayerPerceptronClassifier,
-)
+from pyspark.ml.classification import LogisticRegression, MultilayerPerceptronClassifier
 from pyspark.ml.feature import SQLTransformer, StandardScaler, VectorAssembler, VectorSizeHint
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -20,9 +15,9 @@ from pyspark.sql import types as T
 from arcline import schemas as S
 from arcline.functions.spatial import SPATIAL_COLUMNS, spatial_encodings
 from arcline.functions.value import value_columns
-from arcline.session import checkpoint_dir
 
-from .metrics import SUSPICIOUS_AUC, classification_metrics
+from .boosting import BoostedTrees, fit_many, importances, probabilities
+from .metrics import SUSPICIOUS_AUC, classification_metrics, metrics_by_model
 from .quality import require_columns
 from .ranks import exact_medians
 from .sequences import EVENT_FIELDS, PRESSURE_COLUMNS, SEQUENCE_LENGTH, flat_sequence
@@ -145,32 +140,13 @@ def fit_logistic(
     return Pipeline(stages=[*stages, classifier]).fit(train)
 
 
-def tree_depth(num_leaves: int) -> int:
-    return max(1, (num_leaves - 1).bit_length())
+def tree_config(**overrides) -> dict:
+    return {**TREE_DEFAULTS, "seed": SEED, **overrides}
 
 
-def tree_classifier(label: str = S.TARGET, **overrides) -> GBTClassifier:
-    """Boosted trees; leaf counts become depths, the leaf penalty has no counterpart."""
-    p = {**TREE_DEFAULTS, **overrides}
-    return GBTClassifier(
-        featuresCol="_features",
-        labelCol=label,
-        maxIter=p["n_estimators"],
-        stepSize=p["learning_rate"],
-        maxDepth=tree_depth(p["num_leaves"]),
-        minInstancesPerNode=p["min_child_samples"],
-        subsamplingRate=p["subsample"],
-        featureSubsetStrategy=str(p["colsample_bytree"]),
-        seed=SEED,
-        checkpointInterval=10,
-        maxMemoryInMB=1024,
-    )
-
-
-def fit_trees(train: DataFrame, features: list[str], label: str = S.TARGET, **overrides) -> PipelineModel:
-    checkpoint_dir(train.sparkSession)  # boosting cuts its lineage there
-    stages = preprocessor(train, features, scale=False, flags=True)
-    return Pipeline(stages=[*stages, tree_classifier(label, **overrides)]).fit(train)
+def fit_trees(train: DataFrame, features: list[str], label: str = S.TARGET, **overrides) -> BoostedTrees:
+    """Boosted trees grown leaf by leaf; missing values stay missing (see ``boosting.fit_many``)."""
+    return fit_many(train, features, label, [tree_config(**overrides)])[0]
 
 
 def fit_network(
@@ -193,8 +169,10 @@ def fit_network(
     return Pipeline(stages=[*stages, network]).fit(train)
 
 
-def score(model: PipelineModel, df: DataFrame, name: str = PROBABILITY) -> DataFrame:
+def score(model: PipelineModel | BoostedTrees, df: DataFrame, name: str = PROBABILITY) -> DataFrame:
     """Add the make probability; helper columns of the pipeline are dropped."""
+    if isinstance(model, BoostedTrees):
+        return df.select("*", probabilities([model], name)[0].alias(name))
     scored = model.transform(df)
     return scored.select(*df.columns, F.get(vector_to_array("probability"), F.lit(1)).alias(name))
 
@@ -233,34 +211,30 @@ def score_with_errors(
     return score(model, good), bad.select(row_id, F.col("_reason").alias("reason"))
 
 
-def feature_importance(model: PipelineModel, features: list[str], kind: str = "gain") -> DataFrame:
-    """(feature, importance) of a tree pipeline, 'gain' or 'split', indicator columns folded in."""
-    trees = model.stages[-1]
-    names = model.stages[1].getInputCols()
-    if kind == "gain":
-        values = trees.featureImportances.toArray().tolist()
-    else:
-        values = [0.0] * len(names)
-        for found in re.findall(r"If \(feature (\d+) ", trees.toDebugString):
-            values[int(found)] += 1.0
-    totals = dict.fromkeys(features, 0.0)
-    for name, value in zip(names, values):
-        totals[re.sub(r"_(filled|absent)$", "", name)] += float(value)
-    spark = SparkSession.active()
-    rows = sorted(totals.items(), key=lambda item: (-item[1], item[0]))
-    return spark.createDataFrame(rows, S.IMPORTANCE)
-
-
-SEARCH_SCHEMA = T.StructType(
+def feature_importance(model: BoostedTrees, features: list[str], kind: str = "gain") -> DataFrame:
+    """(feature, importance): total gain of a feature's splits, or ('split') their number."""
+    found = importances(model, SparkSession.active()).where(F.col("feature").isin(features))
+    value = F.col("gain" if kind == "gain" else "splits").alias("importance")
+    return found.select("feature", value).orderBy(F.desc("importance"), "feature")
+
+
+LEADERBOARD_SCHEMA = T.StructType(
     [
         T.StructField("config_index", T.IntegerType()),
         T.StructField("params", T.StringType()),
         T.StructField("validation_log_loss", T.DoubleType()),
         T.StructField("validation_auc", T.DoubleType()),
+        T.StructField("rank", T.IntegerType()),
     ]
 )
 
 
+def _scored_by_all(models: list[BoostedTrees], df: DataFrame, label: str) -> DataFrame:
+    """(model, score, label): one row per model and row, from one pass over the rows."""
+    scores = probabilities(models, "_scores")
+    return df.select(F.col(label).alias("_label"), F.posexplode(scores).alias("model", "score"))
+
+
 def search_trees(
     train: DataFrame,
     test: DataFrame,
@@ -269,25 +243,26 @@ def search_trees(
     *,
     configs: list[dict] | None = None,
     inner_fraction: float = 0.8,
-) -> tuple[PipelineModel, DataFrame, dict]:
+) -> tuple[BoostedTrees, DataFrame, dict]:
     """Pick a configuration on the later games of ``train``, refit, evaluate on ``test``.
 
-    Returns the refitted model, the leaderboard and the run record. The loop is over
-    configurations; each fit runs on the cluster over inner rows cached once.
+    Returns the refitted model, the leaderboard and the run record. All configurations are
+    fitted together over one binned table and judged in one pass over the validation rows.
     """
+    configs = configs or grid_configs()
     labelled = time_split(train, inner_fraction, name="_side").persist()
     try:
         inner = labelled.where(F.col("_side") == "train").drop("_side")
         validation = labelled.where(F.col("_side") == "test").drop("_side")
-        trials = []
-        for index, config in enumerate(configs or grid_configs()):
-            model = fit_trees(inner, features, label, **config)
-            found = classification_metrics(score(model, validation), PROBABILITY, label).first()
-            trials.append((index, str(config), found["log_loss"], found["auc"]))
+        models = fit_many(inner, features, label, [tree_config(**c) for c in configs])
+        judged = metrics_by_model(_scored_by_all(models, validation, label), "model", "score", "_label")
+        found = {row["model"]: row for row in judged.collect()}
     finally:
         labelled.unpersist()
-    best = min(trials, key=lambda trial: (trial[2], trial[0]))
-    final = fit_trees(train, features, label, **(configs or grid_configs())[best[0]])
+    trials = [(i, str(c), found[i]["log_loss"], found[i]["auc"]) for i, c in enumerate(configs)]
+    trials.sort(key=lambda trial: (trial[2], trial[0]))
+    best = trials[0]
+    final = fit_trees(train, features, label, **configs[best[0]])
     tested = classification_metrics(score(final, test), PROBABILITY, label).first()
     record = {
         "best_config_index": best[0],
@@ -296,46 +271,44 @@ def search_trees(
         "test_log_loss": tested["log_loss"],
         "test_auc": tested["auc"],
     }
-    leaderboard = train.sparkSession.createDataFrame(trials, SEARCH_SCHEMA)
-    return final, leaderboard_ranks(leaderboard), record
+    ranked = [(*trial, rank) for rank, trial in enumerate(trials, 1)]
+    return final, train.sparkSession.createDataFrame(ranked, LEADERBOARD_SCHEMA), record
 
 
-def leaderboard_ranks(trials: DataFrame) -> DataFrame:
-    """Rank by validation loss; a search has a handful of rows."""
-    from pyspark.sql import Window as W
-
-    order = W.orderBy("validation_log_loss", "config_index")
-    return trials.withColumn("rank", F.row_number().over(order))
+def missing_shares(train: DataFrame, test: DataFrame, features: list[str]) -> DataFrame:
+    """(feature, train_missing_pct, test_missing_pct)."""
+    sides = []
+    for name, df in (("train", train), ("test", test)):
+        shares = df.agg(*[(100.0 * F.avg(F.col(c).isNull().cast("double"))).alias(c) for c in features])
+        sides.append(shares.unpivot([], features, "feature", f"{name}_missing_pct"))
+    return sides[0].join(sides[1], "feature")
 
 
 def audit_single_features(
     train: DataFrame, test: DataFrame, features: list[str], label: str = S.TARGET, **overrides
 ) -> DataFrame:
-    """One model per feature: AUC, log loss, accuracy, missing shares and the 0.90 flag."""
-    rows = []
-    shares = {
-        name: df.agg(*[F.avg(F.col(c).isNull().cast("double")).alias(c) for c in features]).first()
-        for name, df in (("train", train), ("test", test))
-    }
-    for feature in features:
-        model = fit_trees(train, [feature], label, **{**overrides, "colsample_bytree": 1.0})
-        found = classification_metrics(score(model, test), PROBABILITY, label).first()
-        rows.append(
-            (
-                feature,
-                found["auc"],
-                found["log_loss"],
-                found["accuracy"],
-                100.0 * shares["train"][feature],
-                100.0 * shares["test"][feature],
-                bool(found["auc"] is not None and found["auc"] >= SUSPICIOUS_AUC),
-            )
+    """One model per feature: AUC, log loss, accuracy, missing shares and the 0.90 flag.
+
+    The models are fitted together: the feature is a model that may split on that feature only.
+    """
+    options = {**overrides, "colsample_bytree": 1.0}
+    models = fit_many(train, features, label, [tree_config(**options, columns=[i]) for i in range(len(features))])
+    judged = metrics_by_model(_scored_by_all(models, test, label), "model", "score", "_label")
+    names = train.sparkSession.createDataFrame(list(enumerate(features)), "model int, feature string")
+    return (
+        names.join(judged, "model", "left")
+        .join(missing_shares(train, test, features), "feature")
+        .select(
+            "feature",
+            "auc",
+            "log_loss",
+            "accuracy",
+            "train_missing_pct",
+            "test_missing_pct",
+            F.coalesce(F.col("auc") >= SUSPICIOUS_AUC, F.lit(False)).alias("suspicious"),
         )
-    schema = (
-        "feature string, auc double, log_loss double, accuracy double, "
-        "train_missing_pct double, test_missing_pct double, suspicious boolean"
+        .orderBy(F.desc("auc"), "feature")
     )
-    return train.sparkSession.createDataFrame(rows, schema).orderBy(F.desc("auc"), "feature")
 
 
 def sequence_statistics(sequences: DataFrame) -> dict[str, tuple[float, float]]:
@@ -426,7 +399,9 @@ def run_record(
     return spark.createDataFrame([{**base, **body}], S.RUN_SUMMARY)
 
 
-def save_model(model: PipelineModel, path: str) -> str:
+def save_model(model: PipelineModel | BoostedTrees, path: str) -> str:
+    if isinstance(model, BoostedTrees):
+        return model.save(SparkSession.active(), path)
     model.write().overwrite().save(path)
     return path
 
@@ -438,9 +413,16 @@ def promote(spark: SparkSession, aliases_path: str, alias: str, model_path: str)
     spark.createDataFrame(row, schema).write.mode("append").parquet(aliases_path)
 
 
-def load_model(spark: SparkSession, aliases_path: str, alias: str) -> PipelineModel:
+def load_model(spark: SparkSession, aliases_path: str, alias: str) -> PipelineModel | BoostedTrees:
     pointers = spark.read.parquet(aliases_path).where(F.col("alias") == alias)
     row = pointers.agg(F.max_by("model_path", "promoted_at").alias("path")).first()
     if row["path"] is None:
         raise KeyError(f"no model is promoted as {alias!r}")
+    if _exists(spark, f"{row['path']}/ensemble"):
+        return BoostedTrees.load(spark, row["path"])
     return PipelineModel.load(row["path"])
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)
