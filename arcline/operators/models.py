@@ -16,7 +16,7 @@ from arcline import schemas as S
 from arcline.functions.spatial import SPATIAL_COLUMNS, spatial_encodings
 from arcline.functions.value import value_columns
 
-from .boosting import BoostedTrees, fit_many, importances, probabilities
+from .boosting import BoostedTrees, fit_many, fit_single_features, importances, probabilities
 from .metrics import SUSPICIOUS_AUC, classification_metrics, metrics_by_model
 from .quality import require_columns
 from .ranks import exact_medians
@@ -289,10 +289,9 @@ def audit_single_features(
 ) -> DataFrame:
     """One model per feature: AUC, log loss, accuracy, missing shares and the 0.90 flag.
 
-    The models are fitted together: the feature is a model that may split on that feature only.
+    The models are fitted together, over one count of the rows per feature, range and label.
     """
-    options = {**overrides, "colsample_bytree": 1.0}
-    models = fit_many(train, features, label, [tree_config(**options, columns=[i]) for i in range(len(features))])
+    models = fit_single_features(train, features, label, tree_config(**overrides))
     judged = metrics_by_model(_scored_by_all(models, test, label), "model", "score", "_label")
     names = train.sparkSession.createDataFrame(list(enumerate(features)), "model int, feature string")
     return (

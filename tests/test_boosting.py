@@ -71,9 +71,9 @@ def plain_boost(rows, config):
 
 
 CONFIGS = [
-    M.tree_config(num_leaves=5, n_estimators=6, min_child_samples=8, colsample_bytree=1.0, columns=[0, 1, 2]),
-    M.tree_config(num_leaves=4, n_estimators=4, min_child_samples=20, reg_lambda=1.0, colsample_bytree=1.0, columns=[0, 1, 2]),
-    M.tree_config(num_leaves=6, n_estimators=5, min_child_samples=8, colsample_bytree=1.0, columns=[1]),
+    M.tree_config(num_leaves=5, n_estimators=4, min_child_samples=8, colsample_bytree=1.0, columns=[0, 1, 2]),
+    M.tree_config(num_leaves=4, n_estimators=3, min_child_samples=20, reg_lambda=1.0, colsample_bytree=1.0, columns=[0, 1, 2]),
+    M.tree_config(num_leaves=6, n_estimators=3, min_child_samples=8, colsample_bytree=1.0, columns=[1]),
 ]
 
 
@@ -172,6 +172,13 @@ def test_single_features_one_model_each(spark, train):
     assert abs(classification_metrics(alone, M.PROBABILITY, "y").first()["log_loss"] - rows["b"]["log_loss"]) < 1e-9
 
 
+def test_counted_rows_give_the_same_trees(train):
+    config = M.tree_config(num_leaves=6, n_estimators=4, min_child_samples=5)
+    singles = B.fit_single_features(train, FEATURES, "y", config)
+    whole = B.fit_many(train, FEATURES, "y", [{**config, "columns": [i]} for i in range(3)])
+    assert [list(m.node_rows()) for m in singles] == [list(m.node_rows()) for m in whole]
+
+
 def test_metrics_by_model_equal_single_ones(spark):
     r = np.random.default_rng(5)
     rows = [(m, round(float(r.random()), 1), float(r.integers(0, 2))) for m in (0, 1) for _ in range(60)]

@@ -938,6 +938,24 @@ def single_feature_models(t):
     return M.audit_single_features(train, test, _MODEL_FEATURES)
 
 
+_MISSING_SHARES = ", ".join(f"100.0 * avg(cast({c} is null as int)) as {c}" for c in _MODEL_FEATURES)
+
+
+@query(
+    "single_feature_missing",
+    GOLD_VIEWS,
+    f"""with gold as ({_GOLD_SQL}), {_SPLIT},
+      shares as (select split, {_MISSING_SHARES} from gold g join labels l on l.game_id = g.game_id group by split),
+      long as ({' union all '.join(f"select split, '{c}' as feature, {c} as pct from shares" for c in _MODEL_FEATURES)})
+    select feature, {r("max(case when split = 'train' then pct end)")} as train_missing_pct,
+        {r("max(case when split = 'test' then pct end)")} as test_missing_pct from long group by feature""",
+)
+def single_feature_missing(t):
+    """The missing shares that single_feature_models reports, of all 31 features."""
+    train, test = _modelling_rows(t)
+    return M.missing_shares(train, test, _MODEL_FEATURES)
+
+
 @query(
     "rejected_rows",
     ("v_shots", "v_player_logs"),
