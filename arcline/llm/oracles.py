@@ -156,3 +156,43 @@ CHECKS = {
     "op8_mixing_sources": OP8,
     "op9_benchmark_decontamination": OP9,
 }
+
+
+def _codes_sql(rounds: int = 6, parts: int = 8, entries: int = 16) -> str:
+    """Part codebooks in plain joins: every part against every entry, round by round."""
+
+    def nearest(k: int) -> str:
+        away = "cast(list_inner_product(x, x) - 2 * list_inner_product(x, c) + list_inner_product(c, c) as bigint)"
+        return f"""near{k} as (select row_id, part, x, min(struct_pack(d := {away}, e := entry)) as best
+            from cut join book{k} using (part) group by row_id, part, x)"""
+
+    steps = [
+        """kept as (select row_number() over (order by vec_id nulls last) as row_id, vec_id, label,
+            list_transform(embedding, lambda x: floor(4096 * cast(x as double))) as v from embeddings
+            where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0)""",
+        f"""cut as (select row_id, part, v[part * (len(v) // {parts}) + 1 : (part + 1) * (len(v) // {parts})] as x
+            from kept, range({parts}) r(part))""",
+        f"book0 as (select part, row_id - 1 as entry, x as c from cut where row_id <= {entries})",
+    ]
+    for k in range(rounds):
+        steps += [
+            nearest(k),
+            f"""sums{k} as (select part, entry, place, floor(sum(value) / count(*)) as value from
+                (select part, best.e as entry, unnest(x) as value, unnest(range(len(x))) as place from near{k}) group by all)""",
+            f"mean{k} as (select part, entry, list(value order by place) as c from sums{k} group by part, entry)",
+            f"""book{k + 1} as (select b.part, b.entry, coalesce(m.c, b.c) as c from book{k} b
+                left join mean{k} m on m.part = b.part and m.entry = b.entry)""",
+        ]
+    steps += [
+        nearest(rounds),
+        f"""coded as (select row_id, string_agg(printf('%02x', best.e), '' order by part) as code,
+            cast(sum(best.d) as bigint) as error from near{rounds} group by row_id)""",
+        f"""digest as (select sha256(string_agg(cast(cast(value as bigint) as varchar), ',' order by part, entry, place)) as hash from
+            (select part, entry, unnest(c) as value, unnest(range(len(c))) as place from book{rounds}))""",
+    ]
+    return f"""with {", ".join(steps)}
+        select vec_id, code, error, cast(sum(error) over (partition by label) as bigint) as label_error, hash as codebooks_sha256
+        from coded join kept using (row_id), digest"""
+
+
+CHECKS["op13_vector_code_compression"] = _codes_sql()

@@ -7,7 +7,19 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, fingerprints, html_text, jaccard, language, mixing, quality, substrings, suffixes, urls
+from . import (
+    decontaminate,
+    fingerprints,
+    html_text,
+    jaccard,
+    language,
+    mixing,
+    quality,
+    substrings,
+    suffixes,
+    urls,
+    vector_codes,
+)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -99,3 +111,10 @@ def op7_suffix_array_dedup(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op6_ngram_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
     return jaccard.similar_documents(table(spark, folder, "documents")).drop("node")
+
+
+@query
+def op13_vector_code_compression(spark: SparkSession, folder: str) -> DataFrame:
+    coded, books = vector_codes.encode_vectors(table(spark, folder, "embeddings"))
+    digest = F.lit(vector_codes.codebooks_sha256(books)).alias("codebooks_sha256")
+    return coded.select("vec_id", "code", "error", "label_error", digest)
