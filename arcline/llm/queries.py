@@ -14,6 +14,7 @@ from . import (
     jaccard,
     language,
     mixing,
+    packing,
     quality,
     substrings,
     suffixes,
@@ -118,3 +119,13 @@ def op13_vector_code_compression(spark: SparkSession, folder: str) -> DataFrame:
     coded, books = vector_codes.encode_vectors(table(spark, folder, "embeddings"))
     digest = F.lit(vector_codes.codebooks_sha256(books)).alias("codebooks_sha256")
     return coded.select("vec_id", "code", "error", "label_error", digest)
+
+
+@query
+def op11_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
+    import public_tokenizers
+
+    # The file's content travels to the tasks: executors need no file of their own.
+    with open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8") as file:
+        tokenizer = file.read()
+    return packing.pack_documents(table(spark, folder, "documents"), tokenizer)
