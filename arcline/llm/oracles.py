@@ -196,3 +196,46 @@ def _codes_sql(rounds: int = 6, parts: int = 8, entries: int = 16) -> str:
 
 
 CHECKS["op13_vector_code_compression"] = _codes_sql()
+
+
+def _crc32_sql(text: str) -> str:
+    """CRC-32 of a text's UTF-8 bytes, folded byte by byte over the table of the polynomial."""
+
+    def entry(value: int) -> int:
+        for _ in range(8):
+            value = value >> 1 ^ (0xEDB88320 if value & 1 else 0)
+        return value
+
+    table = "[" + ", ".join(str(entry(i)) for i in range(256)) + "]::bigint[]"
+    digit = "(instr('0123456789ABCDEF', substr(x, %s, 1)) - 1)"
+    steps = f"list_concat([4294967295::bigint], list_transform(range(length(x) // 2), lambda i: {digit % '2 * i + 1'} * 16 + {digit % '2 * i + 2'}))"
+    folded = f"list_reduce({steps}, lambda a, b: xor(a >> 8, ({table})[(xor(a, b) & 255) + 1]))"
+    return f"(select xor({folded}, 4294967295) from (select hex(encode({text})) as x))"
+
+
+CHECKS["op12_spelling_variant_grouping"] = f"""
+with recursive runs as (
+  select doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[a-z\\x{{00C0}}-\\x{{00FF}}]{{7,}}')) as run from documents),
+own as (select run, count(*) as k, {_crc32_sql("coalesce(cast(doc_id as varchar), '') || ':' || run")} as h from runs group by doc_id, run),
+cut as (
+  select k, case when h % 31 = 0 then substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) else run end as word from own),
+words as (select word, cast(sum(k) as bigint) as n from cut where length(word) >= 7 group by word having sum(k) >= 2),
+gaps as (
+  select word, i, substr(word, 1, i - 1) || substr(word, i + 1) as rest
+  from (select word, unnest(range(1, length(word) + 1)) as i from words)),
+pairs as (
+  select a.word, b.word as near from gaps a join gaps b on a.i = b.i and a.rest = b.rest and a.word <> b.word
+  union select gaps.word, words.word from gaps join words on words.word = gaps.rest
+  union select words.word, gaps.word from gaps join words on words.word = gaps.rest),
+best as (
+  select word, count(*) as n_near, arg_min(near, struct_pack(a := -n, b := near)) as near, max(n) as near_n
+  from (select pairs.word, near, words.n from pairs join words on words.word = near) group by word),
+judged as (
+  select words.word, words.n, coalesce(n_near, 0) as n_near, case when near_n >= 10 * words.n then near end as form,
+    case when near_n >= 10 * words.n then near_n end as form_n from words left join best using (word)),
+way as (
+  select word, word as at, 0 as steps from judged
+  union all select way.word, judged.form, steps + 1 from way join judged on judged.word = way.at where judged.form is not null)
+select word, form, arg_max(way.at, steps) as root, n, n_near, form_n from judged join way using (word) group by word, form, n, n_near, form_n
+"""

@@ -16,6 +16,7 @@ from . import (
     mixing,
     packing,
     quality,
+    spelling,
     substrings,
     suffixes,
     urls,
@@ -129,3 +130,8 @@ def op11_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     with open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8") as file:
         tokenizer = file.read()
     return packing.pack_documents(table(spark, folder, "documents"), tokenizer)
+
+
+@query
+def op12_spelling_variant_grouping(spark: SparkSession, folder: str) -> DataFrame:
+    return spelling.spelling_variants(table(spark, folder, "documents"))
