@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import json
+import re
+import sys
 import zlib
+from array import array
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -19,10 +23,10 @@ CAPACITY = 2048
 NODES, STEPS = 20_000, 4_000
 # Fillings of one node that are tried.
 WIDTH = 6
-# Rows of one length that a single window task numbers.
-CELL_ROWS = 250_000
+# Share of all pieces, and rows, of one length that a single window task numbers.
+CELL_SHARE, CELL_ROWS = 0.001, 250_000
 # Words whose ids a worker keeps, and the id that ends every document.
-KEPT_WORDS, END = 400_000, 0
+KEPT_WORDS, END = 600_000, 0
 
 Filling = tuple[tuple[int, int], ...]  # (length, times), falling
 
@@ -242,41 +246,98 @@ def pack_lengths(counts: dict[int, int], capacity: int = CAPACITY, *, nodes: int
 
 # --- tokens -----------------------------------------------------------------------------------
 
-_tokenizers: dict[int, tuple] = {}
-
+# Lower-case Latin letters, digits and ASCII marks but the apostrophe: the normaliser leaves them as
+# they are, and words of them fall into runs of letters, single digits and runs of marks.
+_LETTERS = "a-zªµºß-öø-ÿ"
+_MARKS = r"!-&(-/:-@\[-`{-~"
+PLAIN = re.compile(f"[{_LETTERS}0-9{_MARKS}]+")
+PIECE = re.compile(f"[{_LETTERS}]+|[0-9]|[{_MARKS}]+")
+_SHOWN = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_HIDDEN = [b for b in range(256) if b not in _SHOWN]
+# Byte-level models name a byte by itself where it can be shown, else by the letters from U+0100 on.
+BYTE_NAMES = {b: chr(b) for b in _SHOWN} | {b: chr(256 + i) for i, b in enumerate(_HIDDEN)}
+# The steps before the model that allow pieces to be looked up one by one.
+NORMAL_STEPS, SPLIT_STEPS = ["NFC", "Replace", "Lowercase"], ["Split", "ByteLevel"]
+SPLIT_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+
+class WordIds:
+    """Ids of words by one tokenizer; a worker keeps a bounded number of words and pieces.
+
+    Words are runs between blanks, tabs and line ends: the tokenizer parts them before anything
+    else, so the ids of a text are those of its words one after the other. Where its steps are
+    the known ones, plain words are parted here and only their pieces go to the model; all other
+    words, and texts that may hold special tokens, are encoded by the tokenizer itself.
+    """
 
-def word_ids(tokenizer: str) -> tuple:
-    """(tokenizer, its ids of words as bytes), kept by the worker."""
-    key = hash(tokenizer)
-    if key not in _tokenizers:
+    def __init__(self, content: str):
         from tokenizers import Tokenizer
 
-        _tokenizers.clear()
-        _tokenizers[key] = Tokenizer.from_str(tokenizer), {"": b""}
-    return _tokenizers[key]
+        self.tokenizer = Tokenizer.from_str(content)
+        parts = json.loads(content)
+        steps = [(parts.get(k) or {}).get(v) or [] for k, v in (("normalizer", "normalizers"), ("pre_tokenizer", "pretokenizers"))]
+        names = [[step["type"] for step in found] for found in steps]
+        self.known_steps = names == [NORMAL_STEPS, SPLIT_STEPS] and steps[1][0]["pattern"].get("Regex") == SPLIT_PATTERN
+        self.special = [t["content"] for t in parts.get("added_tokens", [])]
+        self.words: dict[str, bytes] = {}
+        self.pieces: dict[str, bytes] = {}
+        self.forget()
+
+    def forget(self) -> None:
+        self.words = {"": b""}
+        self.pieces = {}
+
+    def piece(self, piece: str) -> bytes:
+        found = self.pieces.get(piece)
+        if found is None:
+            shown = piece if piece.isascii() else "".join([BYTE_NAMES[b] for b in piece.encode()])
+            ids = [token.id for token in self.tokenizer.model.tokenize(shown)]
+            found = self.pieces[piece] = array("I", ids).tobytes()
+        return found
+
+    def learn(self, words: list[str]) -> None:
+        other = words
+        if self.known_steps:
+            other = []
+            for word in words:
+                if PLAIN.fullmatch(word):
+                    self.words[word] = b"".join([self.piece(p) for p in PIECE.findall(word)])
+                else:
+                    other.append(word)
+        for word, found in zip(other, self.tokenizer.encode_batch(other, add_special_tokens=False)):
+            self.words[word] = array("I", found.ids).tobytes()
+
+    def of(self, text: str) -> bytes:
+        """Ids of a text as unsigned 32-bit integers."""
+        if any(token in text for token in self.special):
+            return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+        if self.known_steps and not any(token in text.lower() for token in self.special):
+            # A-Z in lower case, as the normaliser makes them, so that fewer words are kept.
+            text = text.encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass")
+        words = text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
+        own = set(words)
+        new = own.difference(self.words)
+        if new and len(self.words) + len(self.pieces) + len(new) > KEPT_WORDS:
+            self.forget()
+            new = own - {""}
+        if new:
+            self.learn(list(new))
+        return b"".join([self.words[w] for w in words])
+
 
+_word_ids: dict[int, WordIds] = {}
 
-def token_ids(texts: list[str], tokenizer: str) -> Iterator[bytes]:
-    """Ids of every text as little-endian unsigned 32-bit integers.
 
-    The tokenizer parts words at white space before anything else, so the ids of a text are those
-    of its words (runs between blanks, tabs and line ends) one after the other; a worker encodes
-    each of its words once and keeps a bounded number of them.
-    """
-    model, known = word_ids(tokenizer)
+def token_ids(texts: Iterable[str], tokenizer: str) -> Iterator[bytes]:
+    """Ids of every text as little-endian unsigned 32-bit integers, exactly as the tokenizer gives them."""
+    key = hash(tokenizer)
+    if key not in _word_ids:
+        _word_ids.clear()
+        _word_ids[key] = WordIds(tokenizer)
+    known = _word_ids[key]
     for text in texts:
-        words = text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
-        new = list({w for w in words if w not in known})
-        if new:
-            if len(known) + len(new) > KEPT_WORDS:
-                known.clear()
-                known[""] = b""
-                new = list(set(words) - {""})
-            for start in range(0, len(new), 10_000):
-                part = new[start : start + 10_000]
-                for word, found in zip(part, model.encode_batch(part, add_special_tokens=False)):
-                    known[word] = np.array(found.ids, "<u4").tobytes()
-        yield b"".join([known[w] for w in words])
+        ids = known.of(text)
+        yield ids if sys.byteorder == "little" else np.frombuffer(ids, np.uint32).astype("<u4").tobytes()
 
 
 def token_pieces(docs: DataFrame, tokenizer: str, *, capacity: int = CAPACITY, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -357,15 +418,13 @@ def pack_documents(
     slots = slot_table(pack_lengths(counts, capacity, nodes=nodes))
     lookup = slots[:, 0] << 44 | slots[:, 1]
 
-    # Most lengths are one cell; cells of a length are numbered in parts and offset by their counts.
-    many = {size: -(-n // CELL_ROWS) for size, n in counts.items() if n > CELL_ROWS}
-    cells = F.lit(1)
-    for size, n in many.items():
-        cells = F.when(F.col("length") == size, F.lit(n)).otherwise(cells)
-    celled = pieces.withColumn("_cell", F.pmod("_row", cells))
+    # Frequent lengths are numbered in several cells, offset by the rows of the cells before.
+    limit = max(1, min(CELL_ROWS, int(sum(counts.values()) * CELL_SHARE)))
+    cells = [max(1, -(-counts.get(size, 0) // limit)) for size in range(capacity + 1)]
+    celled = pieces.withColumn("_cell", F.pmod("_row", F.get(F.lit(cells), F.col("length").cast("int"))))
     inside = Window.partitionBy("length", "_cell").orderBy("_row")
     ranked = celled.withColumn("_rank", F.row_number().over(inside) - 1)
-    if many:
+    if max(cells) > 1:
         sizes = celled.groupBy("length", "_cell").agg(F.count(F.lit(1)).alias("_n"))
         line = Window.partitionBy("length").orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
         before = sizes.select("length", "_cell", F.coalesce(F.sum("_n").over(line), F.lit(0)).alias("_before"))

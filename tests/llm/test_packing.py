@@ -38,6 +38,21 @@ def test_kept_words_are_bounded(tokenizer, monkeypatch):
     assert got == [model.encode(t, add_special_tokens=False).ids for t in TEXTS * 2]
 
 
+def test_random_texts_equal_the_tokenizer(tokenizer):
+    model = tokenizers.Tokenizer.from_str(tokenizer)
+    r = random.Random(4)
+    letters = [*"abcdeeSTßéÀÿµª'.,-!?<|>0123 \n", "<|endoftext|>", "<|ENDOFTEXT|>", "'s", "'LL", "ﬁ", "́", "漢", "²", "\u00a0"]
+    texts = ["".join(r.choices(letters, k=r.randint(0, 40))) for _ in range(3000)]
+    got = [np.frombuffer(b, "<u4").tolist() for b in P.token_ids(texts, tokenizer)]
+    assert got == [e.ids for e in model.encode_batch(texts, add_special_tokens=False)]
+
+
+def test_other_tokenizers_go_through_the_library():
+    with open(vocabularies.path("byte_bpe_50k.json"), encoding="utf-8") as file:
+        other = file.read()
+    assert not P.WordIds(other).known_steps
+
+
 def fewest(items, capacity):
     """Least number of bins by trying every placement."""
     best = len(items)
@@ -126,6 +141,7 @@ def check_sequences(rows, capacity):
 @pytest.mark.parametrize("cell_rows", [250_000, 3])
 def test_pieces_and_sequences(spark, tokenizer, monkeypatch, cell_rows):
     monkeypatch.setattr(P, "CELL_ROWS", cell_rows)
+    monkeypatch.setattr(P, "CELL_SHARE", 1.0)
     model = tokenizers.Tokenizer.from_str(tokenizer)
     texts = [*TEXTS, None, None, "a b c", "a b c", "long text " * 100] + ["same words here"] * 20
     rows = packed_rows(spark, texts, tokenizer, capacity=16)
