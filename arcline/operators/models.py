@@ -16,8 +16,10 @@ from arcline import schemas as S
 from arcline.functions.spatial import SPATIAL_COLUMNS, spatial_encodings
 from arcline.functions.value import value_columns
 
+from . import network
 from .boosting import BoostedTrees, fit_many, fit_single_features, importances, probabilities
 from .metrics import SUSPICIOUS_AUC, classification_metrics, metrics_by_model
+from .network import Network
 from .quality import require_columns
 from .ranks import exact_medians
 from .sequences import EVENT_FIELDS, PRESSURE_COLUMNS, SEQUENCE_LENGTH, flat_sequence
@@ -50,6 +52,15 @@ TREE_GRID = (
     (31, 0.05, 600, 100, 1.0),
 )
 HIDDEN_LAYERS = (128, 64, 32)  # fixed value
+NETWORK_DEFAULTS = {
+    "hidden": HIDDEN_LAYERS,
+    "epochs": 50,
+    "patience": 5,
+    "steps": 8,
+    "learning_rate": 1e-3,
+    "weight_decay": 1e-4,
+    "dropout": 0.2,
+}
 SEED = 42  # fixed value
 
 
@@ -154,23 +165,30 @@ def fit_network(
     features: list[str],
     label: str = S.TARGET,
     *,
-    hidden: tuple[int, ...] = HIDDEN_LAYERS,
-    max_iter: int = 100,
-) -> PipelineModel:
-    """Feed-forward network (sigmoid units, L-BFGS)."""
-    network = MultilayerPerceptronClassifier(
-        featuresCol="_features",
-        labelCol=label,
-        layers=[len(features), *hidden, 2],
-        maxIter=max_iter,
-        seed=SEED,
-    )
-    stages = preprocessor(train, features, scale=True)
-    return Pipeline(stages=[*stages, network]).fit(train)
+    inner_fraction: float = 0.8,
+    exact: bool = True,
+    **overrides,
+) -> Network:
+    """Feed-forward network with early stopping on the later games of ``train``.
+
+    ``train`` needs game_id and game_date, from which the held-out games follow; fill values and
+    scales come from the earlier games.
+    """
+    known = train.withColumns({c: F.nanvl(F.col(c).cast("double"), F.lit(None)) for c in features})
+    labelled = time_split(known, inner_fraction, name="_side").persist()
+    try:
+        inner = labelled.where(F.col("_side") == "train")
+        fill = column_medians(inner, features, exact=exact)
+        held_out = F.col("_side") == "test"
+        return network.fit_network(labelled, features, label, held_out, fill, **{**NETWORK_DEFAULTS, "seed": SEED, **overrides})
+    finally:
+        labelled.unpersist()
 
 
-def score(model: PipelineModel | BoostedTrees, df: DataFrame, name: str = PROBABILITY) -> DataFrame:
+def score(model: PipelineModel | BoostedTrees | Network, df: DataFrame, name: str = PROBABILITY) -> DataFrame:
     """Add the make probability; helper columns of the pipeline are dropped."""
+    if isinstance(model, Network):
+        return df.select("*", model.probability().alias(name))
     if isinstance(model, BoostedTrees):
         return df.select("*", probabilities([model], name)[0].alias(name))
     scored = model.transform(df)
@@ -398,8 +416,8 @@ def run_record(
     return spark.createDataFrame([{**base, **body}], S.RUN_SUMMARY)
 
 
-def save_model(model: PipelineModel | BoostedTrees, path: str) -> str:
-    if isinstance(model, BoostedTrees):
+def save_model(model: PipelineModel | BoostedTrees | Network, path: str) -> str:
+    if isinstance(model, (BoostedTrees, Network)):
         return model.save(SparkSession.active(), path)
     model.write().overwrite().save(path)
     return path
@@ -412,13 +430,15 @@ def promote(spark: SparkSession, aliases_path: str, alias: str, model_path: str)
     spark.createDataFrame(row, schema).write.mode("append").parquet(aliases_path)
 
 
-def load_model(spark: SparkSession, aliases_path: str, alias: str) -> PipelineModel | BoostedTrees:
+def load_model(spark: SparkSession, aliases_path: str, alias: str) -> PipelineModel | BoostedTrees | Network:
     pointers = spark.read.parquet(aliases_path).where(F.col("alias") == alias)
     row = pointers.agg(F.max_by("model_path", "promoted_at").alias("path")).first()
     if row["path"] is None:
         raise KeyError(f"no model is promoted as {alias!r}")
     if _exists(spark, f"{row['path']}/ensemble"):
         return BoostedTrees.load(spark, row["path"])
+    if _exists(spark, f"{row['path']}/network"):
+        return Network.load(spark, row["path"])
     return PipelineModel.load(row["path"])
 
 
