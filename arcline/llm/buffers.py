@@ -111,10 +111,30 @@ def prefix_hashes(values: np.ndarray) -> np.ndarray:
     return out
 
 
+# Longer ranges are hashed in parts: modulo a power of two, sums of powers can be made equal for
+# some sequences of a thousand values and more, whatever the base is.
+PART = 256
+
+
 def range_hashes(prefix: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """Hash of each range [start, end): equal for equal content anywhere in any chunk."""
     _, down = Powers.upto(len(prefix))
-    return mixed((prefix[ends] - prefix[starts]) * down[starts])
+    long = np.flatnonzero(ends - starts > PART)
+    out = mixed((prefix[ends] - prefix[starts]) * down[starts])
+    if not len(long):
+        return out
+    # Each part is mixed into what came before it, so parts cannot cancel each other.
+    state, at, stop = (ends - starts)[long].astype(np.uint64), starts[long].copy(), ends[long]
+    going = np.arange(len(long))
+    while len(going):
+        here = at[going]
+        to = np.minimum(here + PART, stop[going])
+        part = mixed((prefix[to] - prefix[here]) * down[here])
+        state[going] = mixed((state[going] ^ part) * BASE + part)
+        at[going] = to
+        going = going[to < stop[going]]
+    out[long] = state
+    return out
 
 
 def word_hashes(chunk: Chunk, words: Words, data: np.ndarray | None = None) -> np.ndarray:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import html as entities
 import re
 from collections import defaultdict
@@ -38,6 +39,8 @@ SIDE_WORDS = frozenset(
 )
 # First words of marks that say whether a side part is there, not what the element is.
 ABOUT_WORDS = frozenset("has have with no not without is hide hides hidden show shows".split())
+# A longer path of a container is written as its hash, so deep nesting costs no more than depth.
+LONGEST_PATH = 1000
 MAIN_WORDS = frozenset("article content post entry story main body text".split())
 
 
@@ -48,6 +51,7 @@ class Element:
     dropped: bool
     container: int  # index of the nearest container, itself if it is one
     side: int = -1  # nearest element dropped for its side words, itself if it is one; -2 inside other dropped ones
+    within: bool = False  # whether it is or stands in an article or main
 
 
 @dataclass
@@ -84,40 +88,46 @@ def _marks(attributes: str) -> tuple[str, set[str], set[str]]:
     return re.sub(r"\d+", "0", found[0].split()[0]) if found and found[0].split() else "", words, naming
 
 
-def misnamed(sides: list[Side], kept: frozenset[int], kept_text: int, article_outside: bool) -> frozenset[int]:
-    """Outermost dropped elements with side words that hold the page's main text.
+def misnamed(sides: list[Side], kept_text: int, article_outside: bool) -> frozenset[int]:
+    """Dropped elements with side words that hold the page's main text, from the outside in.
 
     That is over three quarters of the text (nine tenths if they are part of an article or main), or
-    the only article or main element, and not mostly links.
+    the only article or main element, and not mostly links. The side elements in such an element
+    are judged in turn: their sizes are summed up once, so nesting costs nothing more.
     """
+    text, links, article = ([getattr(side, name) for side in sides] for name in ("text", "links", "article"))
+    inside: list[list[int]] = [[] for _ in sides]
+    outermost = []
     for i in range(len(sides) - 1, -1, -1):
-        if sides[i].parent >= 0:
-            outer = sides[sides[i].parent]
-            outer.text, outer.links = outer.text + sides[i].text, outer.links + sides[i].links
-            outer.article |= sides[i].article
-    outermost = [(i, side) for i, side in enumerate(sides) if side.parent == -1 and i not in kept]
-    total = kept_text + sum(side.text for _, side in outermost)
-    return frozenset(
-        i
-        for i, side in outermost
-        if side.text > (0.9 if side.within else 0.75) * total or side.article and not article_outside
-        if not side.inline and side.text and 2 * side.links < side.text
-    )
+        outer = sides[i].parent
+        if outer >= 0:
+            text[outer], links[outer] = text[outer] + text[i], links[outer] + links[i]
+            article[outer] |= article[i]
+        (inside[outer] if outer >= 0 else outermost).append(i)
+    total = kept_text + sum(text[i] for i in outermost)
+    kept = set()
+    while outermost:
+        chosen = [
+            i
+            for i in outermost
+            if text[i] > (0.9 if sides[i].within else 0.75) * total or article[i] and not article_outside
+            if not sides[i].inline and text[i] and 2 * links[i] < text[i]
+        ]
+        kept.update(chosen)
+        article_outside |= any(sides[i].article for i in chosen)
+        outermost = [j for i in chosen for j in inside[i]]
+    return frozenset(kept)
 
 
 def read_page(source: str) -> Page:
     """Blocks of a page outside boilerplate elements, with the container each stands in.
 
     Elements with side words are dropped, unless they turn out to hold the main text (misnamed);
-    then the page is read again with those kept, and the side elements in them are judged.
+    then the page is read a second time with those kept.
     """
-    kept: frozenset[int] = frozenset()
-    while True:
-        page, sides, article = _read(source, kept)
-        more = misnamed(sides, kept, sum(len(text) for _, text, _ in page.blocks), article)
-        if not more:
-            return page
-        kept |= more
+    page, sides, article = _read(source, frozenset())
+    kept = misnamed(sides, sum(len(text) for _, text, _ in page.blocks), article)
+    return _read(source, kept)[0] if kept else page
 
 
 def _read(source: str, kept: frozenset[int]) -> tuple[Page, list[Side], bool]:
@@ -195,8 +205,7 @@ def _read(source: str, kept: frozenset[int]) -> tuple[Page, list[Side], bool]:
         if dropped:
             side = -2
         elif side != -2 and naming & SIDE_WORDS and tag not in ("html", "body", "main", "article", *VOID):
-            within = any(element.tag in ("article", "main") for element in stack)
-            sides.append(Side(side, tag not in BLOCKS and "-" not in tag, within))
+            sides.append(Side(side, tag not in BLOCKS and "-" not in tag, top().within))
             dropped = len(sides) - 1 not in kept
             side = len(sides) - 1 if dropped else side
         if tag not in BLOCKS and not dropped or tag in VOID:
@@ -214,13 +223,16 @@ def _read(source: str, kept: frozenset[int]) -> tuple[Page, list[Side], bool]:
             flush()
         parent = top()
         path = f"{parent.path}>{tag}.{name}" if name else f"{parent.path}>{tag}"
+        if len(path) > LONGEST_PATH:
+            path = "#" + hashlib.md5(path.encode("utf-8", "surrogatepass")).hexdigest()
         container = parent.container
         if tag in CONTAINERS:
             container = len(page.paths)
             page.paths.append(path)
             page.parents.append(parent.container)
             page.bonus.append(0.3 if tag == "article" else 0.2 if tag == "main" else 0.15 if words & MAIN_WORDS else 0.0)
-        stack.append(Element(tag, path, parent.dropped or dropped, container, side))
+        within = parent.within or tag in ("article", "main")
+        stack.append(Element(tag, path, parent.dropped or dropped, container, side, within))
     flush()
     return page, sides, article
 

@@ -67,8 +67,8 @@ def mix_sources(
     rows is numbered by many tasks. The table of sources is broadcast only if its counted rows
     are proven small.
 
-    Null text has size 0, null source is a source of its own (last in order), a null doc_id
-    counts as 0 in the layout only. Repeated rows are separate rows of the mix. An empty table
+    Null text has size 0, null source is a source of its own (last in order). Salts are a hash of
+    id and text, so ids of any type, null or repeated ones spread over the cells. Repeated rows are separate rows of the mix. An empty table
     gives an empty result; a source without words has target 0 and nothing taken. Other columns
     are ignored. The same rows give the same mix in any partitioning.
     """
@@ -77,6 +77,7 @@ def mix_sources(
         F.col(source).cast("string").alias("source"),
         F.when(F.col(source).isNull(), F.lit("N")).otherwise(F.concat(F.lit("A"), F.col(source))).alias("mix_key"),
         word_count(F.col(text)).alias("size"),
+        F.xxhash64(F.col(text)).alias("text_hash"),
     )
     rows = saved(rows)
     targets = saved(source_targets(rows, share, limit, weights))
@@ -85,14 +86,14 @@ def mix_sources(
     placed = (
         rows.join(targets, "mix_key")
         .withColumn("_class", F.when(F.col("size") > 0, F.length(F.bin("size"))).otherwise(F.lit(0)))
-        .withColumn("_salt", F.pmod(F.coalesce(F.col("doc_id"), F.lit(0)).cast("long"), salts))
+        .withColumn("_salt", F.pmod(F.xxhash64("doc_id", "text_hash"), salts))
     )
     cell = ["mix_key", "_class", "_salt"]
     counts = placed.groupBy(*cell).agg(F.count(F.lit(1)).alias("_rows"))
     line = Window.partitionBy("mix_key").orderBy("_class", "_salt").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(*cell, F.coalesce(F.sum("_rows").over(line), F.lit(0)).alias("_before"))
     # Dealt by cell: a join by source must not leave a large source in one task.
-    ranked = placed.repartition(*cell).withColumn("_in_cell", F.row_number().over(Window.partitionBy(*cell).orderBy("size", "doc_id")))
+    ranked = placed.repartition(*cell).withColumn("_in_cell", F.row_number().over(Window.partitionBy(*cell).orderBy("size", "doc_id", "text_hash")))
     start = F.conv(F.substring(F.md5(F.concat(F.lit(seed), F.col("mix_key"))), 1, 4), 16, 10).cast("double") / 65536.0
     expected = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     rank = F.col("_before") + F.col("_in_cell")

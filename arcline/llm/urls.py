@@ -46,6 +46,9 @@ def bloom_hit(key: Column) -> Column:
     return hit
 
 
+RESULT = ("url_host", "url_path", "url_rule", "url_verdict")
+
+
 def judge_urls(
     pages: DataFrame, rules: DataFrame, *, default: str = "allow", bits_per_key: int = 16, url: str = "url"
 ) -> DataFrame:
@@ -77,7 +80,10 @@ def judge_urls(
     size = rules.agg(F.count(F.lit(1)), F.collect_set(F.length("rule_path"))).first()
     blocks = max(1, -(-size[0] * bits_per_key // (64 * WORDS)))
     lengths = sorted(size[1]) or [0]
-    rows = pages.withColumns({"url_host": url_host(F.col(url)), "url_path": url_path(F.col(url))})
+    # Other columns travel in one struct, so that none of their names can meet one used here.
+    kept = [c for c in pages.columns if c not in RESULT]
+    page = F.struct(*[F.col(f"`{c}`") for c in kept]) if kept else F.lit(None)
+    rows = pages.select(page.alias("page"), url_host(F.col(url)).alias("url_host"), url_path(F.col(url)).alias("url_path"))
     labels = F.split("url_host", r"\.")
     hosts = F.transform(
         F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), ".")
@@ -105,7 +111,7 @@ def judge_urls(
         ).alias("won")
     )
     return rows.join(won, ["url_host", "url_path"], "left").select(
-        *[rows[c] for c in pages.columns if c not in ("url_host", "url_path")],
+        *([F.col("page.*")] if kept else []),
         "url_host",
         "url_path",
         F.col("won.url_rule").alias("url_rule"),

@@ -1,5 +1,6 @@
 import pytest
 
+from arcline.llm import mixing
 from arcline.llm.mixing import mix_sources
 from arcline.llm.urls import judge_urls
 
@@ -73,3 +74,23 @@ def test_many_rules_and_empty(spark):
     assert got == {i: "block" if i < 3000 else "unknown" for i, _ in urls}
     assert judge_urls(pages.limit(0), rules).count() == 0
     assert {r["url_verdict"] for r in judge_urls(pages, rules.limit(0)).collect()} == {"allow"}
+
+
+def test_other_columns_may_have_any_name(spark):
+    rules = spark.createDataFrame(RULES, "host string, path string, verdict string")
+    names = ["won", "url_rule", "url_verdict", "page", "block", "key_host", "rule_verdict", "verdict", "a.b"]
+    schema = "url string, " + ", ".join(f"`{n}` string" for n in names)
+    pages = spark.createDataFrame([("http://a.example.com/en/x", *names)], schema)
+    found = judge_urls(pages, rules)
+    assert found.columns == ["url", *[n for n in names if n not in ("url_rule", "url_verdict")], "url_host", "url_path", "url_rule", "url_verdict"]
+    assert found.first()["url_rule"] == "example.com/en/" and found.first()["won"] == "won" and found.first()["url_verdict"] == "block"
+    only = judge_urls(spark.createDataFrame([("x",)], "url_rule string").selectExpr("url_rule AS url_path"), rules, url="url_path")
+    assert only.columns == ["url_host", "url_path", "url_rule", "url_verdict"]
+
+
+def test_mix_of_text_ids_in_many_cells(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "CELL_ROWS", 4)
+    rows = [(None if i % 3 == 0 else f"a{i}", f"word{i} " * (i % 7), "s" if i % 2 else None) for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id string, text string, source string")
+    runs = [sorted(map(str, mixing.mix_sources(d).collect())) for d in (df, df.repartition(5))]
+    assert runs[0] == runs[1] and len(runs[0]) == 60

@@ -1,3 +1,5 @@
+import time
+
 import pytest
 
 from arcline.llm.html_text import extract_main_text, main_text, read_page
@@ -59,3 +61,17 @@ def test_side_parts_beside_the_article_go():
     for page in (f"<main>{STORY}{comments}</main>{cards}", f"<div class='story'>{STORY}{comments}</div>{cards}"):
         text = main_text(read_page(page), None)
         assert text.count("Paragraph") == 6 and "teaser" not in text and "remark" not in text
+
+
+def test_nested_side_elements_take_one_more_reading():
+    """The text stands below thousands of elements with side words; each level holds all of it."""
+    deep = "<div class=widget>" * 4000 + "<p>" + "the text " * 50 + "</p><div class=share>no</div>" + "</div>" * 4000
+    start = time.perf_counter()
+    assert main_text(read_page(f"<body>{deep}</body>"), None) == ("the text " * 50).strip()
+    assert time.perf_counter() - start < 1.0
+
+
+def test_nested_side_elements_are_judged_in_turn():
+    inner = "<div class='sidebar'><p>links here</p></div><div class='modal'><p>" + "words of it " * 20 + "</p></div>"
+    page = f"<body><div class='widget'>{inner}<div class='ad'><p>buy</p></div></div><div class='menu'>menu</div></body>"
+    assert main_text(read_page(page), None) == ("words of it " * 20).strip()

@@ -138,3 +138,26 @@ def test_repeated_rows_in_several_chunks(spark):
     got = similar_documents(docs).drop("node").collect()
     same(got, brute.similar(rows))
     assert all(r["component_id"] == r["doc_id"] for r in got)
+
+
+def thue_morse(k):
+    """Word of 2**k letters and its complement: their sums of powers agree modulo 2**64 in any odd base."""
+    word = "a"
+    for _ in range(k):
+        word += word.translate(str.maketrans("ab", "ba"))
+    return word, word.translate(str.maketrans("ab", "ba"))
+
+
+@pytest.mark.parametrize("k", [10, 11, 12])
+def test_words_made_to_collide_are_told_apart(spark, k):
+    x, y = thue_morse(k)
+    head = " ".join(f"w{i}" for i in range(12))
+    rows = [(1, f"{head} {x}"), (2, f"{head} {y}"), (3, x), (4, y), (5, f"{x} {y} " * 8), (6, f"{y} {x} " * 8)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    got = remove_repeated_words(df).select("doc_id", "n_words", "n_removed", "kept_sha256").collect()
+    same(got, brute.cut_words(rows))
+    linked = {r["doc_id"]: r["component_id"] for r in similar_documents(df).collect()}
+    # The first two share 8 of 10 shingles, the next two none.
+    assert [linked[i] for i in (1, 2, 3, 4)] == [1, 1, 3, 4]
+    cut = remove_repeated_bytes(df).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256").collect()
+    same(cut, brute.cut_bytes(rows))
