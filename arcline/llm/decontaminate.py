@@ -7,10 +7,8 @@ from pyspark.sql import functions as F
 
 from .columns import ascii_lower, let, saved, small
 
-# Separators of contract words once lower-cased: ASCII other than letters and digits; and a word
-# before that.
+# Separators of contract words once lower-cased: ASCII other than letters and digits.
 BREAKS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 
 def benchmark_words(text: Column) -> Column:
@@ -109,9 +107,12 @@ def decontaminate(
         whole = [_grams(words, n, lambda part, n=n: F.xxhash64(part, F.lit(n))) for n in lengths]
         return F.concat(winnow(words, gram, window), *whole)
 
+    # Words are made once: their number and the fingerprints are saved together.
     words = benchmark_words(F.col("text"))
-    judged = rows if null_ids else rows.where(F.col("doc_id").isNotNull())
-    found = judged.select(*KEY, F.explode(let(words, prints)).alias("print")).join(
+    both = let(words, lambda w: F.struct(F.size(w).cast("long").alias("n_words"), prints(w).alias("prints")))
+    counted = saved(rows.select("doc_id", *KEY, both.alias("own")).select("doc_id", *KEY, "own.*"))
+    judged = counted if null_ids else counted.where(F.col("doc_id").isNotNull())
+    found = judged.select(*KEY, F.explode("prints").alias("print")).join(
         small(item_prints, n_windows, 16), "print", "left_semi"
     )
     candidates = saved(found.select(*KEY).distinct())
@@ -146,8 +147,7 @@ def decontaminate(
         .groupBy(*KEY)
         .agg(F.sort_array(F.collect_list("item")).alias("item_ids"))
     )
-    n_words = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
-    counted = rows.select("doc_id", *KEY, n_words.alias("n_words"))
+    counted = counted.drop("prints")
     none = F.array().cast("array<string>")
     return (
         counted.join(covered.join(named, KEY, "left"), KEY, "left")
