@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import time
+from dataclasses import dataclass
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import LogisticRegression, MultilayerPerceptronClassifier
-from pyspark.ml.feature import SQLTransformer, StandardScaler, VectorAssembler, VectorSizeHint
-from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.classification import LogisticRegression
+from pyspark.ml.feature import SQLTransformer, StandardScaler, VectorAssembler
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -26,6 +27,8 @@ from .sequences import EVENT_FIELDS, PRESSURE_COLUMNS, SEQUENCE_LENGTH, flat_seq
 from .split import time_split
 
 PROBABILITY = "predicted_make_probability"
+# Inputs of the challenger beside its features: every field of every slot, oldest slot first.
+EVENT_INPUTS = [f"slot_{slot}_{name}" for slot in range(1, SEQUENCE_LENGTH + 1) for name in EVENT_FIELDS]
 SPATIAL_FEATURES = SPATIAL_COLUMNS
 
 # The boosted-tree defaults and the hand-picked search grid.
@@ -69,13 +72,23 @@ def grid_configs() -> list[dict]:
     return [{**TREE_DEFAULTS, **dict(zip(names, row))} for row in TREE_GRID]
 
 
+@dataclass
+class Challenger:
+    """A network over features and event inputs; scores rows that hold ``seq``."""
+
+    network: Network
+
+
+Model = PipelineModel | BoostedTrees | Network | Challenger
+
+
 def feature_columns(feature_set: str) -> list[str]:
-    """'tabular' 31, 'spatial' 49, 'pressure' 62 columns, in model order."""
-    sets = {
-        "tabular": (),
-        "spatial": SPATIAL_FEATURES,
-        "pressure": (*SPATIAL_FEATURES, *PRESSURE_COLUMNS),
-    }
+    """'tabular' 31, 'spatial' 49, 'pressure' 62 columns, in model order.
+
+    'sequence' has the same 62 and stands for rows that hold ``seq`` too.
+    """
+    pressure = (*SPATIAL_FEATURES, *PRESSURE_COLUMNS)
+    sets = {"tabular": (), "spatial": SPATIAL_FEATURES, "pressure": pressure, "sequence": pressure}
     if feature_set not in sets:
         raise ValueError(f"feature set must be one of {tuple(sets)}, got {feature_set!r}")
     return [*S.TABULAR_FEATURES, *sets[feature_set]]
@@ -174,19 +187,41 @@ def fit_network(
     ``train`` needs game_id and game_date, from which the held-out games follow; fill values and
     scales come from the earlier games.
     """
+    return _fit_on_earlier_games(train, features, label, inner_fraction, exact, False, overrides)
+
+
+def _fit_on_earlier_games(
+    train: DataFrame,
+    features: list[str],
+    label: str,
+    inner_fraction: float,
+    exact: bool,
+    with_events: bool,
+    overrides: dict,
+) -> Network:
     known = train.withColumns({c: F.nanvl(F.col(c).cast("double"), F.lit(None)) for c in features})
     labelled = time_split(known, inner_fraction, name="_side").persist()
     try:
         inner = labelled.where(F.col("_side") == "train")
         fill = column_medians(inner, features, exact=exact)
         held_out = F.col("_side") == "test"
-        return network.fit_network(labelled, features, label, held_out, fill, **{**NETWORK_DEFAULTS, "seed": SEED, **overrides})
+        options = {**NETWORK_DEFAULTS, "seed": SEED, **overrides}
+        if not with_events:
+            return network.fit_network(labelled, features, label, held_out, fill, **options)
+        statistics = sequence_statistics(inner)
+        scales = dict(zip(EVENT_INPUTS, [statistics[name] for name in EVENT_FIELDS] * SEQUENCE_LENGTH))
+        fill |= dict.fromkeys(EVENT_INPUTS, 0.0)
+        rows, inputs = event_inputs(labelled), [*features, *EVENT_INPUTS]
+        return network.fit_network(rows, inputs, label, held_out, fill, scales=scales, **options)
     finally:
         labelled.unpersist()
 
 
-def score(model: PipelineModel | BoostedTrees | Network, df: DataFrame, name: str = PROBABILITY) -> DataFrame:
+def score(model: Model, df: DataFrame, name: str = PROBABILITY) -> DataFrame:
     """Add the make probability; helper columns of the pipeline are dropped."""
+    if isinstance(model, Challenger):
+        scored = event_inputs(df).withColumn(name, model.network.probability())
+        return scored.select(*[c for c in df.columns if c != name], name)
     if isinstance(model, Network):
         return df.select("*", model.probability().alias(name))
     if isinstance(model, BoostedTrees):
@@ -212,13 +247,24 @@ def prediction_table(scored: DataFrame) -> DataFrame:
 
 
 def score_with_errors(
-    model: PipelineModel, df: DataFrame, features: list[str], row_id: str
+    model: Model,
+    df: DataFrame,
+    features: list[str],
+    row_id: str,
+    *,
+    only: tuple[str, ...] | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """(scored rows, rejected rows with a reason): bad rows never stop the good ones.
 
-    A row is rejected for a shot value other than 2 or 3 or for features that are missing.
+    A row is rejected for a shot value other than 2 or 3 or for features that are missing. With
+    ``only`` the input may hold the features, ``row_id``, the shot value and these columns; any
+    other one fails the call and is named.
     """
     require_columns(df, [*features, "shot_value"])
+    if only is not None:
+        extra = sorted(set(df.columns) - {*features, "shot_value", row_id, *only})
+        if extra:
+            raise ValueError(f"columns that are no features: {extra}")
     absent = F.array_compact(F.array(*[F.when(F.col(c).isNull(), F.lit(c)) for c in features]))
     reason = F.when(
         ~F.coalesce(F.col("shot_value").cast("int").isin(2, 3), F.lit(False)), "invalid shot value"
@@ -356,43 +402,30 @@ def standardised_sequence(statistics: dict[str, tuple[float, float]]) -> Column:
     return F.zip_with(shifted, scales, lambda value, scale: value / scale)
 
 
+def event_inputs(df: DataFrame) -> DataFrame:
+    """``df`` with one column per slot and event field; a missing ``seq`` gives zeros, as padding does."""
+    flat = df.withColumn("_flat", flat_sequence("seq"))
+    values = [F.coalesce(F.get("_flat", F.lit(i)), F.lit(0.0)).alias(c) for i, c in enumerate(EVENT_INPUTS)]
+    return flat.select(*df.columns, *values)
+
+
 def fit_challenger(
     train: DataFrame,
     label: str = S.TARGET,
     *,
     features: list[str] | None = None,
-    hidden: tuple[int, ...] = HIDDEN_LAYERS,
-    max_iter: int = 100,
-):
-    """Network on tabular, pressure and flattened sequence columns (needs ``seq``).
+    inner_fraction: float = 0.8,
+    exact: bool = True,
+    **overrides,
+) -> Challenger:
+    """Network on the 62 'pressure' columns and the 145 values of ``seq``, which ``train`` holds.
 
-    Returns a function that scores a frame; statistics come from ``train`` only.
+    Fitted as :func:`fit_network` is; an event field is scaled by its mean and deviation over all
+    slots of the earlier games.
     """
-    features = features or feature_columns("pressure")
-    prepared = Pipeline(stages=preprocessor(train, features, scale=True)).fit(train)
-    statistics = sequence_statistics(train)
-    sized = VectorSizeHint(
-        inputCol="_sequence", size=SEQUENCE_LENGTH * len(EVENT_FIELDS), handleInvalid="error"
-    )
-    joined = VectorAssembler(inputCols=["_features", "_sequence"], outputCol="_joined")
-
-    def assemble(df: DataFrame) -> DataFrame:
-        filled = F.transform(standardised_sequence(statistics), lambda v: F.coalesce(v, F.lit(0.0)))
-        ready = prepared.transform(df).withColumn("_sequence", array_to_vector(filled))
-        return joined.transform(sized.transform(ready))
-
-    width = len(features) + SEQUENCE_LENGTH * len(EVENT_FIELDS)
-    network = MultilayerPerceptronClassifier(
-        featuresCol="_joined", labelCol=label, layers=[width, *hidden, 2], maxIter=max_iter, seed=SEED
-    ).fit(assemble(train))
-
-    def predict(df: DataFrame) -> DataFrame:
-        scored = network.transform(assemble(df))
-        return scored.select(
-            *df.columns, F.get(vector_to_array("probability"), F.lit(1)).alias(PROBABILITY)
-        )
-
-    return predict
+    features = features or feature_columns("sequence")
+    require_columns(train, [*features, "seq", label])
+    return Challenger(_fit_on_earlier_games(train, features, label, inner_fraction, exact, True, overrides))
 
 
 def compare_models(scored: dict[str, DataFrame], label: str = S.TARGET) -> DataFrame:
@@ -416,7 +449,10 @@ def run_record(
     return spark.createDataFrame([{**base, **body}], S.RUN_SUMMARY)
 
 
-def save_model(model: PipelineModel | BoostedTrees | Network, path: str) -> str:
+def save_model(model: Model, path: str) -> str:
+    if isinstance(model, Challenger):
+        model.network.save(SparkSession.active(), f"{path}/challenger")
+        return path
     if isinstance(model, (BoostedTrees, Network)):
         return model.save(SparkSession.active(), path)
     model.write().overwrite().save(path)
@@ -430,11 +466,13 @@ def promote(spark: SparkSession, aliases_path: str, alias: str, model_path: str)
     spark.createDataFrame(row, schema).write.mode("append").parquet(aliases_path)
 
 
-def load_model(spark: SparkSession, aliases_path: str, alias: str) -> PipelineModel | BoostedTrees | Network:
+def load_model(spark: SparkSession, aliases_path: str, alias: str) -> Model:
     pointers = spark.read.parquet(aliases_path).where(F.col("alias") == alias)
     row = pointers.agg(F.max_by("model_path", "promoted_at").alias("path")).first()
     if row["path"] is None:
         raise KeyError(f"no model is promoted as {alias!r}")
+    if _exists(spark, f"{row['path']}/challenger"):
+        return Challenger(Network.load(spark, f"{row['path']}/challenger"))
     if _exists(spark, f"{row['path']}/ensemble"):
         return BoostedTrees.load(spark, row["path"])
     if _exists(spark, f"{row['path']}/network"):

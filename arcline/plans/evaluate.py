@@ -15,7 +15,7 @@ from arcline.sources import tables as read
 from arcline.sources.layout import Layout
 from arcline.sources.sinks import write_frame
 
-from .features import build_season_sequences, feature_rows
+from .features import build_season_sequences, feature_rows, require_coverage
 
 
 def checked_sequences(shots: DataFrame, sequences: DataFrame) -> DataFrame:
@@ -23,9 +23,7 @@ def checked_sequences(shots: DataFrame, sequences: DataFrame) -> DataFrame:
     quality = Q.sequence_quality(sequences).first()
     if not quality["leakage_check_passed"]:
         raise QualityError("a sequence holds an event at or after its shot")
-    gaps = {row["check"]: row["count"] for row in Q.sequence_coverage(shots, sequences).collect()}
-    if any(gaps.values()):
-        raise QualityError(f"sequences do not cover the shots: {gaps}")
+    require_coverage(shots, sequences)
     return Q.attach_pressure(shots, sequences, keep_seq=True)
 
 
@@ -38,10 +36,15 @@ def predict_split(
     split: str = "test",
     feature_set: str = "tabular",
 ) -> DataFrame:
-    """Score a split with a promoted model and write the prediction table."""
+    """Score a split with a promoted model and write the prediction table.
+
+    A challenger takes 'sequence' rows, whatever ``feature_set`` says.
+    """
+    fitted = M.load_model(spark, layout.aliases, model)
+    if isinstance(fitted, M.Challenger):
+        feature_set = "sequence"
     shots = read.read_split(spark, layout, season, split)
     shots = feature_rows(spark, layout, season, shots, feature_set)
-    fitted = M.load_model(spark, layout.aliases, model)
     scored = M.score(fitted, M.model_frame(shots, M.feature_columns(feature_set)))
     write_frame(M.prediction_table(scored), layout.predictions(season, model))
     return read.read_predictions(spark, layout, season, model)

@@ -34,14 +34,24 @@ def season_sequences(spark: SparkSession, layout: Layout, season: str) -> DataFr
     return sequences
 
 
+def require_coverage(shots: DataFrame, sequences: DataFrame) -> None:
+    """Fail unless every shot has exactly one sequence."""
+    gaps = {row["check"]: row["count"] for row in Q.sequence_coverage(shots, sequences).collect()}
+    if any(gaps.values()):
+        raise QualityError(f"sequences do not cover the shots: {gaps}")
+
+
 def feature_rows(
     spark: SparkSession, layout: Layout, season: str, rows: DataFrame, feature_set: str
 ) -> DataFrame:
-    """``rows`` of a season with all columns of 'tabular', 'spatial' or 'pressure'."""
+    """``rows`` of a season with all columns of a feature set; 'sequence' rows hold ``seq`` too."""
     M.feature_columns(feature_set)
     if feature_set == "tabular":
         return rows
     rows = M.add_spatial(rows)
     if feature_set == "spatial":
         return rows
-    return Q.attach_pressure(rows, season_sequences(spark, layout, season))
+    sequences = season_sequences(spark, layout, season)
+    if feature_set == "sequence":
+        require_coverage(rows, sequences)
+    return Q.attach_pressure(rows, sequences, keep_seq=feature_set == "sequence")

@@ -13,7 +13,7 @@ from arcline.sources.sinks import write_frame
 
 from .features import feature_rows
 
-KINDS = ("logistic", "trees", "network")
+KINDS = ("logistic", "trees", "network", "challenger")
 
 
 def split_frames(
@@ -43,16 +43,23 @@ def train_model(
 ) -> DataFrame:
     """Fit, evaluate on test, save, record and promote; returns the run record.
 
-    ``mode='search'`` (trees only) chooses a configuration on later training games first.
+    ``mode='search'`` (trees only) chooses a configuration on later training games first. A
+    challenger always takes the 'sequence' feature set.
     """
     if kind not in KINDS:
         raise ValueError(f"kind must be one of {KINDS}, got {kind!r}")
+    if kind == "challenger":
+        feature_set = "sequence"
     train, test, features = split_frames(spark, layout, season, feature_set)
     if mode == "search":
         if kind != "trees":
             raise ValueError("search mode is for trees")
         model, leaderboard, result = M.search_trees(train, test, features, **options)
         write_frame(leaderboard, f"{layout.model(kind, version)}-leaderboard")
+    elif kind == "challenger":
+        model = M.fit_challenger(train, features=features, **options)
+        metrics = classification_metrics(M.score(model, test), M.PROBABILITY, S.TARGET)
+        result = metrics.first().asDict()
     else:
         fit = {"logistic": M.fit_logistic, "trees": M.fit_trees, "network": M.fit_network}[kind]
         model = fit(train, features, **options)

@@ -260,3 +260,40 @@ def test_layout_rejects_unknown_names():
     for call in (lambda: layout.raw("other"), lambda: layout.summary(SEASON, "other")):
         with pytest.raises(ValueError):
             call()
+
+
+def test_challenger_is_saved_promoted_and_scored_by_the_job(spark, loaded, scored):
+    layout, _ = loaded
+    training.train_model(spark, layout, SEASON, kind="challenger", version="c1", alias="challenger", hidden=(4,), epochs=2, steps=2)
+    train, test, features = training.split_frames(spark, layout, SEASON, "sequence")
+    assert len(features) == 62 and "seq" in train.columns
+    model = M.load_model(spark, layout.aliases, "challenger")
+    assert isinstance(model, M.Challenger) and model.network.features == [*features, *M.EVENT_INPUTS] and len(M.EVENT_INPUTS) == 145
+    again = M.load_model(spark, layout.aliases, "challenger")
+    wanted = {r["shot_id"]: r[M.PROBABILITY] for r in M.score(again, test).collect()}
+    found = {r["shot_id"]: r[M.PROBABILITY] for r in evaluate.predict_split(spark, layout, SEASON, model="challenger").collect()}
+    assert len(found) == 144 and found == wanted
+    assert len(set(found.values())) > 10
+
+
+def test_event_inputs_are_slots_in_order(spark, loaded, scored):
+    layout, _ = loaded
+    train, _, _ = training.split_frames(spark, layout, SEASON, "sequence")
+    rows = M.event_inputs(train.select("shot_id", "seq")).collect()
+    for row in rows:
+        records = [list(e) for e in row["seq"]]
+        padded = [[0.0] * 29] * (5 - len(records)) + records
+        assert [row[c] for c in M.EVENT_INPUTS] == [v or 0.0 for e in padded for v in e]
+    lacking = M.event_inputs(train.select("shot_id", F.when(F.lit(False), F.col("seq")).alias("seq"))).first()
+    assert {lacking[c] for c in M.EVENT_INPUTS} == {0.0}
+
+
+def test_scoring_input_with_other_columns_fails(spark, loaded, scored):
+    layout, _ = loaded
+    model = M.load_model(spark, layout.aliases, "candidate")
+    _, test, features = training.split_frames(spark, layout, SEASON, "tabular")
+    rows = test.select("shot_id", *features)
+    good, _ = M.score_with_errors(model, rows, features, "shot_id", only=())
+    assert good.count() > 0
+    with pytest.raises(ValueError, match="surprise"):
+        M.score_with_errors(model, rows.withColumn("surprise", F.lit(1)), features, "shot_id", only=())

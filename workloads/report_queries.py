@@ -985,21 +985,22 @@ def sequence_statistics(t):
     return t.spark.createDataFrame([(f, found[f][0]) for f in fields], "field string, mean double")
 
 
+def _sequence_rows(t):
+    """(train, test) of all shots with the 62 'pressure' columns and ``seq``, derived once."""
+    features = M.feature_columns("sequence")
+    checkpoint_dir(t.spark)
+    sequences = build_sequences(t["v_shots"], t["v_line_events"])
+    shots = M.add_spatial(time_split(gold(t), one_date_per_game=True))
+    rows = attach_pressure(shots, sequences, keep_seq=True)
+    kept = ["shot_id", "game_id", "game_date", "split", "seq", *features, S.TARGET]
+    ready = M.model_frame(rows.select(*kept), features).checkpoint()
+    return ready.where(F.col("split") == "train"), ready.where(F.col("split") == "test")
+
+
 @query("challenger_scores")
 def challenger_scores(t):
-    shots = t["v_event_shots"]
-    sequences = build_sequences(shots, t["v_events"])
-    outcome = t["v_events"].select(
-        F.col("action_number").alias("shot_id"), (F.col("shot_result") == "Made").alias(S.TARGET)
-    )
-    rows = attach_pressure(shots.join(outcome, "shot_id"), sequences, keep_seq=True)
-    features = ["period", "late_clock_proxy", "prior_5_turnover_count", "prior_5_foul_count"]
-    # Fitted on three quarters of the games and scored on the others.
-    checkpoint_dir(t.spark)
-    ready = M.model_frame(rows.select("shot_id", "game_id", "seq", *features, S.TARGET), features).checkpoint()
-    held_out = F.crc32(F.col("game_id").cast("string")) % 4 == 0
-    predict = M.fit_challenger(ready.where(~held_out), features=features)
-    return predict(ready.where(held_out)).select("shot_id", M.PROBABILITY)
+    train, test = _sequence_rows(t)
+    return _scores(M.fit_challenger(train), test)
 
 
 @query(

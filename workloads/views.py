@@ -139,6 +139,24 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
                   1 + event_id % 2 = 1 as is_home
            from events where event_type = 'purchase'""",
     ),
+    # Every line of an order as an event of its game, typed by its part and flags.
+    "v_line_events": (
+        (),
+        """select l_orderkey as game_id, l_linenumber as action_number, l_linenumber as period,
+                  concat('PT', cast(cast(floor(l_extendedprice) as bigint) % 12 as string), 'M',
+                         cast(cast(floor(l_extendedprice) as bigint) % 60 as string), '.00S') as game_clock,
+                  case when l_partkey % 17 = 0 then null else l_suppkey end as team_id,
+                  l_partkey % 3 = 0 as is_field_goal,
+                  case when l_partkey % 3 = 0 and l_linestatus = 'F' then 'Made'
+                       when l_partkey % 3 = 0 then 'Missed' end as shot_result,
+                  case when l_partkey % 2 = 0 then cast(l_linenumber * 3 as bigint) end as score_home,
+                  case when l_partkey % 2 = 1 then cast(l_linenumber * 2 as bigint) end as score_away,
+                  case when l_partkey % 3 = 0 then null when l_returnflag = 'R' then 'Rebound'
+                       when l_returnflag = 'A' then 'Turnover' when l_partkey % 5 = 0 then 'Timeout' else 'Foul' end as action_type,
+                  case when l_returnflag = 'R' and l_tax > 0.04 then 'Offensive' when l_returnflag = 'R' then 'Defensive'
+                       when l_returnflag = 'A' and l_tax > 0.04 then 'Steal' end as sub_type
+           from lineitem""",
+    ),
     "v_raw_shots": (
         (),
         """select cast(l_orderkey as string) as GAME_ID, concat(cast(l_linenumber as string), '.0') as GAME_EVENT_ID,
