@@ -105,7 +105,7 @@ def build_gold(
     )
     Q.raise_if_critical(Q.check_gold(gold, season=season))
     games = read.season_games(spark, layout, season)
-    inspection = inspect_gold(gold, read.read_table(spark, layout, "shots", ["game_id"]), games)
+    inspection = inspect_gold(gold, read.read_table(spark, layout, "shots", ["game_id"], season=season), games)
     if not inspection.first()["passed"]:
         raise Q.QualityError(f"gold inspection failed: {inspection.first().asDict()}")
     write_gold(gold, layout, replace=replace)

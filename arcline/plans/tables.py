@@ -12,7 +12,7 @@ from arcline.operators import quality as Q
 from arcline.operators.windows import number_rows
 from arcline.sources.layout import Layout
 from arcline.sources.sinks import load_tables
-from arcline.sources.tables import read_raw
+from arcline.sources.tables import read_raw, read_table
 
 
 def build_tables(
@@ -65,6 +65,11 @@ def with_shot_ids(shots: DataFrame) -> DataFrame:
     return number_rows(numeric, "_game", order, "shot_id").drop("_game")
 
 
+def with_season(rows: DataFrame, games: DataFrame) -> DataFrame:
+    """``rows`` with the season of their game; a game that is not known gives none."""
+    return rows.join(games.select("game_id", "season"), "game_id", "left").select(*rows.columns, "season")
+
+
 def new_rows(spark: SparkSession, layout: Layout, name: str, staged: DataFrame) -> DataFrame:
     """Staged rows of a table whose natural key is not loaded yet, shot ids moved behind the loaded."""
     try:
@@ -90,7 +95,8 @@ def load_season(
 ) -> dict[str, DataFrame]:
     """Read, clean, write, check; fails after listing critical issues.
 
-    Tables are written once to a staging root and checked there, so cleaning runs once; the
+    Shots, logs and events are laid out by the season of their game, so that later jobs read the
+    folders of their season only. Tables are written once to a staging root and checked there, so cleaning runs once; the
     checked files are then loaded parents first. Without ``replace`` rows whose natural key is
     loaded already stay out, and shot ids go on after the largest loaded one.
     """
@@ -99,9 +105,11 @@ def load_season(
     if problems:
         raise Q.QualityError(f"home/away unresolved, for example {[tuple(r) for r in problems]}")
     tables["shots"] = with_shot_ids(tables["shots"])
+    for name in S.SEASON_TABLES:
+        tables[name] = with_season(tables[name], tables["games"])
     staging = Layout(f"{layout.root}/staging/{season}")
     load_tables(tables, staging, replace=True)
-    staged = {name: spark.read.parquet(staging.table(name)) for name in tables}
+    staged = {name: read_table(spark, staging, name) for name in tables}
     Q.raise_if_critical(Q.check_cleaned(staged, season=season))
     load_tables(staged if replace else {n: new_rows(spark, layout, n, df) for n, df in staged.items()}, layout, replace=replace)
-    return {name: spark.read.parquet(layout.table(name)) for name in tables}
+    return {name: read_table(spark, layout, name) for name in tables}

@@ -389,6 +389,9 @@ RUN_SUMMARY = T.StructType(
 )
 IMPORTANCE = _fields(feature=_TEXT, importance=_REAL)
 
+# Loaded tables that lie in one folder per season; the season is that of the row's game.
+SEASON_TABLES = ("shots", "player_game_logs", "team_game_logs", "play_by_play")
+
 NATURAL_KEYS = {
     "teams": ("team_id",),
     "players": ("player_id",),

@@ -74,10 +74,15 @@ def append_table(df: DataFrame, layout: Layout, name: str, *, partition_by: list
 def load_tables(
     tables: dict[str, DataFrame], layout: Layout, *, replace: bool = True, partitions: dict[str, list[str]] | None = None
 ) -> list[str]:
-    """Write all cleaned tables parents first; ``replace`` reloads them in full."""
+    """Write all cleaned tables parents first; ``replace`` reloads them in full.
+
+    Tables that name the season of their rows lie in one folder per season unless ``partitions``
+    says otherwise.
+    """
     written = []
     for name in S.LOAD_ORDER:
-        keys = (partitions or {}).get(name, [])
+        by_season = name in S.SEASON_TABLES and "season" in tables[name].columns
+        keys = (partitions or {}).get(name, ["season"] if by_season else [])
         writer = tables[name].write.partitionBy(*keys)
         if replace:
             writer = writer.option("partitionOverwriteMode", "static")

@@ -44,47 +44,81 @@ def read_table(
     *,
     season: str | None = None,
 ) -> DataFrame:
+    """A loaded table; ``season`` prunes the folders of a table laid out by season."""
     df = read_files(spark, layout.table(name), f"table {name}")
+    if name in S.SEASON_TABLES and "season" in df.columns and dict(df.dtypes)["season"] != "string":
+        # A season such as 2024 is read from the folder's name as a number.
+        df = df.withColumn("season", F.col("season").cast("string"))
     if season is not None and "season" in df.columns:
         df = df.where(F.col("season") == season)
     return df.select(*columns) if columns else df
 
 
-def season_games(spark: SparkSession, layout: Layout, season: str | None) -> DataFrame:
+def season_games(
+    spark: SparkSession, layout: Layout, season: str | None, days: tuple[str, str] | None = None
+) -> DataFrame:
+    """Games of a season, or of the days from the first to the last one given."""
     games = read_table(
         spark, layout, "games", ["game_id", "season", "game_date", "home_team_id", "away_team_id"]
     )
+    if days is not None:
+        first, last = (F.lit(day).cast("date") for day in days)
+        games = games.where(F.col("game_date").between(first, last))
     return games if season is None else games.where(F.col("season") == season)
 
 
-def shot_sources(spark: SparkSession, layout: Layout, *, season: str | None = None) -> DataFrame:
+def rows_of_games(
+    spark: SparkSession,
+    layout: Layout,
+    name: str,
+    games: DataFrame,
+    columns: list[str] | None = None,
+    *,
+    season: str | None = None,
+    how: str = "inner",
+) -> DataFrame:
+    """Rows of a table that belong to ``games`` (with game_id and season), read by season.
+
+    The join also matches the season, so that the seasons of the games found prune the folders
+    of the table at run time, also where games were chosen by another column. The season of
+    the result, if asked for, is that of the game. A table without seasons joins by game alone.
+    """
+    df = read_table(spark, layout, name, season=season)
+    keys = ["game_id", "season"] if "season" in df.columns else ["game_id"]
+    wanted = [c for c in columns or df.columns if c not in keys]
+    joined = df.select(*keys, *wanted).join(games, keys, how)
+    order = [*(columns or df.columns), *([] if how == "left_semi" else games.columns)]
+    return joined.select(*dict.fromkeys(order))
+
+
+def shot_sources(
+    spark: SparkSession, layout: Layout, *, season: str | None = None, days: tuple[str, str] | None = None
+) -> DataFrame:
     """Shots with their game's sides and season and their known team."""
-    shots = read_table(spark, layout, "shots")
-    games = season_games(spark, layout, season).drop("game_date")
+    games = season_games(spark, layout, season, days).drop("game_date")
     teams = read_table(spark, layout, "teams", ["team_id"])
-    shots = shots.drop("season") if "season" in shots.columns else shots
-    return shots.join(games, "game_id").join(teams, "team_id", "left_semi")
+    return rows_of_games(spark, layout, "shots", games, season=season).join(teams, "team_id", "left_semi")
 
 
-def event_scores(spark: SparkSession, layout: Layout, *, season: str | None = None) -> DataFrame:
-    events = read_table(
-        spark, layout, "play_by_play", ["game_id", "action_number", "score_home", "score_away"]
-    )
-    known = season_games(spark, layout, season).select("game_id")
-    return events.join(known, "game_id", "left_semi")
+def event_scores(
+    spark: SparkSession, layout: Layout, *, season: str | None = None, days: tuple[str, str] | None = None
+) -> DataFrame:
+    columns = ["game_id", "action_number", "score_home", "score_away"]
+    known = season_games(spark, layout, season, days).select("game_id", "season")
+    return rows_of_games(spark, layout, "play_by_play", known, columns, season=season, how="left_semi")
 
 
 def game_logs(spark: SparkSession, layout: Layout, kind: str) -> DataFrame:
     """Player or team logs of every season: form may look back across seasons."""
-    logs = read_table(spark, layout, f"{kind}_game_logs")
-    known = season_games(spark, layout, None).select("game_id")
-    return logs.join(known, "game_id", "left_semi")
+    known = season_games(spark, layout, None).select("game_id", "season")
+    logs = rows_of_games(spark, layout, f"{kind}_game_logs", known, how="left_semi")
+    return logs.drop("season")
 
 
 def sequence_shots(spark: SparkSession, layout: Layout, season: str) -> DataFrame:
-    games = season_games(spark, layout, season).select("game_id", "home_team_id", "away_team_id")
+    games = season_games(spark, layout, season).drop("game_date")
     columns = ["shot_id", "game_id", "game_event_id", "team_id", "period", "minutes_remaining", "seconds_remaining"]
-    return read_table(spark, layout, "shots", columns).join(games, "game_id")
+    return rows_of_games(spark, layout, "shots", games, columns, season=season).drop("season")
 
 
 def sequence_events(spark: SparkSession, layout: Layout, season: str) -> DataFrame:
@@ -101,8 +135,8 @@ def sequence_events(spark: SparkSession, layout: Layout, season: str) -> DataFra
         "action_type",
         "sub_type",
     ]
-    known = season_games(spark, layout, season).select("game_id")
-    return read_table(spark, layout, "play_by_play", columns).join(known, "game_id", "left_semi")
+    known = season_games(spark, layout, season).select("game_id", "season")
+    return rows_of_games(spark, layout, "play_by_play", known, columns, season=season, how="left_semi")
 
 
 def read_gold(spark: SparkSession, layout: Layout, *, season: str, version: str) -> DataFrame:

@@ -297,3 +297,64 @@ def test_scoring_input_with_other_columns_fails(spark, loaded, scored):
     assert good.count() > 0
     with pytest.raises(ValueError, match="surprise"):
         M.score_with_errors(model, rows.withColumn("surprise", F.lit(1)), features, "shot_id", only=())
+
+
+@pytest.fixture(scope="module")
+def two_seasons(spark, loaded, tmp_path_factory):
+    """The season and a copy of it four years later, appended."""
+    _, written = loaded
+    layout = Layout(str(tmp_path_factory.mktemp("two")))
+    sinks.load_tables(written, layout)
+    later = {name: df for name, df in written.items() if name not in ("teams", "players")}
+    for name, df in later.items():
+        df = df.withColumn("game_id", F.concat(F.lit("9"), F.substring("game_id", 2, 9)))
+        moved = {c: F.lit("2027-28") for c in ("season", "season_year") if c in df.columns}
+        if "game_date" in df.columns:
+            moved["game_date"] = F.add_months("game_date", 48)
+        later[name] = df.withColumns(moved).select(*written[name].columns)
+    empty = {name: written[name].limit(0) for name in ("teams", "players")}
+    sinks.load_tables({**later, **empty}, layout, replace=False)
+    return layout
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_base_tables_are_read_by_season(spark, two_seasons):
+    layout = two_seasons
+    assert read.read_table(spark, layout, "shots").count() == 1440
+    reads = {
+        "shots": read.shot_sources(spark, layout, season=SEASON),
+        "scores": read.event_scores(spark, layout, season=SEASON),
+        "sequence shots": read.sequence_shots(spark, layout, SEASON),
+        "events": read.sequence_events(spark, layout, SEASON),
+    }
+    counts = {name: df.count() for name, df in reads.items()}
+    assert counts == {"shots": 720, "scores": 1320, "sequence shots": 720, "events": 1320}
+    for name, df in reads.items():
+        assert "season#" in plan_of(df).split("PartitionFilters: [", 1)[1].split("]", 1)[0], name
+    assert set(reads["shots"].select("season").distinct().toPandas()["season"]) == {SEASON}
+    assert read.game_logs(spark, layout, "player").count() == 240
+    plain = Layout(layout.root + "-plain")
+    for name in S.LOAD_ORDER:
+        table = read.read_table(spark, layout, name)
+        (table.drop("season") if name in S.SEASON_TABLES else table).write.parquet(plain.table(name))
+    for found, wanted in (
+        (read.shot_sources(spark, plain, season=SEASON), reads["shots"]),
+        (read.sequence_events(spark, plain, SEASON), reads["events"]),
+    ):
+        columns = sorted(wanted.columns)
+        assert sorted(found.columns) == columns
+        assert found.select(*columns).exceptAll(wanted.select(*columns)).isEmpty() and found.count() == wanted.count()
+
+
+def test_games_prune_the_seasons_at_run_time(spark, two_seasons):
+    """A filter on the days of games reaches the folders of shots and events through the join."""
+    days = ("2027-01-01", "2028-12-31")
+    for df, rows in (
+        (read.shot_sources(spark, two_seasons, days=days), 720),
+        (read.event_scores(spark, two_seasons, days=days), 1320),
+    ):
+        assert "dynamicpruning" in plan_of(df)
+        assert df.count() == rows
