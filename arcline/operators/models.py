@@ -349,12 +349,21 @@ def missing_shares(train: DataFrame, test: DataFrame, features: list[str]) -> Da
 
 
 def audit_single_features(
-    train: DataFrame, test: DataFrame, features: list[str], label: str = S.TARGET, **overrides
+    train: DataFrame,
+    test: DataFrame,
+    features: list[str],
+    label: str = S.TARGET,
+    *,
+    required: tuple[str, ...] = S.MARGIN_COLUMNS,
+    **overrides,
 ) -> DataFrame:
     """One model per feature: AUC, log loss, accuracy, missing shares and the 0.90 flag.
 
+    Fails unless both sides hold the ``required`` columns, by default those of the prior margin.
     The models are fitted together, over one count of the rows per feature, range and label.
     """
+    for side in (train, test):
+        require_columns(side, required)
     models = fit_single_features(train, features, label, tree_config(**overrides))
     judged = metrics_by_model(_scored_by_all(models, test, label), "model", "score", "_label")
     names = train.sparkSession.createDataFrame(list(enumerate(features)), "model int, feature string")

@@ -416,7 +416,7 @@ SEASON_ROW_COUNTS = {
 }
 SEASON_DATES = {"2024-25": ("2024-10-01", "2025-06-30")}
 
-# Column rules per table: (column, kind, allowed, nullable). Kinds: plain, isin, range, length.
+# Column rules per table: (column, kind, allowed, nullable). Kinds: plain, isin, range, length.
 SHOT_TYPES = ("2PT Field Goal", "3PT Field Goal")
 _LOG_RULES = (
     ("season_year", "plain", None, False),
@@ -473,6 +473,23 @@ COLUMN_RULES = {
         ("shot_value", "isin", (2, 3), False),
     ),
 }
+# The other gold columns are declared too: each must be there, may be NULL, and has its type.
+COLUMN_RULES["gold_shot_features"] += tuple(
+    (name, "plain", None, True)
+    for name in GOLD.fieldNames()
+    if name not in {rule[0] for rule in COLUMN_RULES["gold_shot_features"]}
+)
+# Declared types that the contract of a table holds its columns to.
+CONTRACT_TYPES = {
+    "teams": TEAMS,
+    "players": PLAYERS,
+    "games": GAMES,
+    "shots": SHOTS,
+    "player_game_logs": PLAYER_GAME_LOGS,
+    "team_game_logs": TEAM_GAME_LOGS,
+    "play_by_play": PLAY_BY_PLAY,
+    "gold_shot_features": GOLD,
+}
 GOLD_REQUIRED = (
     "shot_id",
     "shot_made_flag",

@@ -163,7 +163,9 @@ def test_search_ranks_every_configuration(spark):
 
 def test_single_features_one_model_each(spark, train):
     leaked = train.withColumn("leak", F.col("y") + 0.5)
-    found = M.audit_single_features(leaked, leaked, [*FEATURES, "leak"], "y", n_estimators=3, min_child_samples=5)
+    with pytest.raises(KeyError, match="score_margin"):
+        M.audit_single_features(leaked, leaked, [*FEATURES, "leak"], "y")
+    found = M.audit_single_features(leaked, leaked, [*FEATURES, "leak"], "y", required=(), n_estimators=3, min_child_samples=5)
     rows = {r["feature"]: r for r in found.collect()}
     assert [f for f, r in rows.items() if r["suspicious"]] == ["leak"] and rows["leak"]["auc"] == 1.0
     missing = 100 * sum(r[1] is None for r in make_rows()) / 200

@@ -1,7 +1,9 @@
+import datetime as dt
 import math
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from arcline.functions.value import value_columns
 from arcline.operators import edges as G
@@ -219,3 +221,40 @@ def test_gold_inspection(frame):
     }
     fine = I.inspect_gold(gold.limit(1), frame("game_id string", "g"), games).first()
     assert fine["passed"]
+
+
+def test_typed_rows_reject_what_cannot_be_read(spark, frame):
+    schema = T.StructType.fromDDL("a bigint not null, b date, c double, d boolean, e bigint")
+    df = frame(
+        "a string, b string, c string, d string, e double, other string",
+        ("1", "2024-01-31", "1.5", "true", 2.0, "x"),
+        ("2.0", None, None, "0", None, "x"),
+        ("2.5", "2024-02-30", "one", "maybe", 2.5, "x"),
+        (None, "", "", "", float("nan"), "x"),
+        ("9007199254740993", None, None, None, 1e300, None),
+    )
+    good, rejected = Q.typed_rows(df, schema)
+    assert good.schema.simpleString() == "struct<a:bigint,b:date,c:double,d:boolean,e:bigint>"
+    assert [tuple(r) for r in good.orderBy("a").collect()] == [
+        (1, dt.date(2024, 1, 31), 1.5, True, 2),
+        (2, None, None, False, None),
+    ]
+    found = {r["a"]: sorted(r["reasons"]) for r in rejected.collect()}
+    assert found == {
+        "2.5": ["a: not bigint", "b: not date", "c: not double", "d: not boolean", "e: not bigint"],
+        None: ["a: missing", "b: not date", "c: not double", "d: not boolean", "e: not bigint"],
+        "9007199254740993": ["e: not bigint"],
+    }
+    counts = {(r["column"], r["problem"]): r["count"] for r in Q.reason_counts(rejected).collect()}
+    assert counts["e", "not bigint"] == 3 and counts["a", "missing"] == 1 and len(counts) == 6
+    with pytest.raises(KeyError, match="b"):
+        Q.typed_rows(df.drop("b"), schema)
+    empty, none = Q.typed_rows(df.limit(0), schema)
+    assert empty.count() == none.count() == 0
+
+
+def test_type_rules_judge_values_as_declared(frame):
+    df = frame("day date, n array<int>, v int", (None, [1], 2), (None, None, 3))
+    schema = T.StructType.fromDDL("day date, n bigint, v bigint, gone string")
+    found = {(r["check"], r["count"]) for r in Q.check_rows(df, "t", Q.contract_rules(df, (("v", "isin", (2,), False),), schema)).collect()}
+    assert found == {("contract_isin", 1), ("contract_type", 1)}

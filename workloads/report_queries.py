@@ -700,6 +700,88 @@ def table_report_games(t):
     return Q.check_table("games", t["v_games"], season="2024-25", tables=tables).select(*Q.REPORT_COLUMNS)
 
 
+_BAD_GOLD = {
+    "loc_x": "s.loc_x % 7 = 0",
+    "game_date": "s.period = 7",
+    "shot_distance": "s.shot_distance % 10 = 3",
+    "shot_value": "s.loc_y % 11 = 0",
+}
+
+
+@query(
+    "gold_contract",
+    ("v_shots",),
+    f"""select * from (
+      {_issue('critical', 'gold_shot_features', 'contract_column', '(select count(*) from v_shots)', 'cannot show absent column shot_angle')}
+      union all {_issue('critical', 'gold_shot_features', 'contract_type', '(select count(*) from v_shots)', 'unreadable as bigint in shot_id')}
+      union all {_issue('critical', 'gold_shot_features', 'contract_type', f"(select count(*) from v_shots s where {_BAD_GOLD['loc_x']})", 'unreadable as bigint in loc_x')}
+      union all {_issue('critical', 'gold_shot_features', 'contract_type', f"(select count(*) from v_shots s where {_BAD_GOLD['game_date']})", 'unreadable as date in game_date')}
+      union all {_issue('critical', 'gold_shot_features', 'contract_type', f"(select count(*) from v_shots s where {_BAD_GOLD['shot_distance']})", 'unreadable as bigint in shot_distance')}
+      union all {_issue('critical', 'gold_shot_features', 'contract_isin', f"(select count(*) from v_shots s where {_BAD_GOLD['shot_value']})", 'other than (2, 3) on shot_value')}
+      union all {_issue('critical', 'gold_shot_features', 'contract_not_null', "(select count(*) from v_shots s where s.period = 6)", 'NULL in season')}
+      ) where "count" > 0""",
+)
+def gold_contract(t):
+    """All 44 gold columns against their contract, with bad values of every kind put in."""
+    bad = {name: F.expr(condition.replace("s.", "")) for name, condition in _BAD_GOLD.items()}
+    season = F.when(F.col("period") != 6, F.col("season"))
+    rows = base_rows(t).select("*", *[condition.alias(f"_{name}") for name, condition in bad.items()])
+    planted = rows.withColumns(
+        {
+            "loc_x": F.when(F.col("_loc_x"), F.lit("far")).otherwise(F.col("loc_x").cast("string")),
+            "game_date": F.when(F.col("_game_date"), F.lit("some day")).otherwise(F.col("game_date").cast("string")),
+            "shot_distance": F.col("shot_distance") + F.when(F.col("_shot_distance"), 0.5).otherwise(0.0),
+            "shot_value": F.when(F.col("_shot_value"), F.lit("4.0")).otherwise(F.col("shot_value").cast("string")),
+            "season": season,
+        }
+    )
+    empty = {f.name: F.lit(None).cast(f.dataType) for f in S.GOLD.fields if f.name not in rows.columns}
+    known = {"score_margin_missing": F.lit(True), "feature_set_version": F.lit("base_v1")}
+    gold_rows = planted.withColumns({**empty, **known}).drop("shot_angle", *[f"_{name}" for name in bad])
+    report = Q.check_gold(gold_rows, season="none")
+    return report.where(F.col("check").startswith("contract")).select(*Q.REPORT_COLUMNS)
+
+
+_RAW_TYPES = "GAME_ID bigint, GAME_EVENT_ID bigint, MINUTES_REMAINING bigint, SHOT_ATTEMPTED_FLAG boolean not null, SHOT_ZONE_BASIC double, SHOT_DISTANCE double, SHOT_MADE_FLAG boolean"
+
+
+@query(
+    "typed_reject_counts",
+    ("v_raw_shots",),
+    f"""select * from (
+      select 'MINUTES_REMAINING' as "column", 'not bigint' as problem, {n("count(*)")} as "count" from v_raw_shots where MINUTES_REMAINING = 'n/a'
+      union all select 'SHOT_ATTEMPTED_FLAG', 'missing', {n("count(*)")} from v_raw_shots where SHOT_ATTEMPTED_FLAG is null
+      union all select 'SHOT_ZONE_BASIC', 'not double', {n("count(*)")} from v_raw_shots) where "count" > 0""",
+)
+def typed_reject_counts(t):
+    from pyspark.sql.types import StructType
+
+    _, rejected = Q.typed_rows(t["v_raw_shots"], StructType.fromDDL(_RAW_TYPES))
+    return Q.reason_counts(rejected)
+
+
+@query(
+    "typed_good_rows",
+    ("v_raw_shots",),
+    f"""select {n('count(*)')} as good, {n('sum(cast(GAME_ID as bigint))')} as games,
+          {n("sum(cast(replace(GAME_EVENT_ID, '.0', '') as bigint))")} as events, {n('sum(cast(MINUTES_REMAINING as bigint))')} as minutes,
+          {n("sum(case when SHOT_MADE_FLAG = '1' then 1 else 0 end)")} as made
+        from v_raw_shots where MINUTES_REMAINING <> 'n/a' and SHOT_ATTEMPTED_FLAG is not null""",
+)
+def typed_good_rows(t):
+    from pyspark.sql.types import StructType
+
+    kinds = _RAW_TYPES.replace("SHOT_ZONE_BASIC double, ", "")
+    good, _ = Q.typed_rows(t["v_raw_shots"], StructType.fromDDL(kinds))
+    return good.agg(
+        F.count(F.lit(1)).alias("good"),
+        F.sum("GAME_ID").alias("games"),
+        F.sum("GAME_EVENT_ID").alias("events"),
+        F.sum("MINUTES_REMAINING").alias("minutes"),
+        F.sum(F.col("SHOT_MADE_FLAG").cast("int")).alias("made"),
+    )
+
+
 @query(
     "orphan_rows",
     (),
