@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from arcline.functions.shots import possessions
@@ -55,6 +56,10 @@ ALLOWED_MEASURES = (
 )
 
 
+def _used_columns(ratios: dict[str, tuple[str, str]], means: dict[str, str]) -> list[str]:
+    return sorted({c for pair in ratios.values() for c in pair} | set(means.values()))
+
+
 def recent_form(
     logs: DataFrame,
     entity: str,
@@ -66,21 +71,28 @@ def recent_form(
     window: int = 5,
     unique_key: bool = False,
     slices: Slices | None = None,
+    new: str | None = None,
 ) -> DataFrame:
     """One row per (game, entity) with form over the ``window`` games before it.
 
-    Ratios are sums over sums, NULL when the denominator is missing or not positive.
+    Ratios are sums over sums, NULL when the denominator is missing or not positive. ``new`` names
+    a flag of ``logs``: rows without it are looked back on but give no row of their own.
     ``unique_key=True`` states that the log has one row per (game, entity), as cleaned logs
     do; otherwise a repeated key keeps its earliest row.
     """
-    used = sorted({c for pair in ratios.values() for c in pair} | set(means.values()))
+    used = _used_columns(ratios, means)
     sums = {f"_sum_{c}": ("sum", c) for pair in ratios.values() for c in pair}
     averages = {name: ("avg", column) for name, column in means.items()}
     rolled = shift_roll(
-        logs.select(game, entity, date, *used), [entity], [date, game], {**sums, **averages},
+        logs.select(game, entity, date, *used, *([new] if new else [])),
+        [entity],
+        [date, game],
+        {**sums, **averages},
         window=window,
         slices=slices,
     )
+    if new is not None:
+        rolled = rolled.where(F.col(new))
     ratio_columns = [
         F.when(F.col(f"_sum_{bottom}") > 0, F.col(f"_sum_{top}") / F.col(f"_sum_{bottom}")).alias(name)
         for name, (top, bottom) in ratios.items()
@@ -155,6 +167,55 @@ def opponent_form(logs: DataFrame, **options) -> DataFrame:
     return recent_form(allowed, "team_id", OPPONENT_RATIOS, OPPONENT_MEANS, **options)
 
 
+# Kind of form -> its entity, ratios and means.
+FORM_KINDS = {
+    "player": ("player_id", PLAYER_RATIOS, PLAYER_MEANS),
+    "team": ("team_id", TEAM_RATIOS, TEAM_MEANS),
+    "opponent": ("team_id", OPPONENT_RATIOS, OPPONENT_MEANS),
+}
+
+
+def form_rows(kind: str, logs: DataFrame) -> DataFrame:
+    """The rows that a kind of form rolls over: keys, date and the measures it uses."""
+    entity, ratios, means = FORM_KINDS[kind]
+    if kind == "opponent":
+        logs = opponent_allowed(logs)
+    if kind != "player":
+        logs = with_possessions(logs)
+    return logs.select("game_id", entity, "game_date", *_used_columns(ratios, means))
+
+
+def form_state(
+    kind: str, logs: DataFrame, state: DataFrame | None = None, *, window: int = 5
+) -> DataFrame:
+    """What later games need to know: the last ``window`` rows of every entity.
+
+    ``state`` is that of the games before ``logs``. Ranks are cut per task before the shuffle, so
+    a state of few rows per entity stands for all history.
+    """
+    rows = form_rows(kind, logs)
+    if state is not None:
+        rows = rows.unionByName(state)
+    latest = W.partitionBy(FORM_KINDS[kind][0]).orderBy(F.desc("game_date"), F.desc("game_id"))
+    ranked = rows.withColumn("_rank", F.row_number().over(latest))
+    return ranked.where(F.col("_rank") <= window).drop("_rank")
+
+
+def form_since(
+    kind: str, logs: DataFrame, state: DataFrame | None = None, **options
+) -> DataFrame:
+    """Form of the games of ``logs``, looking back into ``state`` instead of older logs.
+
+    Equal to the rows of the same games in the form over all logs, if the games of ``logs`` come
+    after those of the state and have dates. All rows of a game must be in the same logs.
+    """
+    entity, ratios, means = FORM_KINDS[kind]
+    rows = form_rows(kind, logs).withColumn("_new", F.lit(True))
+    if state is not None:
+        rows = rows.unionByName(state.withColumn("_new", F.lit(False)))
+    return recent_form(rows, entity, ratios, means, new="_new", **options)
+
+
 def attach_form(
     shots: DataFrame, form: DataFrame, on: dict[str, str], *, check_unique: bool = True
 ) -> DataFrame:

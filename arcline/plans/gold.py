@@ -16,7 +16,7 @@ from arcline.operators.margin import attach_margin, without_margin
 from arcline.operators.split import split_summary, time_split
 from arcline.sources import tables as read
 from arcline.sources.layout import Layout
-from arcline.sources.sinks import write_gold, write_splits
+from arcline.sources.sinks import write_frame, write_gold, write_splits
 
 DEFAULT_VERSION = "base_v1"  # fixed value
 
@@ -46,26 +46,36 @@ def gold_features(
     events: DataFrame | None,
     *,
     unique_logs: bool = True,
+    states: dict[str, DataFrame] | None = None,
 ) -> DataFrame:
     """Base columns, 18 form columns, two margin columns. ``events=None`` leaves margins NULL.
 
+    ``states`` (by kind of form) stand for all logs before those given.
+
     Forms are joined to the distinct (game, player, team, opponent) sets, several times fewer
     than the shots, and the result to the shots once: the wide rows are shuffled for one form
     join instead of three.
     """
     options = {"unique_key": unique_logs}
-    teams = {**options, "slices": R.team_slices(team_logs)}
+    if states is None:
+        teams = {**options, "slices": R.team_slices(team_logs)}
+        players = R.player_form(player_logs, **options)
+        own, allowed = R.team_form(team_logs, **teams), R.opponent_form(team_logs, **teams)
+    else:
+        players = R.form_since("player", player_logs, states["player"], **options)
+        own = R.form_since("team", team_logs, states["team"], **options)
+        allowed = R.form_since("opponent", team_logs, states["opponent"], **options)
     sides = ["game_id", "player_id", "team_id", "opponent_team_id"]
     forms = base.select(*sides).distinct()
     forms = R.attach_form(
-        forms, R.player_form(player_logs, **options), {"game_id": "game_id", "player_id": "player_id"}
+        forms, players, {"game_id": "game_id", "player_id": "player_id"}
     )
     forms = R.attach_form(
-        forms, R.team_form(team_logs, **teams), {"game_id": "game_id", "team_id": "team_id"}
+        forms, own, {"game_id": "game_id", "team_id": "team_id"}
     )
     forms = R.attach_form(
         forms,
-        R.opponent_form(team_logs, **teams),
+        allowed,
         {"game_id": "game_id", "opponent_team_id": "team_id"},
     )
     forms = forms.withColumnsRenamed({c: f"_{c}" for c in sides})
@@ -87,15 +97,23 @@ def build_gold(
     version: str = DEFAULT_VERSION,
     include_margin: bool = True,
     replace: bool = True,
+    after: str | None = None,
 ) -> DataFrame:
     """Build, stage, check, inspect and load one (season, version) slice; returns the inspection.
 
-    The season filter applies to shots only: form looks back across seasons.
+    The season filter applies to shots only: form looks back across seasons. With ``after``, the
+    season before, whose form state was written by :func:`write_form_states`, only the logs of
+    this season are read and form looks back into that state.
     """
     base = base_features(read.shot_sources(spark, layout, season=season))
     events = read.event_scores(spark, layout, season=season) if include_margin else None
+    only = season if after is not None else None
     features = gold_features(
-        base, read.game_logs(spark, layout, "player"), read.game_logs(spark, layout, "team"), events
+        base,
+        read.game_logs(spark, layout, "player", season=only),
+        read.game_logs(spark, layout, "team", season=only),
+        events,
+        states=read.form_states(spark, layout, after) if after is not None else None,
     )
     # Checked where it is staged; a slice that fails leaves the loaded one in place.
     staging = Layout(f"{layout.root}/staging/gold/{season}/{version}")
@@ -112,6 +130,21 @@ def build_gold(
     return inspection
 
 
+def write_form_states(
+    spark: SparkSession, layout: Layout, season: str, *, after: str | None = None
+) -> None:
+    """Write the last games per player and team as of the end of a season.
+
+    Made from the state of the season ``after`` and this season's logs; without it, from the
+    logs of all loaded seasons, of which this must be the last.
+    """
+    only = season if after is not None else None
+    earlier = read.form_states(spark, layout, after) if after is not None else {}
+    for kind in R.FORM_KINDS:
+        logs = read.game_logs(spark, layout, "player" if kind == "player" else "team", season=only)
+        write_frame(R.form_state(kind, logs, earlier.get(kind)), layout.form_state(kind, season))
+
+
 def export_splits(
     spark: SparkSession,
     layout: Layout,

@@ -23,6 +23,10 @@ class Layout:
     def table(self, name: str) -> str:
         return f"{self.root}/tables/{name}"
 
+    def form_state(self, kind: str, season: str) -> str:
+        """Last rows per player or team at the end of a season."""
+        return f"{self.root}/state/form/{kind}/season={season}"
+
     @property
     def gold(self) -> str:
         return self.table("gold_shot_features")

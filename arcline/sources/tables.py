@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from arcline import schemas as S
+from arcline.operators.form import FORM_KINDS
 from arcline.operators.quality import require_columns
 
 from .layout import RAW_DATASETS, SUMMARIES, Layout
@@ -108,13 +109,21 @@ def event_scores(
     return rows_of_games(spark, layout, "play_by_play", known, columns, season=season, how="left_semi")
 
 
-def game_logs(spark: SparkSession, layout: Layout, kind: str) -> DataFrame:
-    """Player or team logs of every season: form may look back across seasons."""
-    known = season_games(spark, layout, None).select("game_id", "season")
-    logs = rows_of_games(spark, layout, f"{kind}_game_logs", known, how="left_semi")
+def game_logs(spark: SparkSession, layout: Layout, kind: str, *, season: str | None = None) -> DataFrame:
+    """Player or team logs of every season, since form may look back, or of the one given."""
+    known = season_games(spark, layout, season).select("game_id", "season")
+    logs = rows_of_games(spark, layout, f"{kind}_game_logs", known, season=season, how="left_semi")
     return logs.drop("season")
 
 
+def form_states(spark: SparkSession, layout: Layout, season: str) -> dict[str, DataFrame]:
+    """The states that the build of a season left."""
+    return {
+        kind: read_files(spark, layout.form_state(kind, season), f"{kind} form state of {season}")
+        for kind in FORM_KINDS
+    }
+
+
 def sequence_shots(spark: SparkSession, layout: Layout, season: str) -> DataFrame:
     games = season_games(spark, layout, season).drop("game_date")
     columns = ["shot_id", "game_id", "game_event_id", "team_id", "period", "minutes_remaining", "seconds_remaining"]

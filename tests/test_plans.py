@@ -358,3 +358,31 @@ def test_games_prune_the_seasons_at_run_time(spark, two_seasons):
     ):
         assert "dynamicpruning" in plan_of(df)
         assert df.count() == rows
+
+
+def test_a_season_from_the_state_of_the_one_before(spark, two_seasons):
+    layout = two_seasons
+    one_go = gold.build_gold(spark, layout, "2027-28", version="all").first()
+    early = Layout(layout.root + "-early")
+    for name in S.LOAD_ORDER:
+        table = read.read_table(spark, layout, name)
+        keep = table.where(F.col("season") == SEASON) if name in S.SEASON_TABLES else table
+        keep.write.partitionBy(*(["season"] if name in S.SEASON_TABLES else [])).parquet(early.table(name))
+    gold.write_form_states(spark, early, SEASON)
+    states = read.form_states(spark, early, SEASON)
+    assert {k: df.count() for k, df in states.items()} == {"player": 30, "team": 15, "opponent": 15}
+    for kind, df in states.items():
+        sinks.write_frame(df, layout.form_state(kind, SEASON))
+    carried = gold.build_gold(spark, layout, "2027-28", version="state", after=SEASON).first()
+    assert one_go["passed"] and carried["passed"]
+    rows = [read.read_gold(spark, layout, season="2027-28", version=v) for v in ("all", "state")]
+    assert rows[0].count() == rows[1].count() == 720
+    assert rows[0].exceptAll(rows[1]).isEmpty()
+    assert rows[0].where("player_recent_fg_pct_5 is null").isEmpty()
+    gold.write_form_states(spark, layout, "2027-28", after=SEASON)
+    again = read.form_states(spark, layout, "2027-28")
+    for kind in again:
+        logs = read.game_logs(spark, layout, "player" if kind == "player" else "team")
+        assert again[kind].exceptAll(gold.R.form_state(kind, logs)).isEmpty() and again[kind].count() == states[kind].count()
+    with pytest.raises(FileNotFoundError, match="form state"):
+        gold.build_gold(spark, layout, "2027-28", version="none", after="1900-01")

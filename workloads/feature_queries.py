@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import uuid
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from arcline.functions import events as E
@@ -17,6 +20,7 @@ from arcline.operators import split as D
 from arcline.operators.margin import attach_margin, prior_scores, without_margin
 from arcline.operators.windows import fill_then_lag, number_rows, shift_roll
 from arcline.plans.gold import base_features, gold_features, versioned
+from arcline.session import checkpoint_dir
 
 from .registry import day, n, query, r
 
@@ -357,6 +361,38 @@ def team_form(t):
     return R.team_form(t["v_team_logs"], unique_key=True)
 
 
+def _form_by_season(t, kind: str, view: str):
+    """Form season after season, each from its own logs and the state the one before left."""
+    folder = f"{checkpoint_dir(t.spark)}/form-{kind}-{uuid.uuid4().hex}"
+
+    def written(df, name):
+        df.write.parquet(f"{folder}/{name}")
+        return t.spark.read.parquet(f"{folder}/{name}")
+
+    logs = written(t[view].withColumn("_season", F.year("game_date")), "logs")
+    state, parts = None, []
+    for row in logs.select("_season").distinct().orderBy("_season").collect():
+        own = logs.where(F.col("_season") == row["_season"]).drop("_season")
+        parts.append(R.form_since(kind, own, state, unique_key=True))
+        state = written(R.form_state(kind, own, state), f"state/after={row['_season']}")
+    return reduce(lambda x, y: x.unionByName(y), parts)
+
+
+@query("player_form_by_season", ("v_player_logs",), _PLAYER_FORM_SQL)
+def player_form_by_season(t):
+    return _form_by_season(t, "player", "v_player_logs")
+
+
+@query("team_form_by_season", ("v_team_logs",), _TEAM_FORM_SQL)
+def team_form_by_season(t):
+    return _form_by_season(t, "team", "v_team_logs")
+
+
+@query("opponent_form_by_season", ("v_team_logs",), _OPPONENT_FORM_SQL)
+def opponent_form_by_season(t):
+    return _form_by_season(t, "opponent", "v_team_logs")
+
+
 @query(
     "opponent_allowed",
     ("v_team_logs",),
