@@ -3,32 +3,53 @@
 from __future__ import annotations
 
 import hashlib
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .buffers import mixed
 from .columns import saved
+from .graphs import connected
 
 # Pieces: cut where a hash of four characters has six zero bits, and after LONGEST characters.
 CUT_MASK, LONGEST = np.uint32(63), 512
-BANDS, SLOTS = 2, 64
+# A slot looks at one piece, chosen by a hash of its first START characters, and samples SLOT_BITS steps.
+SLOTS, SLOT_BITS, START = 128, 8, 16
+BITS = SLOTS * SLOT_BITS
 # Code points whose arrays a worker holds at once.
 CHUNK_POINTS = 1 << 20
+# Order of rows of one id: by this hash of the text.
+TEXT_SEED = 17
 
 _random = np.random.default_rng(20240502)
 STEPS = 3 * LONGEST
 # Shared random walk: advance or stay at step j on a character of class c; classes are hashed.
 ADVANCE = _random.integers(0, 2, (STEPS, 256), dtype=np.uint8)
-# Shared bit sampling: the band that looks at step j (most steps belong to none) and its multiplier.
-BAND = np.where(_random.random(STEPS) < 0.25, _random.integers(0, BANDS, STEPS), -1)
-FACTOR = _random.integers(1, 1 << 63, STEPS, dtype=np.uint64) | np.uint64(1)
-BAND_SEED = _random.integers(1, 1 << 63, BANDS, dtype=np.uint64)
 SLOT_SEED = _random.integers(1, 1 << 63, SLOTS, dtype=np.uint64)
+START_FACTOR = _random.integers(1, 1 << 63, START, dtype=np.uint64) | np.uint64(1)
+# Bit that a class shows where the sample k looks.
+SHOWN_BIT = _random.integers(0, 2, (BITS, 256), dtype=np.uint8)
+
+
+def _sampled_steps() -> np.ndarray:
+    """Sampled step per (steps walked, sample): of the steps walked the first in a random order.
+
+    Walks of like length sample the same steps, so an edit that changes the length moves few samples.
+    """
+    order = _random.random((STEPS, BITS), np.float32)
+    first = order == np.minimum.accumulate(order, axis=0)
+    step = np.where(first, np.arange(STEPS, dtype=np.int16)[:, None], np.int16(0))
+    return np.maximum.accumulate(step, axis=0)
+
+
+SAMPLED = _sampled_steps()
+# Shared order of the bits in every band.
+BANDS = 32
+BAND_ORDER = np.stack([_random.permutation(BITS) for _ in range(BANDS)])
 
 
 def cut_pieces(points: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -41,6 +62,9 @@ def cut_pieces(points: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.
         h ^= h >> np.uint32(15)
         h *= np.uint32(0x2C1B3C6D)
         cut[4:][(h >> np.uint32(9) & CUT_MASK) == 0] = True
+    # Four characters that begin in the row before say nothing of this row.
+    for inside in (1, 2, 3):
+        cut[np.minimum(offsets + inside, n)] = False
     cut[offsets] = True
     edges = np.flatnonzero(cut)
     starts, lengths = edges[:-1], np.diff(edges)
@@ -50,44 +74,78 @@ def cut_pieces(points: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.
     return begin, np.minimum(begin + LONGEST, np.repeat(edges[1:], parts))
 
 
-def embed(points: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Band signatures (pieces x BANDS) of the embedded pieces.
+def classes_of(points: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Class of every character with the two after it in its piece.
 
-    A piece of n characters is walked for 3n steps: each step shows the current character (or
-    the end) and the shared randomness says whether to go on to the next. Texts at a small edit
-    distance soon walk in step again, so few of the shown characters differ; a band looks at a
-    fixed random choice of the steps.
+    Single characters agree by chance too often: unlike texts would seem a little alike.
+    """
+    value = points.astype(np.uint32)
+    seen = value * np.uint32(0x9E3779B1)
+    for ahead, factor in ((1, 0x85EBCA6B), (2, 0xC2B2AE35)):
+        follows = np.zeros(len(value), np.uint32)
+        follows[:-ahead] = value[ahead:]
+        for back in range(1, ahead + 1):
+            follows[np.maximum(ends - back, 0)] = 0
+        seen += follows * np.uint32(factor)
+    seen ^= seen >> np.uint32(15)
+    seen *= np.uint32(0x2C1B3C6D)
+    return (seen >> np.uint32(20)).astype(np.uint8)
+
+
+class Walks:
+    """Random walks over pieces, all of them side by side.
+
+    A piece of n characters is walked for at most 3n steps: each step shows the current character's
+    class and the shared randomness says whether to go on to the next. Pieces at a small edit distance
+    soon walk in step again, so few of the shown characters differ: edit distance becomes Hamming
+    distance. The shown classes are kept by step, the longest pieces first.
     """
-    classes = ((points.astype(np.uint32) * np.uint32(0x9E3779B1)) >> np.uint32(20)).astype(np.uint8)
-    classes = np.concatenate((classes, np.zeros(1, np.uint8)))
-    order = np.argsort(starts - ends, kind="stable")
-    at, end = starts[order].copy(), ends[order]
-    length = end - at
-    signature = np.zeros((BANDS, len(order)), np.uint64)
-    signature += BAND_SEED[:, None]
-    active = np.searchsorted(-3 * length, -np.arange(STEPS), "left")
-    for step in range(STEPS):
-        n = active[step]
-        if not n:
-            break
-        here = at[:n]
-        shown = classes[here]
-        going = here < end[:n]
-        band = BAND[step]
-        if band >= 0:
-            signature[band, :n] += np.where(going, shown.astype(np.uint64) + np.uint64(1), np.uint64(0)) * FACTOR[step]
-        at[:n] += ADVANCE[step][shown] & going
-    out = np.empty((len(order), BANDS), np.uint64)
-    out[order] = mixed(signature).T
-    return out
+
+    def __init__(self, points: np.ndarray, starts: np.ndarray, ends: np.ndarray):
+        classes = np.concatenate((classes_of(points, ends), np.zeros(1, np.uint8)))
+        order = np.argsort(starts - ends, kind="stable")
+        at, end = starts[order].copy(), ends[order]
+        active = np.searchsorted(-3 * (end - at), -np.arange(STEPS), "left")
+        self.first = np.concatenate(([0], np.cumsum(active)))
+        self.shown = np.empty(self.first[-1], np.uint8)
+        self.walked = np.zeros(len(order), np.int16)
+        self.rank = np.empty(len(order), np.int64)
+        self.rank[order] = np.arange(len(order))
+        for step in range(STEPS):
+            n = active[step]
+            if not n:
+                break
+            shown = classes[at[:n]]
+            going = at[:n] < end[:n]
+            self.shown[self.first[step] : self.first[step + 1]] = shown
+            self.walked[:n] += going
+            at[:n] += ADVANCE[step][shown] & going
+
+    def sample(self, pieces: np.ndarray, slot: int) -> np.ndarray:
+        """Bits (pieces x SLOT_BITS) that a slot samples from the walks of ``pieces``."""
+        rank = self.rank[pieces]
+        samples = np.arange(slot * SLOT_BITS, (slot + 1) * SLOT_BITS)
+        steps = SAMPLED[self.walked[rank] - 1][:, samples]
+        return SHOWN_BIT[samples, self.shown[self.first[steps] + rank[:, None]]]
+
+
+def start_keys(points: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hash of the first START characters of every piece (of all, where it has fewer)."""
+    keys = np.zeros(len(starts), np.uint64)
+    for k in range(START):
+        has = np.flatnonzero(starts + k < ends)
+        keys[has] += (points[starts[has] + k].astype(np.uint64) + np.uint64(1)) * START_FACTOR[k]
+    return mixed(keys)
 
 
 def fingerprints(texts: list[str]) -> np.ndarray:
-    """Fingerprints (texts x SLOTS): per slot the smallest 16 bits of a hash over all band signatures.
+    """Fingerprints (texts x BITS / 8 bytes): bits sampled from the embedded pieces.
 
-    The share of equal slots estimates the share of common pieces; the empty text has all ones.
+    Every slot chooses the piece whose start has the smallest hash under the slot's seed (the
+    first of equal ones) and samples steps of its walk. The empty text has all ones.
     """
-    out = np.full((len(texts), SLOTS), 0xFFFF, np.uint16)
+    out = np.full((len(texts), SLOTS), 0xFF, np.uint8)
+    place = np.uint64((1 << 24) - 1)
     first = 0
     while first < len(texts):
         last, size = first, 0
@@ -99,35 +157,53 @@ def fingerprints(texts: list[str]) -> np.ndarray:
         points = np.frombuffer("".join(part).encode("utf-32-le", "surrogatepass"), np.uint32)
         starts, ends = cut_pieces(points, offsets)
         if len(starts):
-            signatures = embed(points, starts, ends).ravel()
+            walks = Walks(points, starts, ends)
+            keys = start_keys(points, starts, ends)
             rows = np.flatnonzero(np.diff(offsets))
-            cuts = np.searchsorted(starts, offsets[:-1][rows]) * BANDS
+            cuts = np.searchsorted(starts, offsets[:-1][rows])
+            number = np.arange(len(starts), dtype=np.uint64)
             for slot in range(SLOTS):
-                least = np.minimum.reduceat(mixed(signatures ^ SLOT_SEED[slot]), cuts)
-                out[first + rows, slot] = (least >> np.uint64(24)).astype(np.uint16)
+                least = np.minimum.reduceat(mixed(keys ^ SLOT_SEED[slot]) & ~place | number, cuts)
+                bits = walks.sample((least & place).astype(np.int64), slot)
+                out[first + rows, slot] = np.packbits(bits, axis=1)[:, 0]
         first = last
     return out
 
 
 def as_text(prints: np.ndarray) -> list[str]:
-    return [row.tobytes().hex() for row in prints.astype(">u2")]
+    return [row.tobytes().hex() for row in prints]
 
 
 def likeness(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return (a == b).mean(axis=1)
+    """1 for equal fingerprints, 0 where half of the bits or more differ, linear in the Hamming distance."""
+    distance = np.bitwise_count(a ^ b).sum(axis=1, dtype=np.int64)
+    return np.maximum(0.0, 1 - 2 * distance / BITS)
+
 
+def range_heads(rows: DataFrame, part_chars: int, samples: int = 16) -> list[tuple]:
+    """Ascending first keys of ranges of about ``part_chars`` characters; every one is a row's key.
 
-def range_heads(docs: DataFrame, part_chars: int) -> list:
-    """Ascending first ids of ranges of about ``part_chars`` characters; every one is an id of the table."""
-    found = docs.agg(F.count("doc_id"), F.coalesce(F.sum(F.length("text")), F.lit(0)), F.min("doc_id")).first()
+    Keys are (no id, id, hash of the text) of the rows whose own hash is small, ``samples`` a range
+    on average: ids of any type that has an order, rows without an id and rows of one id are split alike.
+    """
+    key = F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "hash")
+    found = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.length("text")), F.lit(0)), F.min(key)).first()
     parts = max(1, min(found[0], -(-found[1] // part_chars)))
     if found[2] is None:
         return []
+    least = tuple(found[2])
     if parts == 1:
-        return [found[2]]
-    shares = [i / parts for i in range(1, parts)]
-    cuts = docs.agg(F.percentile_approx("doc_id", shares, max(10_000, 20 * parts))).first()[0]
-    return sorted({found[2], *cuts})
+        return [least]
+    every = max(1, found[0] // (samples * parts))
+    chosen = rows.where(F.pmod(F.xxhash64("doc_id", "hash"), F.lit(every)) == 0).select(key.alias("key")).distinct()
+    keys = sorted((tuple(r[0]) for r in chosen.collect()), key=_ordered)
+    cuts = [keys[i * len(keys) // parts] for i in range(1, parts)] if keys else []
+    return sorted({least, *cuts}, key=_ordered)
+
+
+def _ordered(key: tuple) -> tuple:
+    """A range key that compares also where the id is missing."""
+    return (key[0], 0 if key[0] else key[1], key[2])
 
 
 def fingerprint_documents(
@@ -136,46 +212,42 @@ def fingerprint_documents(
     """Per row: doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next.
 
     A text is cut into pieces by its content (64 characters on average, 512 at most); each
-    piece is embedded by the shared random walk, two bands of sampled steps give signatures, and
-    64 slots keep the smallest hash over all signatures of the whole text. Likeness is the share
-    of equal slots.
+    piece is embedded by the shared random walk. 128 slots choose a piece each by its start and
+    sample eight bits of its walk. Likeness is linear in the Hamming distance of the sampled bits.
 
     The edited text replaces the last half of a row's characters by the first as many of the next
-    row, in ascending order of (doc_id, text), null ids and texts last, after the last the first.
-    Rows are dealt into ranges of ids (their first ids, one per ``part_chars`` characters, are
-    all that reaches the driver), sorted within ranges, and every range also receives the first
-    rows of the next one, so no task orders the whole table.
+    row, in ascending order of doc_id, null ids last, rows of one id by a hash of the text, after
+    the last the first. Rows are dealt into ranges of (id, hash) (16 keys per ``part_chars``
+    characters are all that reaches the driver; give larger ranges for very large tables), sorted
+    within ranges, and every range also receives the first row of the next one, so no task orders
+    the whole table and neither rows without an id nor those of one id gather.
 
     Null text counts as empty. A single row is its own next row. Repeated rows are each other's
     next rows. An empty table gives an empty result; other columns are ignored.
     """
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    heads = range_heads(rows, part_chars)
-    firsts = np.array(heads)
+    rows = rows.withColumn("hash", F.xxhash64("text", F.lit(TEXT_SEED)))
+    heads = [_ordered(key) for key in range_heads(rows, part_chars)]
     last = max(len(heads) - 1, 0)
 
-    @F.pandas_udf("struct<part: int, head: boolean>")
-    def place(ids: pd.Series) -> pd.DataFrame:
-        known = ids.notna().to_numpy()
-        part = np.full(len(ids), last)
-        head = np.full(len(ids), not len(firsts))
-        if len(firsts) and known.any():
-            values = ids[known].to_numpy().astype(firsts.dtype)
-            part[known] = np.searchsorted(firsts, values, "right") - 1
-            head[known] = firsts[part[known]] == values
-        return pd.DataFrame({"part": part.astype(np.int32), "head": head})
-
-    placed = rows.withColumn("place", place("doc_id"))
+    @F.arrow_udf("struct<part: int, head: boolean>")
+    def place(ids: pa.Array, hashes: pa.Array) -> pa.Array:
+        keys = [_ordered((i is None, i, h)) for i, h in zip(ids.to_pylist(), hashes.to_pylist(), strict=True)]
+        part = [max(bisect_right(heads, key) - 1, 0) for key in keys]
+        head = [heads[p] == key for p, key in zip(part, keys, strict=True)]
+        return pa.StructArray.from_arrays([pa.array(part, pa.int32()), pa.array(head, pa.bool_())], ["part", "head"])
+
+    placed = rows.withColumn("place", place("doc_id", "hash"))
     here = F.struct(F.col("place.part").alias("part"), F.lit(0).alias("copy"))
     before = F.when(F.col("place.part") > 0, F.col("place.part") - 1).otherwise(F.lit(last))
     copies = F.when(F.col("place.head"), F.array(here, F.struct(before.alias("part"), F.lit(1).alias("copy")))).otherwise(
         F.array(here)
     )
     dealt = (
-        placed.select("doc_id", "text", F.explode(copies).alias("to"))
-        .select("doc_id", "text", "to.part", "to.copy")
+        placed.select("doc_id", "text", "hash", F.explode(copies).alias("to"))
+        .select("doc_id", "text", "to.part", "to.copy", "hash")
         .repartition("part")
-        .sortWithinPartitions("part", "copy", F.col("doc_id").asc_nulls_last(), F.col("text").asc_nulls_last())
+        .sortWithinPartitions("part", "copy", F.col("doc_id").asc_nulls_last(), "hash", F.col("text").asc_nulls_last())
     )
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -187,9 +259,9 @@ def fingerprint_documents(
                 new = [(i, t or "", p, c) for i, t, p, c in zip(ids, texts, parts, copy, strict=True)]
                 held = ([carried] if carried else []) + new
                 carried = held[-1]
-                yield from pairs(held)
+                yield from pairs(held, batch.schema.field(0).type)
 
-    def pairs(held: list) -> Iterator[pa.RecordBatch]:
+    def pairs(held: list, kind: pa.DataType) -> Iterator[pa.RecordBatch]:
         own = [k for k in range(len(held) - 1) if held[k][3] == 0 and held[k + 1][2] == held[k][2]]
         texts = [h[1] for h in held]
         edited = [texts[k][: len(texts[k]) - len(texts[k]) // 2] + texts[k + 1][: len(texts[k]) // 2] for k in own]
@@ -210,7 +282,6 @@ def fingerprint_documents(
         )
 
     name = dict(rows.dtypes)["doc_id"]
-    kind = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[name]
     return dealt.mapInArrow(
         sketch,
         f"doc_id {name}, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string,"
@@ -218,33 +289,96 @@ def fingerprint_documents(
     )
 
 
-def _slots(prints: Column) -> Column:
-    return F.transform(F.sequence(F.lit(0), F.lit(SLOTS - 1)), lambda i: F.substring(prints, i * 4 + 1, F.lit(4)))
+def groups_of(prints: DataFrame) -> DataFrame:
+    """(fingerprint, rep) with the smallest id of every fingerprint; rows without an id have none."""
+    known = prints.where(F.col("doc_id").isNotNull())
+    return saved(known.groupBy("fingerprint").agg(F.min("doc_id").alias("rep")))
 
 
-def near_documents(prints: DataFrame, *, band: int = 4, at_least: float = 0.5) -> DataFrame:
+def near_documents(prints: DataFrame, **options) -> DataFrame:
     """Links (doc_id, near_id, likeness) between documents of like fingerprints.
 
-    ``prints`` has doc_id and fingerprint. Equal fingerprints count as one document of the
-    smallest id, which all others link to with likeness 1. Representatives that share a band of
-    ``band`` slots are each held against the smallest id of the band, and kept if verified by
-    the share of equal slots over the whole fingerprint; so a band of any size gives one
-    comparison per document, and documents of a group meet in that smallest id.
+    ``prints`` has doc_id and fingerprint; rows without an id link with nothing. Equal fingerprints
+    count as one document of the smallest id, which all others link to with likeness 1; these are
+    linked as ``near_prints`` says, whose options these are. Repeated rows count once; an empty
+    table gives no links.
     """
-    groups = prints.groupBy("fingerprint").agg(F.min("doc_id").alias("rep"))
-    copies = prints.join(groups, "fingerprint").where("doc_id <> rep")
-    bands = F.transform(
-        F.sequence(F.lit(0), F.lit(SLOTS // band - 1)),
-        lambda i: F.concat(i.cast("string"), F.lit(":"), F.substring(F.col("fingerprint"), i * (4 * band) + 1, F.lit(4 * band))),
-    )
-    keyed = saved(groups.select("rep", "fingerprint", F.explode(bands).alias("band")))
-    heads = keyed.groupBy("band").agg(F.min(F.struct("rep", "fingerprint")).alias("head"))
-    like = F.size(F.filter(F.zip_with(_slots(F.col("fingerprint")), _slots(F.col("head.fingerprint")), lambda a, b: a == b), lambda same: same)) / SLOTS
-    linked = (
-        keyed.join(heads, "band")
-        .where(F.col("rep") > F.col("head.rep"))
-        .dropDuplicates(["rep", "head"])
-        .select(F.col("rep").alias("doc_id"), F.col("head.rep").alias("near_id"), like.alias("likeness"))
-        .where(F.col("likeness") >= at_least)
-    )
-    return linked.unionByName(copies.select("doc_id", F.col("rep").alias("near_id"), F.lit(1.0).alias("likeness")))
+    groups = groups_of(prints)
+    copies = prints.join(groups, "fingerprint").where("doc_id <> rep").distinct()
+    copies = copies.select("doc_id", F.col("rep").alias("near_id"), F.lit(1.0).alias("likeness"))
+    return copies.unionByName(near_prints(groups, **options))
+
+
+def near_classes(prints: DataFrame, **options) -> DataFrame:
+    """Every row of ``prints`` with class_id: the smallest id that links of ``near_prints`` reach.
+
+    A document without links is its own class. A row without an id belongs to the class of the
+    documents of its fingerprint, to none if there are no such documents.
+    """
+    groups = groups_of(prints)
+    links = near_prints(groups, **options)
+    roots = connected(links.select(F.col("doc_id").alias("a"), F.col("near_id").alias("b")))
+    joined = groups.join(roots.withColumnRenamed("node", "rep"), "rep", "left")
+    classes = joined.select("fingerprint", F.coalesce("root", "rep").alias("class_id"))
+    return prints.join(classes, "fingerprint", "left").select(*prints.columns, "class_id")
+
+
+def near_prints(groups: DataFrame, *, at_least: float = 0.75, band_bits: int = 24, more_bits: int = 6) -> DataFrame:
+    """Links (doc_id, near_id, likeness) between the rows (fingerprint, rep) of ``groups``.
+
+    The rows meet in 32 bands of ``band_bits`` sampled bits. In every band one member, the head,
+    is held against all others; those with at least ``at_least`` are linked to it, the rest of
+    the band is split by its next ``more_bits`` bits and goes on until nobody is left with
+    another. So a band of any size costs one comparison per member and round, members unlike the
+    head still meet each other, and documents of a class are joined through heads.
+    """
+    name = dict(groups.dtypes)["rep"]
+
+    def keys(used: int):
+        """Per band the hash of its first ``used`` bits; rows that carry a band get that one only."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                texts = "".join(batch.column("fingerprint").to_pylist())
+                bits = np.unpackbits(np.frombuffer(bytes.fromhex(texts), np.uint8).reshape(-1, SLOTS), axis=1)
+                bands = np.array(batch.column("band").to_pylist()) if "band" in batch.schema.names else None
+                for band in range(BANDS):
+                    row = np.arange(batch.num_rows) if bands is None else np.flatnonzero(bands == band)
+                    if not len(row):
+                        continue
+                    seen = np.packbits(bits[row][:, BAND_ORDER[band, :used]], axis=1)
+                    key = [hashlib.blake2b(v.tobytes(), digest_size=8, salt=bytes([band])).digest() for v in seen]
+                    yield pa.RecordBatch.from_arrays(
+                        [batch.column("rep").take(pa.array(row)), batch.column("fingerprint").take(pa.array(row)),
+                         pa.array(np.full(len(row), band, np.int32)), pa.array(key, pa.binary())],
+                        ["rep", "fingerprint", "band", "key"],
+                    )
+
+        return run
+
+    @F.arrow_udf("double")
+    def like(a: pa.Array, b: pa.Array) -> pa.Array:
+        one, two = (np.frombuffer(bytes.fromhex("".join(v.to_pylist())), np.uint8).reshape(-1, SLOTS) for v in (a, b))
+        return pa.array(likeness(one, two))
+
+    links, left, used = [], groups, band_bits
+    while True:
+        keyed = left.mapInArrow(keys(min(used, BITS)), f"rep {name}, fingerprint string, band int, key binary")
+        # Only keys of several members matter; the head is the member of the smallest hash.
+        head = F.min(F.struct(F.xxhash64("rep").alias("order"), "rep", "fingerprint"))
+        heads = keyed.groupBy("key").agg(head.alias("head"), F.count(F.lit(1)).alias("n")).where("n > 1").select("key", "head")
+        met = keyed.join(heads, "key").where(F.col("rep") != F.col("head.rep"))
+        met = saved(met.select("rep", "fingerprint", "band", F.col("head.rep").alias("head"), like("fingerprint", "head.fingerprint").alias("likeness")))
+        near = F.col("likeness") >= at_least
+        links.append(
+            met.where(near)
+            .select(F.greatest("rep", "head").alias("doc_id"), F.least("rep", "head").alias("near_id"), "likeness")
+            .distinct()
+        )
+        left, used = met.where(~near).select("rep", "fingerprint", "band"), used + more_bits
+        if left.isEmpty() or used - more_bits >= BITS:
+            break
+    found = links[0]
+    for more in links[1:]:
+        found = found.unionByName(more)
+    return found.distinct()

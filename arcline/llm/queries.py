@@ -22,6 +22,7 @@ from . import (
     urls,
     vector_codes,
 )
+from .columns import saved
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -93,7 +94,7 @@ def op5_html_extraction(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def op10_document_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
-    return fingerprints.fingerprint_documents(table(spark, folder, "documents"))
+    return fingerprints.near_classes(saved(fingerprints.fingerprint_documents(table(spark, folder, "documents"))))
 
 
 @query

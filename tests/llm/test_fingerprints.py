@@ -2,7 +2,21 @@ import random
 
 import numpy as np
 
-from arcline.llm.fingerprints import fingerprint_documents, fingerprints, likeness, near_documents
+from arcline.llm.fingerprints import (
+    ADVANCE,
+    SAMPLED,
+    SHOWN_BIT,
+    SLOT_BITS,
+    SLOTS,
+    Walks,
+    as_text,
+    classes_of,
+    fingerprint_documents,
+    fingerprints,
+    likeness,
+    near_classes,
+    near_documents,
+)
 
 from . import brute
 
@@ -58,3 +72,80 @@ def test_near_documents(spark):
     prints = fingerprint_documents(spark.createDataFrame(rows, SCHEMA)).select("doc_id", "fingerprint")
     links = {(r["doc_id"], r["near_id"]): r["likeness"] for r in near_documents(prints).collect()}
     assert links[10, 3] == 1.0 and links[5, 3] >= 0.5 and set(links) == {(10, 3), (5, 3)}
+
+
+def test_walk_and_samples_against_a_plain_walk():
+    rnd = random.Random(8)
+    points = np.array([rnd.randrange(97, 110) for _ in range(300)], np.uint32)
+    starts, ends = np.array([0, 7, 8, 90]), np.array([7, 8, 90, 300])
+    walks = Walks(points, starts, ends)
+    classes = classes_of(points, ends)
+    for piece, (start, end) in enumerate(zip(starts, ends, strict=True)):
+        shown, at = [], start
+        while len(shown) < 3 * (end - start) and at < end:
+            shown.append(classes[at])
+            at += ADVANCE[len(shown) - 1][classes[at]]
+        for slot in (0, 5, SLOTS - 1):
+            want = []
+            for k in range(slot * SLOT_BITS, (slot + 1) * SLOT_BITS):
+                step = SAMPLED[len(shown) - 1, k]
+                assert step < len(shown)
+                want.append(SHOWN_BIT[k, shown[step]])
+            assert walks.sample(np.array([piece]), slot)[0].tolist() == want
+
+
+def test_fingerprint_depends_on_its_own_text_only():
+    many = ["", "a", "ab", *texts(9, 12), "x" * 3_000]
+    together = fingerprints(many)
+    assert all((fingerprints([t])[0] == row).all() for t, row in zip(many, together, strict=True))
+    assert likeness(together[:1], together[:1])[0] == 1.0
+
+
+def test_ids_of_any_type_and_many_rows_without_id(spark):
+    bodies = texts(10, 120)
+    rows = [(f"a{i % 50}" if i % 3 else None, t) for i, t in enumerate(bodies)]
+    got = fingerprint_documents(spark.createDataFrame(rows, "doc_id string, text string").repartition(3), part_chars=2_000)
+    found = got.collect()
+    assert sorted((r["doc_id"] or "", r["n_chars"]) for r in found) == sorted((i or "", len(t)) for i, t in rows)
+    # The edited texts come from one ring over all rows: cutting it into ranges changes nothing.
+    whole = fingerprint_documents(spark.createDataFrame(rows, "doc_id string, text string"), part_chars=1 << 30).collect()
+    assert sorted(map(tuple, found), key=str) == sorted(map(tuple, whole), key=str)
+    large = [(2**60 + i, t) for i, t in enumerate(bodies)] + [(None, "x")]
+    kept = fingerprint_documents(spark.createDataFrame(large, SCHEMA), part_chars=2_000).collect()
+    assert {r["doc_id"] for r in kept} == {i for i, _ in large}
+    short = spark.createDataFrame([(1, "ab"), (2, "cd")], "doc_id smallint, text string")
+    assert [r["doc_id"] for r in fingerprint_documents(short).orderBy("doc_id").collect()] == [1, 2]
+
+
+def test_near_classes_recall(spark):
+    rnd = random.Random(11)
+    bodies = [t for t in texts(12, 60) if len(t) > 200][:40]
+    rows = []
+    for body in bodies:
+        for _ in range(rnd.choice([1, 2, 3, 12])):
+            chars = list(body)
+            for _ in range(rnd.randrange(1 + len(body) // 100)):
+                chars[rnd.randrange(len(chars))] = rnd.choice("xyz")
+            rows.append((len(rows), "".join(chars)))
+    rows += [(None, bodies[0]), (len(rows), None), (len(rows) + 1, "")]
+    prints = fingerprint_documents(spark.createDataFrame(rows, SCHEMA)).select("doc_id", "fingerprint").persist()
+    code = {i: fingerprints([t or ""]) for i, t in rows if i is not None}
+    ids = sorted(code)
+    alike = {(b, a): likeness(code[a], code[b])[0] for a in ids for b in ids if a < b}
+    links = near_documents(prints).collect()
+    assert links and all(abs(alike[r["doc_id"], r["near_id"]] - r["likeness"]) < 1e-9 and r["likeness"] >= 0.75 for r in links)
+    found = {r["doc_id"]: r["class_id"] for r in near_classes(prints).collect() if r["doc_id"] is not None}
+    near = [pair for pair, value in alike.items() if value >= 0.75]
+    met = sum(found[a] == found[b] for a, b in near)
+    assert len(near) > 100 and met / len(near) >= 0.9
+    # A class is joined by verified links only, and its id is its smallest one.
+    assert all(found[c] == c and c <= i for i, c in found.items())
+    assert found[rows[-1][0]] == found[rows[-2][0]] == rows[-2][0]
+
+
+def test_near_classes_of_small_tables(spark):
+    empty = spark.createDataFrame([], "doc_id long, fingerprint string")
+    assert near_classes(empty).count() == near_documents(empty).count() == 0
+    code = as_text(fingerprints(["some text"]))[0]
+    nulls = spark.createDataFrame([(None, code), (None, code)], empty.schema)
+    assert [r["class_id"] for r in near_classes(nulls).collect()] == [None, None]
