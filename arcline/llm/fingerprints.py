@@ -50,6 +50,7 @@ SAMPLED = _sampled_steps()
 # Shared order of the bits in every band.
 BANDS = 32
 BAND_ORDER = np.stack([_random.permutation(BITS) for _ in range(BANDS)])
+BAND_SEED = _random.integers(1, 1 << 63, BANDS, dtype=np.uint64)
 
 
 def cut_pieces(points: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -289,6 +290,20 @@ def fingerprint_documents(
     )
 
 
+def print_documents(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, fingerprint) of every row, without a shuffle; null text counts as empty, other columns are ignored."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, batch.num_rows, 500):
+                part = batch.slice(start, 500)
+                prints = as_text(fingerprints([t or "" for t in part.column(1).to_pylist()]))
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(prints, pa.string())], ["doc_id", "fingerprint"])
+
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    return rows.mapInArrow(run, f"doc_id {dict(rows.dtypes)['doc_id']}, fingerprint string")
+
+
 def groups_of(prints: DataFrame) -> DataFrame:
     """(fingerprint, rep) with the smallest id of every fingerprint; rows without an id have none."""
     known = prints.where(F.col("doc_id").isNotNull())
@@ -335,50 +350,53 @@ def near_prints(groups: DataFrame, *, at_least: float = 0.75, band_bits: int = 2
     name = dict(groups.dtypes)["rep"]
 
     def keys(used: int):
-        """Per band the hash of its first ``used`` bits; rows that carry a band get that one only."""
+        """Per band the hash of its first ``used`` bits; of the bands that a row's mask names."""
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                texts = "".join(batch.column("fingerprint").to_pylist())
-                bits = np.unpackbits(np.frombuffer(bytes.fromhex(texts), np.uint8).reshape(-1, SLOTS), axis=1)
-                bands = np.array(batch.column("band").to_pylist()) if "band" in batch.schema.names else None
+                if not batch.num_rows:
+                    continue
+                bits = np.unpackbits(_bytes(batch.column(1)), axis=1)
+                masks = batch.column(2).to_numpy()
                 for band in range(BANDS):
-                    row = np.arange(batch.num_rows) if bands is None else np.flatnonzero(bands == band)
-                    if not len(row):
-                        continue
+                    row = np.flatnonzero(masks >> band & 1)
                     seen = np.packbits(bits[row][:, BAND_ORDER[band, :used]], axis=1)
-                    key = [hashlib.blake2b(v.tobytes(), digest_size=8, salt=bytes([band])).digest() for v in seen]
+                    key = np.full(len(row), BAND_SEED[band])
+                    for column in seen.T:
+                        key = mixed(key ^ column.astype(np.uint64))
                     yield pa.RecordBatch.from_arrays(
-                        [batch.column("rep").take(pa.array(row)), batch.column("fingerprint").take(pa.array(row)),
-                         pa.array(np.full(len(row), band, np.int32)), pa.array(key, pa.binary())],
-                        ["rep", "fingerprint", "band", "key"],
-                    )
+                        [batch.column(0).take(pa.array(row)), pa.array(np.full(len(row), 1 << band, np.int64)), pa.array(key.view(np.int64))],
+                        ["rep", "mask", "key"],
+                    )
 
         return run
 
     @F.arrow_udf("double")
     def like(a: pa.Array, b: pa.Array) -> pa.Array:
-        one, two = (np.frombuffer(bytes.fromhex("".join(v.to_pylist())), np.uint8).reshape(-1, SLOTS) for v in (a, b))
-        return pa.array(likeness(one, two))
+        return pa.array(likeness(_bytes(a), _bytes(b)) if len(a) else [], pa.float64())
 
-    links, left, used = [], groups, band_bits
+    every = F.lit((1 << BANDS) - 1).cast("long")
+    found, left, used = [], groups.select("rep", "fingerprint", every.alias("mask")), band_bits
     while True:
-        keyed = left.mapInArrow(keys(min(used, BITS)), f"rep {name}, fingerprint string, band int, key binary")
-        # Only keys of several members matter; the head is the member of the smallest hash.
-        head = F.min(F.struct(F.xxhash64("rep").alias("order"), "rep", "fingerprint"))
-        heads = keyed.groupBy("key").agg(head.alias("head"), F.count(F.lit(1)).alias("n")).where("n > 1").select("key", "head")
-        met = keyed.join(heads, "key").where(F.col("rep") != F.col("head.rep"))
-        met = saved(met.select("rep", "fingerprint", "band", F.col("head.rep").alias("head"), like("fingerprint", "head.fingerprint").alias("likeness")))
+        keyed = left.mapInArrow(keys(min(used, BITS)), f"rep {name}, mask long, key long")
+        # Only keys of several members matter; the smallest is their head.
+        heads = keyed.groupBy("key").agg(F.min("rep").alias("head"), F.count(F.lit(1)).alias("n")).where("n > 1")
+        met = keyed.join(heads.select("key", "head"), "key").where("rep <> head")
+        pairs = met.groupBy("rep", "head").agg(F.bit_or("mask").alias("mask"))
+        other = groups.select(F.col("rep").alias("head"), F.col("fingerprint").alias("other"))
+        held = saved(pairs.join(groups, "rep").join(other, "head").withColumn("likeness", like("fingerprint", "other")).drop("other"))
         near = F.col("likeness") >= at_least
-        links.append(
-            met.where(near)
-            .select(F.greatest("rep", "head").alias("doc_id"), F.least("rep", "head").alias("near_id"), "likeness")
-            .distinct()
-        )
-        left, used = met.where(~near).select("rep", "fingerprint", "band"), used + more_bits
-        if left.isEmpty() or used - more_bits >= BITS:
+        found.append(held.where(near).select(F.col("rep").alias("doc_id"), F.col("head").alias("near_id"), "likeness"))
+        apart = held.where(~near)
+        if used >= BITS or apart.isEmpty():
             break
-    found = links[0]
-    for more in links[1:]:
-        found = found.unionByName(more)
-    return found.distinct()
+        left, used = apart.groupBy("rep", "fingerprint").agg(F.bit_or("mask").alias("mask")), used + more_bits
+    links = found[0]
+    for more in found[1:]:
+        links = links.unionByName(more)
+    return links.distinct()
+
+
+def _bytes(prints: pa.Array) -> np.ndarray:
+    """Fingerprints (rows x SLOTS) of their hexadecimal text."""
+    return np.frombuffer(bytes.fromhex("".join(prints.to_pylist())), np.uint8).reshape(-1, SLOTS)

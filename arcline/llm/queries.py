@@ -94,7 +94,14 @@ def op5_html_extraction(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def op10_document_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
-    return fingerprints.near_classes(saved(fingerprints.fingerprint_documents(table(spark, folder, "documents"))))
+    return fingerprints.fingerprint_documents(table(spark, folder, "documents"))
+
+
+@query
+def near_document_classes(spark: SparkSession, folder: str) -> DataFrame:
+    """The documents of op10 by class of like fingerprints."""
+    prints = fingerprints.print_documents(table(spark, folder, "documents"))
+    return fingerprints.near_classes(saved(prints)).select("doc_id", "class_id")
 
 
 @query

@@ -16,6 +16,7 @@ from arcline.llm.fingerprints import (
     likeness,
     near_classes,
     near_documents,
+    print_documents,
 )
 
 from . import brute
@@ -128,7 +129,10 @@ def test_near_classes_recall(spark):
                 chars[rnd.randrange(len(chars))] = rnd.choice("xyz")
             rows.append((len(rows), "".join(chars)))
     rows += [(None, bodies[0]), (len(rows), None), (len(rows) + 1, "")]
-    prints = fingerprint_documents(spark.createDataFrame(rows, SCHEMA)).select("doc_id", "fingerprint").persist()
+    table = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    prints = print_documents(table).persist()
+    same = fingerprint_documents(table).select("doc_id", "fingerprint")
+    assert prints.exceptAll(same).count() == same.exceptAll(prints).count() == 0
     code = {i: fingerprints([t or ""]) for i, t in rows if i is not None}
     ids = sorted(code)
     alike = {(b, a): likeness(code[a], code[b])[0] for a in ids for b in ids if a < b}
