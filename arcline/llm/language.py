@@ -150,9 +150,9 @@ class LanguageModel:
         starts, lengths, row = starts[order], lengths[order], row[order]
         roots = np.asarray(self.roots, np.int32)[:, None]
         first = self.move(np.repeat(roots, self.symbols, axis=1), np.arange(self.symbols))
-        first = np.where(first == 0, roots, first)
-        state = np.repeat(roots, len(row), axis=1)
-        count = np.ones((len(self.roots), len(row)), np.int32)
+        # State 0 has no way on: a block starts there, and a symbol that a language lacks is a phrase of its own.
+        state = np.zeros((len(self.roots), len(row)), np.int32)
+        count = np.zeros((len(self.roots), len(row)), np.int32)
         active = np.searchsorted(-lengths, -np.arange(BLOCK), "left")
         for step in range(BLOCK):
             n = active[step]
@@ -171,8 +171,10 @@ def training_sample(
 ) -> dict[str, list[str]]:
     """Bounded sample of labelled texts by language: ``total_chars`` shared by the languages.
 
-    Per language the documents with the smallest hash of the id give their first ``text_chars``
-    characters. Only ids are ranked; the texts of the chosen ids are fetched by a join.
+    Per language the documents with the smallest hash of the id give ``text_chars`` characters
+    each, from a place in the text that a hash of the id chooses. Only ids are ranked; the texts of
+    the chosen ids are fetched by a join; of several texts of an id in a language one counts, so
+    the sample is bounded in rows however often an id repeats.
     """
     labelled = labelled.where(F.col(lang).isNotNull() & F.col(text).isNotNull() & F.col(doc_id).isNotNull())
     languages = labelled.select(lang).distinct().count()
@@ -180,12 +182,14 @@ def training_sample(
         return {}
     each = max(1, total_chars // languages // text_chars)
     order = Window.partitionBy(lang).orderBy(F.xxhash64(F.col(doc_id), F.lit(11)), doc_id)
-    ids = labelled.select(doc_id, lang).withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= each)
-    ids = ids.select(doc_id).distinct()
+    ids = labelled.select(doc_id, lang).distinct().withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= each)
+    places = F.greatest(F.length(text) - text_chars, F.lit(0)) + 1
+    part = F.substring(F.col(text), F.pmod(F.xxhash64(F.col(doc_id), F.lit(13)), places).cast("int") + 1, F.lit(text_chars))
     rows = (
-        labelled.join(small(ids, each * languages, 16), doc_id, "left_semi")
-        .select(lang, doc_id, F.substring(F.col(text), 1, text_chars).alias("part"))
-        .distinct()
+        labelled.join(small(ids.drop("_n"), each * languages, 32), [doc_id, lang])
+        .select(lang, doc_id, part.alias("part"))
+        .groupBy(lang, doc_id)
+        .agg(F.min("part").alias("part"))
         .collect()
     )
     found: dict[str, list[str]] = {}

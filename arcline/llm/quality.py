@@ -155,7 +155,8 @@ def fit_quality(
 
     ``rated`` has doc_id and grade (0 .. grades - 1); rows without either are not used, and of
     several grades of a document the lowest counts. Ids are chosen first, their texts fetched by
-    a join with that bounded list and turned into features on the executors. Without any rated
+    a join with that bounded list and turned into features on the executors; of several texts of
+    an id the one of the smallest hash counts. Without any rated
     document every text gets the middle of the scale.
     """
     rated = rated.where(F.col("doc_id").isNotNull() & F.col("grade").between(0, grades - 1))
@@ -180,7 +181,9 @@ def fit_quality(
                     ["grade", "features", "values"],
                 )
 
-    chosen = rows.join(small(ids, sample_rows, 16), "doc_id").select("grade", "text")
+    # One row per id, so that the sample is bounded in rows however often an id repeats.
+    one = F.min(F.struct(F.xxhash64("text").alias("hash"), "text")).alias("one")
+    chosen = rows.join(small(ids, sample_rows, 16), "doc_id").groupBy("doc_id", "grade").agg(one).select("grade", "one.text")
     found = chosen.mapInArrow(features, "grade int, features binary, values binary").collect()
     if not found:
         return OrdinalModel(np.zeros(FEATURES), np.zeros(grades - 1))

@@ -107,3 +107,53 @@ def test_languages_of_several_scripts(spark):
     assert len(right) > 20 and np.mean(right) > 0.97
     model = language.LanguageModel({lang: [text for _, text, own in rows if own == lang][:40] for lang in syllables})
     assert len(model.alphabet.letters) == len({c for _, text, _ in rows for c in text if c.isalpha()})
+
+
+def test_samples_are_bounded_in_rows(spark):
+    """One id of many rows gives one text, to the classifier and to each language."""
+    many = spark.range(50_000).select(F.lit(1).cast("long").alias("doc_id"), F.concat(F.lit("tha ing er "), F.col("id")).alias("text"), F.lit("aa").alias("lang"))
+    few = spark.createDataFrame([(i, f"sch ung ei ber {i}", "bb") for i in range(2, 9)], many.schema)
+    docs = many.unionByName(few).repartition(4)
+    sample = language.training_sample(docs, total_chars=40_000, text_chars=1_000, doc_id="doc_id", text="text", lang="lang")
+    assert len(sample["aa"]) == 1 and len(sample["bb"]) == 7
+    seen = []
+    fit = OrdinalModel.fit
+    try:
+        OrdinalModel.fit = staticmethod(lambda row, feature, value, grade, grades: seen.append(grade) or fit(row, feature, value, grade, grades))
+        fit_quality(spark.createDataFrame([(i, i % 3) for i in range(1, 9)], "doc_id long, grade int"), docs)
+    finally:
+        OrdinalModel.fit = fit
+    assert sorted(seen[0].tolist()) == sorted(i % 3 for i in range(1, 9))
+
+
+def test_sample_is_no_prefix(spark):
+    docs = spark.createDataFrame([(i, "a" * 3_000 + "b" * 3_000, "xx") for i in range(40)], "doc_id long, text string, lang string")
+    parts = language.training_sample(docs, total_chars=40_000, text_chars=1_000, doc_id="doc_id", text="text", lang="lang")["xx"]
+    assert len(parts) == 40 and {len(p) for p in parts} == {1_000}
+    assert any("b" in p for p in parts) and any("a" in p for p in parts)
+
+
+def test_phrases_and_winner_against_a_plain_parse(spark):
+    rnd = random.Random(5)
+    known = {lang: [invent(rnd, LANGUAGES[lang], 12) for _ in range(3)] for lang in LANGUAGES}
+    model = language.LanguageModel(known)
+    rows = [(i, invent(rnd, LANGUAGES[rnd.choice(list(LANGUAGES))], rnd.randint(1, 200))) for i in range(40)]
+
+    def plain(text, parts):
+        """Fewest phrases by trying ever longer substrings, in blocks of 256 symbols."""
+        count = 0
+        for first in range(0, len(text), 256):
+            block, at = text[first : first + 256], 0
+            while at < len(block):
+                end = at + 1
+                while end < len(block) and any(block[at : end + 1] in p for p in parts):
+                    end += 1
+                count, at = count + 1, end
+        return count
+
+    text = "".join(t for _, t in rows)
+    points = np.array([ord(c) for c in text], np.uint32)
+    offsets = np.concatenate(([0], np.cumsum([len(t) for _, t in rows])))
+    symbols, cuts = model.alphabet.symbols(points, offsets)
+    want = [[plain(t, known[lang]) for _, t in rows] for lang in model.languages]
+    assert model.phrases(symbols, cuts).tolist() == want
