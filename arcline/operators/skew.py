@@ -21,7 +21,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from arcline.session import slice_rows
+from arcline.session import checkpoint_dir, slice_rows
 
 SLICE = "_slice"
 CARRY = "_carry"
@@ -108,6 +108,14 @@ def bucket_by(df: DataFrame, position: str, bounds: list[float], output: str) ->
     return bucketizer.transform(df).withColumn(output, F.col(output).cast("int"))
 
 
+def cuts_upto(cuts: Column, position: Column, parts: int) -> Column:
+    """Number of ascending ``cuts`` (fewer than ``parts``) at or below ``position``: binary search."""
+    steps = F.expr("array(" + ", ".join(str(2**i) for i in reversed(range(parts.bit_length() - 1))) + ")")
+    return F.aggregate(
+        steps, F.lit(0), lambda at, step: F.when(F.get(cuts, at + step - 1) <= position, at + step).otherwise(at)
+    )
+
+
 @dataclass(frozen=True)
 class TieBreak:
     """Second order column scaled into [0, 1), so that rows tied on the first can be cut.
@@ -152,12 +160,12 @@ def find_tie_break(df: DataFrame, column: str) -> TieBreak | None:
 
 @dataclass(frozen=True)
 class Slices:
-    """How one key/order pair is cut; ``hot`` is None when no key needs cutting."""
+    """How one key/order pair is cut; ``hot`` (keys and cut points) is None when no key needs cutting."""
 
     keys: tuple[str, ...]
     order: tuple[str, ...]
     hot: DataFrame | None
-    bounds: tuple[float, ...]
+    parts: int = 1
     tie_break: TieBreak | None = None
     skip: int = 0
 
@@ -169,22 +177,20 @@ class Slices:
         return W.partitionBy(*self.partition).orderBy(*self.order)
 
     def assign(self, df: DataFrame) -> DataFrame:
-        """Add the slice number and an unset carry mark (nothing on the plain path)."""
+        """Add the slice number, -1 for keys left whole, and an unset carry mark (nothing on the plain path)."""
         if self.hot is None:
             return df
         position = full_position(df, self.order[0], self.tie_break, self.skip)
-        placed = bucket_by(df.withColumn("_position", position), "_position", list(self.bounds), SLICE)
-        placed = placed.drop("_position")
-        hot = self.hot.withColumn("_hot", F.lit(True))
+        placed = join_keys(df.withColumn("_position", position), self.hot, list(self.keys), "left")
+        number = cuts_upto(F.col("_cuts"), F.col("_position"), self.parts)
         return (
-            join_keys(placed, hot, list(self.keys), "left")
-            .withColumn(SLICE, F.when(F.col("_hot"), F.col(SLICE)).otherwise(F.lit(0)))
+            placed.withColumn(SLICE, F.when(F.col("_cuts").isNull(), F.lit(-1)).otherwise(number))
             .withColumn(CARRY, F.lit(False))
             .select(*df.columns, SLICE, CARRY)
         )
 
     def _hot_rows(self, sliced: DataFrame) -> DataFrame:
-        return join_keys(sliced, self.hot, list(self.keys), "left_semi")
+        return sliced.where(F.col(SLICE) >= 0)
 
     def carry_rows(self, sliced: DataFrame, n: int, where: Column | None = None) -> DataFrame:
         """Add to each slice the last ``n`` rows (meeting ``where``) of the slices before it."""
@@ -264,28 +270,32 @@ def plan_slices(
     """Find the keys that need cutting and where to cut.
 
     One column-pruned count per key, pre-aggregated before its shuffle. Every key above
-    ``rows_per_slice`` is cut, a missing key included; there are fewer of them than all rows
-    over that limit, so the list that reaches the driver stays small (some 250,000 keys for
-    10^12 rows) and is joined without a hint. Cut points are quantiles of the order column
-    over the rows of those keys (refined by the second order column), as many as those rows
-    fill slices, so a slice holds at most about ``rows_per_slice`` rows plus exact ties.
+    ``rows_per_slice`` is cut, a missing key included. Cut points are quantiles of the order
+    column over the key's own rows (refined by the second order column), as many as those rows
+    fill slices, so a slice holds at most about ``rows_per_slice`` rows plus exact ties. They
+    stay in a table, one row per such key, joined without a hint; the driver sees the size of
+    the largest key only.
     """
     spark = df.sparkSession
     limit = rows_per_slice or slice_rows(spark)
-    counts = (
-        df.groupBy(*keys)
-        .agg(F.count(F.lit(1)).alias("_rows"))
-        .where(F.col("_rows") > limit)
-        .collect()
-    )
-    if not counts:
-        return Slices(tuple(keys), tuple(order), None, ())
-    key_schema = T.StructType([T.StructField(k, df.schema[k].dataType) for k in keys])
-    hot = spark.createDataFrame([tuple(row[k] for k in keys) for row in counts], key_schema)
-    cuts = -(-sum(row["_rows"] for row in counts) // limit)
-    rows = join_keys(df, hot, keys, "left_semi")
+    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows")).where(F.col("_rows") > limit)
+    most = counts.agg(F.max("_rows")).first()[0]
+    if most is None:
+        return Slices(tuple(keys), tuple(order), None)
+    # Keys of like size share their number of parts, a power of two.
+    powers = range(1, (-(-most // limit) - 1).bit_length() + 1)
+    checkpoint_dir(spark)
+    rows = join_keys(df, counts, keys, "inner")
     tie_break = find_tie_break(rows, order[1]) if len(order) > 1 else None
     skip = common_bytes(rows, order[0]) if isinstance(df.schema[order[0]].dataType, T.StringType) else 0
-    positions = rows.select(full_position(rows, order[0], tie_break, skip).alias("_position"))
-    bounds = cut_points(positions, "_position", cuts)
-    return Slices(tuple(keys), tuple(order), hot, tuple(bounds), tie_break, skip)
+    placed = rows.select(*keys, "_rows", full_position(rows, order[0], tie_break, skip).alias("_position"))
+    sketches = []
+    for power in powers:
+        parts = 2**power
+        own = (F.col("_rows") <= limit * parts) & (F.col("_rows") > limit * (parts // 2))
+        position = F.when(own, F.col("_position"))
+        sketches.append(F.percentile_approx(position, even_shares(parts), max(10_000, 10 * parts)))
+    cuts = F.array_sort(F.array_distinct(F.array_remove(F.coalesce(*sketches), LOWEST)))
+    # Written once: a second evaluation of the sketches could cut elsewhere.
+    hot = placed.groupBy(*keys).agg(cuts.alias("_cuts")).checkpoint()
+    return Slices(tuple(keys), tuple(order), hot, 2 ** len(powers), tie_break, skip)

@@ -153,3 +153,13 @@ def test_keep_first_cuts_before_the_shuffle(spark, log):
         rank = (r["t"], r["t"], r["id"])
         best[r["k"]] = min(best.get(r["k"], (rank, r["id"])), (rank, r["id"]))
     assert {r["k"]: r["id"] for r in kept.collect()} == {k: v[1] for k, v in best.items()}
+
+
+def test_many_large_keys_are_cut_by_their_own_rows(spark):
+    """A key gets as many slices as it fills, however many other keys are cut."""
+    rows = spark.range(2400).selectExpr("id % 200 as k", "cast(pmod(id * 7919, 100003) as int) as t", "id")
+    plan = plan_slices(rows, ["k"], ["t", "id"], rows_per_slice=3)
+    sliced = plan.assign(rows)
+    sizes = sliced.groupBy("k", "_slice").count().collect()
+    assert plan.parts == 4 and plan.hot.count() == 200
+    assert len(sizes) <= 800 and max(r["count"] for r in sizes) <= 4
