@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from arcline.functions.shots import possessions
 
-from .skew import Slices, join_keys, plan_slices
+from .skew import Slices, plan_slices
 from .windows import keep_first, shift_roll
 
 # Feature suffix -> ratio (numerator, denominator) or mean of one column.
@@ -135,19 +135,25 @@ def opponent_allowed(
 ) -> DataFrame:
     """Per (game, team): what the other side of the game produced.
 
-    Game totals minus all rows of the team in that game. With two teams per game this is the
-    opponent's row; it needs no self-join, so a game with many rows cannot multiply. A team
-    that a game lists twice gives two result rows, neither counting the other. Teams alone in
-    a game have no opponent and drop out, as in an inner join.
+    Game totals minus all rows of the team in that game, over two windows of the game: rows are
+    dealt once by game and nothing is joined. With two teams per game this is the opponent's row.
+    A team that a game lists twice gives two result rows, neither counting the other. Teams alone
+    in a game have no opponent and drop out, as in an inner join.
     """
-    own = logs.groupBy(game, team).agg(
-        *[F.sum(c).alias(f"_own_{c}") for c in measures],
-        *[F.count(c).alias(f"_mine_{c}") for c in measures],
+    whole, side = W.partitionBy(game), W.partitionBy(game, team)
+    named = F.count(team).over(whole)
+    several = (F.min(team).over(whole) < F.max(team).over(whole)) | (
+        (named > 0) & (named < F.count(F.lit(1)).over(whole))
     )
-    totals = own.groupBy(game).agg(
-        F.count(F.lit(1)).alias("_teams"),
-        *[F.sum(f"_own_{c}").alias(f"_sum_{c}") for c in measures],
-        *[F.sum(f"_mine_{c}").alias(f"_known_{c}") for c in measures],
+    rows = logs.where(F.col(game).isNotNull()).select(
+        game,
+        team,
+        date,
+        several.alias("_several"),
+        *[F.sum(c).over(whole).alias(f"_sum_{c}") for c in measures],
+        *[F.count(c).over(whole).alias(f"_known_{c}") for c in measures],
+        *[F.sum(c).over(side).alias(f"_own_{c}") for c in measures],
+        *[F.count(c).over(side).alias(f"_mine_{c}") for c in measures],
     )
     others = [
         F.when(
@@ -156,8 +162,7 @@ def opponent_allowed(
         ).alias(c)
         for c in measures
     ]
-    allowed = own.join(totals.where(F.col("_teams") > 1), game).select(game, team, *others)
-    return join_keys(logs.select(game, team, date), allowed, [game, team], "inner")
+    return rows.where(F.col("_several")).select(game, team, date, *others)
 
 
 def opponent_form(logs: DataFrame, **options) -> DataFrame:

@@ -170,3 +170,16 @@ def test_time_split_keeps_a_two_day_game_together(frame):
 def test_time_split_rejects_bad_fraction(spark):
     with pytest.raises(ValueError):
         time_split(_games(spark, 2), 1.0)
+
+
+def test_opponent_allowed_deals_rows_once(spark):
+    """Game totals less the own rows come from windows of the game, in one exchange and no join."""
+    measures = [f"cast(id % 7 as bigint) as {c}" for c in R.ALLOWED_MEASURES]
+    logs = spark.range(60).selectExpr("id div 4 as game_id", "id % 3 as team_id", "date'2024-01-01' as game_date", *measures)
+    allowed = R.opponent_allowed(logs.repartition(3))
+    plan = allowed._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and plan.count("Exchange hashpartitioning") == 1
+    rows = logs.collect()
+    for got in allowed.collect():
+        others = [r for r in rows if r["game_id"] == got["game_id"] and r["team_id"] != got["team_id"]]
+        assert got["points"] == sum(r["points"] for r in others)
