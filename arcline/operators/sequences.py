@@ -130,6 +130,8 @@ def last_events_before(
     rows = marked_right.unionByName(marked_left, allowMissingColumns=True)
     slices = plan_slices(rows, [key], ["_at", "_right"])
     rows = slices.assign(rows)
+    if slices.hot is None:
+        rows = slices.spread(rows)
     if fill:
         rows = fill_then_lag(rows, [key], ["_at", "_right"], fill, slices=slices, finish=False)
     keep = [c for c in rows.columns if c.startswith("_")]
@@ -137,6 +139,8 @@ def last_events_before(
         key, *keep, F.when(F.col("_right") == 1, F.struct(*record)).alias("_record")
     )
     rows = slices.carry_rows(rows, n, F.col("_right") == 1)
+    if slices.hot is not None:
+        rows = slices.spread(rows)
     own = W.partitionBy(*slices.partition, "_right").orderBy("_at").rowsBetween(-(n - 1), 0)
     latest = F.when(F.col("_right") == 1, F.collect_list("_record").over(own))
     upto = slices.window().rowsBetween(W.unboundedPreceding, W.currentRow)

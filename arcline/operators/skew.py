@@ -29,6 +29,8 @@ LOWEST = -1.7e308
 
 
 CODE_BYTES = 6
+# Rows that one task sorts at a time where the number of partitions is chosen here.
+TASK_ROWS = 1 << 17
 
 
 def text_code(column: str, skip: int) -> Column:
@@ -166,6 +168,7 @@ class Slices:
     order: tuple[str, ...]
     hot: DataFrame | None
     parts: int = 1
+    rows: int = 0
     tie_break: TieBreak | None = None
     skip: int = 0
 
@@ -176,6 +179,13 @@ class Slices:
     def window(self):
         return W.partitionBy(*self.partition).orderBy(*self.order)
 
+    def spread(self, df: DataFrame) -> DataFrame:
+        """Rows dealt by partition key so that a task sorts some ``TASK_ROWS``, however many there are."""
+        parts = -(-self.rows // TASK_ROWS)
+        if parts <= 1:
+            return df
+        return df.repartition(max(parts, df.sparkSession.sparkContext.defaultParallelism), *self.partition)
+
     def assign(self, df: DataFrame) -> DataFrame:
         """Add the slice number, -1 for keys left whole, and an unset carry mark (nothing on the plain path)."""
         if self.hot is None:
@@ -200,6 +210,7 @@ class Slices:
         source = self._hot_rows(sliced)
         if where is not None:
             source = source.where(where)
+        source = self.spread(source)
         newest_first = W.partitionBy(*self.partition).orderBy(*[F.desc(c) for c in self.order])
         tails = (
             source.withColumn("_back", F.row_number().over(newest_first))
@@ -278,10 +289,11 @@ def plan_slices(
     """
     spark = df.sparkSession
     limit = rows_per_slice or slice_rows(spark)
-    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows")).where(F.col("_rows") > limit)
-    most = counts.agg(F.max("_rows")).first()[0]
-    if most is None:
-        return Slices(tuple(keys), tuple(order), None)
+    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
+    most, total = counts.agg(F.max("_rows"), F.sum("_rows")).first()
+    if (most or 0) <= limit:
+        return Slices(tuple(keys), tuple(order), None, rows=total or 0)
+    counts = counts.where(F.col("_rows") > limit)
     # Keys of like size share their number of parts, a power of two.
     powers = range(1, (-(-most // limit) - 1).bit_length() + 1)
     checkpoint_dir(spark)
@@ -298,4 +310,4 @@ def plan_slices(
     cuts = F.array_sort(F.array_distinct(F.array_remove(F.coalesce(*sketches), LOWEST)))
     # Written once: a second evaluation of the sketches could cut elsewhere.
     hot = placed.groupBy(*keys).agg(cuts.alias("_cuts")).checkpoint()
-    return Slices(tuple(keys), tuple(order), hot, 2 ** len(powers), tie_break, skip)
+    return Slices(tuple(keys), tuple(order), hot, 2 ** len(powers), total, tie_break, skip)

@@ -26,7 +26,7 @@ def shift_roll(
     frame that has at least as many rows per key.
     """
     slices = slices or plan_slices(df, keys, order)
-    rows = slices.carry_rows(slices.assign(df), window)
+    rows = slices.spread(slices.carry_rows(slices.assign(df), window))
     frame = slices.window().rowsBetween(-window, -1)
     functions = {"sum": F.sum, "avg": F.avg}
     rolled = [
@@ -51,10 +51,13 @@ def fill_then_lag(
     nothing is known yet; the filled value stays NULL. Passing ``slices`` reuses a plan
     whose :meth:`Slices.assign` was already applied to ``df``.
     """
-    if slices is None:
+    planned = slices is not None
+    if not planned:
         slices = plan_slices(df, keys, order)
         df = slices.assign(df)
     rows = slices.carry_last_known(df, list(columns))
+    if not planned:
+        rows = slices.spread(rows)
     upto = slices.window().rowsBetween(W.unboundedPreceding, W.currentRow)
     before = slices.window().rowsBetween(W.unboundedPreceding, -1)
     added = []

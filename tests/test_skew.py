@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from arcline.operators import ranks, windows
+from arcline.operators.metrics import calibration_table
 from arcline.operators.sequences import last_events_before
 from arcline.operators.skew import plan_slices
 from arcline.operators.split import time_split
@@ -163,3 +164,29 @@ def test_many_large_keys_are_cut_by_their_own_rows(spark):
     sizes = sliced.groupBy("k", "_slice").count().collect()
     assert plan.parts == 4 and plan.hot.count() == 200
     assert len(sizes) <= 800 and max(r["count"] for r in sizes) <= 4
+
+
+def test_rows_of_a_window_are_spread_by_their_number(spark, monkeypatch):
+    """The number of partitions follows the rows, so a task sorts no more in a larger table."""
+    monkeypatch.setattr("arcline.operators.skew.TASK_ROWS", 20)
+    for size in (400, 1600):
+        rows = spark.range(size).selectExpr("id % 100 as k", "id as t", "id * 1.0 as v")
+        rolled = windows.shift_roll(rows, ["k"], ["t"], {"s": ("sum", "v")})
+        text = rolled._jdf.queryExecution().executedPlan().toString()
+        assert f"{size // 20}), REPARTITION_BY_NUM" in text and rolled.count() == size
+
+
+@pytest.mark.parametrize("limit", [10_000, 50])
+def test_order_statistics_derive_their_rows_once(spark, slices, limit):
+    slices(limit)
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    rows = spark.range(600).selectExpr("(id * 37 % 500) / 500e0 as s", "id % 3 = 0 as y").coalesce(1)
+    table = calibration_table(rows.mapInArrow(count, rows.schema), "s", "y")
+    assert table.agg(F.sum("shot_count")).first()[0] == 600
+    assert seen.value == 600
