@@ -9,6 +9,7 @@ from arcline.operators import form as R
 from arcline.operators.margin import attach_margin, without_margin
 from arcline.operators.models import feature_columns
 from arcline.operators.split import split_overlap, split_summary, time_split
+from arcline.session import joins_within_keys, written_once
 
 SHOT = "game_id string, game_event_id long, is_home boolean"
 SCORES = "game_id string, action_number long, score_home long, score_away long"
@@ -183,3 +184,29 @@ def test_opponent_allowed_deals_rows_once(spark):
     for got in allowed.collect():
         others = [r for r in rows if r["game_id"] == got["game_id"] and r["team_id"] != got["team_id"]]
         assert got["points"] == sum(r["points"] for r in others)
+
+
+def test_shots_dealt_by_game_stay_for_a_join_by_game_and_team(spark):
+    shots = spark.range(400).selectExpr("id % 40 as game_id", "id % 3 as team_id", "id as shot_id").repartition(300, "game_id")
+    games = spark.range(40).selectExpr("id as game_id", "id * 2 as season").repartition(300, "game_id")
+    form = spark.range(120).selectExpr("id % 40 as game_id", "id div 40 as team_id", "id * 1.0 as form")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        joins_within_keys(spark)
+        joined = R.attach_form(shots.join(games, "game_id"), form, {"game_id": "game_id", "team_id": "team_id"})
+        plan = joined._jdf.queryExecution().executedPlan().toString()
+        found = {r["shot_id"]: r["form"] for r in joined.collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    moved = [line for line in plan.splitlines() if "Exchange hashpartitioning(game_id" in line]
+    assert sum("team_id" in line for line in moved) == 1  # to check the form's keys
+    assert sum(", 300)" in line for line in moved) == 3  # shots, games, and the form to where they are
+    assert all(found[i] == float(i % 3 * 40 + i % 40) for i in range(400))
+
+
+def test_rows_written_once_are_read_back(spark):
+    rows = spark.range(50).selectExpr("id", "if(id % 7 = 0, null, id / 3) as v", "date'2024-01-01' as d")
+    kept = written_once(rows, "test")
+    assert "Range" not in kept._jdf.queryExecution().executedPlan().toString()
+    assert kept.schema.simpleString() == rows.schema.simpleString() and sorted(kept.collect()) == sorted(rows.collect())
