@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from arcline.operators.clean import evaluate_once
+from arcline.session import small_reads
 
 TABLES = (
     "region",
@@ -270,6 +271,8 @@ class Tables:
         used = [table for table in TABLES if f" {table}" in text]
         by_order = {"orders": "o_orderkey", "lineitem": "l_orderkey"}
         parts = self._parts("lineitem") if set(by_order) <= set(used) else 0
+        if parts > self.spark.sparkContext.defaultParallelism:
+            small_reads(self.spark)
         for table in used:
             rows = self[table]
             if table in by_order and parts > self.spark.sparkContext.defaultParallelism:
