@@ -97,3 +97,23 @@ def test_awkward_rows(spark, table):
     assert M.score(model, odd.limit(0)).count() == 0
     with pytest.raises(ValueError, match="no labelled"):
         M.fit_network(odd.where("y is null"), ["a", "b"], "y", epochs=1)
+
+
+def test_a_step_reads_its_own_rows_only(table, monkeypatch):
+    """The jobs of an epoch read every row trained on once; held-out rows are read by the first step."""
+    read, plain = [], N._sums
+
+    def sums(blocks, weights, step, *rest):
+        read.append((step, blocks.agg(F.sum("n")).first()[0] or 0))
+        return plain(blocks, weights, step, *rest)
+
+    monkeypatch.setattr(N, "_sums", sums)
+    fill, out = {"a": 0.0, "b": 0.0}, F.col("game_id") >= 50
+    options = {"hidden": (4,), "epochs": 1, "patience": 2, "steps": 4, "learning_rate": 0.05, "weight_decay": 0.0, "dropout": 0.2, "seed": 5}
+    N.fit_network(table(), ["a", "b"], "y", out, fill, **options)
+    first_epoch = read[:4]
+    assert [step for step, _ in first_epoch] == [0, 1, 2, 3]
+    assert sum(n for _, n in first_epoch) == 600 and first_epoch[0][1] > 100
+    # One row: most steps have none, and the weights stay as they are.
+    model = N.fit_network(table(n=1), ["a", "b"], "y", F.lit(False), fill, **options)
+    assert all(np.isfinite(w).all() for w in model.weights)
