@@ -108,6 +108,22 @@ def test_same_trees_however_rows_are_dealt(train):
     assert drawn[0] == drawn[1] != drawn[2] and 120 < drawn[0] < 190
 
 
+def test_levels_use_idle_cores_and_bounded_saves(spark, train, tmp_path, monkeypatch):
+    dealt = []
+    original = B._fit_by_levels
+    monkeypatch.setattr(B, "_fit_by_levels", lambda state, *args: dealt.append(state.rdd.getNumPartitions()) or original(state, *args))
+    named = B.checkpoint_dir
+    monkeypatch.setattr(B, "checkpoint_dir", lambda s: named(s) and str(tmp_path))
+    monkeypatch.setattr(B, "TASK_ROWS", 50)
+    config = [M.tree_config(num_leaves=5, n_estimators=7, min_child_samples=8)]
+    whole = list(B.fit_many(train, FEATURES, "y", config)[0].node_rows())
+    for most in (32, 0):  # sums added by the driver, by Spark
+        monkeypatch.setattr(B, "DIRECT_TASKS", most)
+        assert list(B.fit_many(train, FEATURES, "y", config, block_rows=100, save_rounds=5)[0].node_rows()) == whole
+    assert dealt == [4, 4]
+    assert sorted(len(list(saves.iterdir())) for saves in tmp_path.iterdir()) == [2, 2]
+
+
 def test_missing_values_choose_a_side(train):
     tree = M.fit_trees(train, ["b"], "y", num_leaves=2, n_estimators=1, min_child_samples=5).trees[0]
     assert tree.feature[0] == 0
