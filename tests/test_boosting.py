@@ -124,6 +124,12 @@ def test_levels_use_idle_cores_and_bounded_saves(spark, train, tmp_path, monkeyp
     assert sorted(len(list(saves.iterdir())) for saves in tmp_path.iterdir()) == [2, 2]
 
 
+def test_copies_of_blocks_give_the_same_trees(train):
+    whole = B.fit_many(train, FEATURES, "y", CONFIGS)
+    parted = B.fit_many(train, FEATURES, "y", CONFIGS, block_rows=100, save_rounds=10)  # two copies on four cores
+    assert [list(m.node_rows()) for m in parted] == [list(m.node_rows()) for m in whole]
+
+
 def test_missing_values_choose_a_side(train):
     tree = M.fit_trees(train, ["b"], "y", num_leaves=2, n_estimators=1, min_child_samples=5).trees[0]
     assert tree.feature[0] == 0
