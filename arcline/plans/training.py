@@ -8,6 +8,7 @@ from arcline import schemas as S
 from arcline.operators import models as M
 from arcline.operators.metrics import classification_metrics
 from arcline.sources import tables as read
+from arcline.session import written_once
 from arcline.sources.layout import Layout
 from arcline.sources.sinks import write_frame
 
@@ -24,7 +25,9 @@ def split_frames(
     for name in ("train", "test"):
         rows = read.read_split(spark, layout, season, name)
         rows = feature_rows(spark, layout, season, rows, feature_set)
-        sides.append(M.model_frame(rows, features))
+        frame = M.model_frame(rows, features)
+        # Fitting reads its rows several times, so joined ones are derived once.
+        sides.append(written_once(frame, "modelling") if feature_set in ("pressure", "sequence") else frame)
     return sides[0], sides[1], features
 
 

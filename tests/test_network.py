@@ -117,3 +117,28 @@ def test_a_step_reads_its_own_rows_only(table, monkeypatch):
     # One row: most steps have none, and the weights stay as they are.
     model = N.fit_network(table(n=1), ["a", "b"], "y", F.lit(False), fill, **options)
     assert all(np.isfinite(w).all() for w in model.weights)
+
+
+def test_rows_are_neither_kept_nor_written_at_full_width(spark, table, tmp_path, monkeypatch):
+    """Games of one date need no join, so nothing is cached; blocks of few-valued inputs are written packed."""
+    train = table().withColumn("game_date", F.expr("date_add(date'2024-01-01', cast(game_id as int))"))
+    flags = [f"f{i}" for i in range(40)]
+    train = train.withColumns({c: ((F.col("game_id") + i) % 3 == 0).cast("double") for i, c in enumerate(flags)})
+    written, plain = [], N.written_once
+
+    def once(df, name, by=None):
+        written.append(plain(df, name, by))
+        return written[-1]
+
+    monkeypatch.setattr(N, "written_once", once)
+    monkeypatch.setattr(type(train), "persist", lambda *_: pytest.fail("rows are kept"))
+    model = M.fit_network(train, flags, "y", hidden=(4,), epochs=1, steps=2)
+    assert len(model.history) == 1 and len(written) == 1
+    rows, size = written[0].agg(F.sum("n"), F.sum(F.length("x"))).first()
+    assert rows == 600 and size < rows * len(flags) * 4 / 3
+
+
+def test_games_of_two_dates_are_on_one_side(table):
+    rows = table().withColumn("game_date", F.when(F.col("a") > 0, F.col("game_date")))
+    sides = M._sides(rows, 0.5).groupBy("game_id").agg(F.countDistinct("_side").alias("n"), F.count_if(F.col("_side").isNull()).alias("none"))
+    assert sides.where("n <> 1 or none > 0").count() == 0
