@@ -211,3 +211,17 @@ def test_metrics_by_model_equal_single_ones(spark):
     for m in (0, 1):
         one = classification_metrics(df.where(F.col("model") == m), "score", "y").first()
         assert all(abs(one[k] - both[m][k]) < 1e-12 for k in ("auc", "log_loss", "brier_score", "accuracy"))
+
+
+def test_rows_that_one_task_can_hold_need_no_job_per_level(spark, train, tmp_path, monkeypatch):
+    """More rows than a block are fitted in one task as far as their bins fit it; the trees stay the same."""
+    config = {**CONFIGS[0], "n_estimators": 4}
+    levels, plain = [], B._fit_by_levels
+    monkeypatch.setattr(B, "_fit_by_levels", lambda *args: levels.append(1) or plain(*args))
+    monkeypatch.setattr(B, "BLOCK_ROWS", 60)
+    monkeypatch.setattr(B, "checkpoint_dir", lambda _: str(tmp_path))
+    held = B.fit_many(train.repartition(3), FEATURES, "y", [config], save_rounds=1)
+    assert not levels and not [p for saves in tmp_path.iterdir() for p in saves.iterdir()]
+    monkeypatch.setattr(B, "HELD_BYTES", 100)
+    parted = B.fit_many(train, FEATURES, "y", [config])
+    assert levels and list(held[0].node_rows()) == list(parted[0].node_rows())
